@@ -3,7 +3,22 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .decontamination import op8_decontamination
+from .langid import op10_language_id
+from .licenses import op9_licenses
+from .line_dedup import OP1_SQL, op1_line_dedup
+from .simhash import op6_simhash
 from .token_counts import op7_token_counts
+from .token_files import op2_token_files
 
-QUERIES = {"op4_bpe": op4_bpe, "op7_token_counts": op7_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_token_files": op2_token_files,
+    "op4_bpe": op4_bpe,
+    "op6_simhash": op6_simhash,
+    "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
+    "op9_licenses": op9_licenses,
+    "op10_language_id": op10_language_id,
+}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
