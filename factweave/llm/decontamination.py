@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows.
 
 Texts and benchmark items become sequences of template tokens: numbers turn into <num>, a unit after a number into
-<unit>, a capitalised word that starts no sentence into <name>, any other word into itself in lower case. Windows of eight
+<unit>, a capitalised word (not one in capitals) that starts no sentence into <name>, any other word into itself in lower case. Windows of eight
 tokens are hashed; items of five to seven tokens use windows of five. Document windows pass a bitmap of the benchmark's
 hashes, which has a fixed size however long the benchmark is, and what passes is hash-joined with the benchmark's windows.
 
@@ -62,7 +62,7 @@ def _flat(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 opens = True
                 continue
             low = part.lower()
-            flags.append((NUMBER if first.isdecimal() else CAPITAL if first.isupper() else 0) | (UNIT if low in UNITS else 0) | (OPENS if opens else 0))
+            flags.append((NUMBER if first.isdecimal() else CAPITAL if first.isupper() and not part.isupper() else 0) | (UNIT if low in UNITS else 0) | (OPENS if opens else 0))
             hashes.append(xxh64_intdigest(low.encode()))
             opens = False
         if opens and len(hashes) == before:  # marks alone: they close what stands before the piece

@@ -134,7 +134,7 @@ class SegmentModel:
         for k, lang in enumerate(langs):
             words = list(counts[lang])
             weights = np.array([counts[lang][w] for w in words], float)
-            own = np.full((lattice.size, 1), 1 / lattice.size)
+            own = np.full((lattice.size, 1), 1 / (lattice.size - 1))
             own[0] = 0
             blocks = [(weights[at], lattice.find(part)) for at, part in by_size(words)]
             for _ in range(rounds):
@@ -153,7 +153,7 @@ class SegmentModel:
                             piece = found[length - 1][:, start]
                             expected += np.bincount(piece, share * ahead[start] * own[piece, 0] * behind[start + length], lattice.size)
                 expected[0] = 0
-                own = ((expected + smooth) / (expected.sum() + smooth * lattice.size))[:, None]
+                own = ((expected + smooth) / (expected.sum() + smooth * (lattice.size - 1)))[:, None]
                 own[0] = 0
             chances[:, k] = own[:, 0]
         return cls(pieces, langs, chances)

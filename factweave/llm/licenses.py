@@ -25,7 +25,7 @@ from .staging import stage
 #: Phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Names of licenses by label: an expression over words, and the keyword that has to stand in the text. Hand-written.
+#: Names of licenses by label, the more exact ones first, which wins ties: an expression over words, and the keyword that has to stand in the text. Hand-written.
 NAMES = [
     ("mit", "mit(?: expat)?", "mit"), ("mit-0", "mit (?:0|zero|no attribution)", "mit"), ("x11", "(?:x11|mit x11|x consortium)", "x"), ("apache-1.1", "apache(?: software)?(?: license)? (?:version )?1 1", "apache"),
     ("apache-2", "apache(?: software)?(?: license)? (?:version )?2(?: 0)?", "apache"), ("apache", "apache(?: software(?: foundation)?)?", "apache"), ("gpl-2", "(?:gnu )?(?:gpl|general public license) ?(?:version |v)?2(?: 0)?", "g"),
@@ -58,7 +58,7 @@ WORD = "[0-9A-Za-z\\u0080-\\x{10FFFF}]+"
 
 def rules() -> list[tuple]:
     """(number, label, keyword, expression, priority, confidence): every way of every name, and bare Creative Commons marks."""
-    rows = [(label, keyword, way.format(name=name), priority, score) for way, priority, score in WAYS for label, name, keyword in NAMES]
+    rows = [(label, keyword, way.format(name=name), priority, score) for label, name, keyword in NAMES for way, priority, score in WAYS]
     rows += [(label, "cc", name, 1, 0.6) for label, name, _ in NAMES if label.startswith("cc-by")]
     return [(number, *row) for number, row in enumerate(rows)]
 
@@ -101,7 +101,7 @@ def detections(words: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("row", "rule").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = parts.withColumn("end", F.sum(gap + F.coalesce(match, F.lit(0))).over(so_far)).where(match.isNotNull()).withColumn("start", F.col("end") - match)
 
-    order = Window.partitionBy("row").orderBy("start", F.desc("end"), F.desc("priority"), "label", "rule").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("row").orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     for level in (1, 2, 3):
         placed = placed.withColumn(f"end{level}", F.max(F.when(F.col("priority") >= level, F.col("end"))).over(order))
     around_it = F.element_at(F.array("end1", "end2", "end3"), F.col("priority"))
