@@ -8,6 +8,7 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 MOST_BYTES, MOST_DEPTH, MOST_STATES = 1 << 20, 3, 12
@@ -35,7 +36,7 @@ def fold_hashed(values: list[bytes]) -> int:
     return state ^ len(values)
 
 
-@pandas_udf("decimal(20,0)")
+@pandas_udf(T.DecimalType(20, 0))
 def fnv1a_64(x: pd.Series) -> pd.Series:
     from decimal import Decimal
 
@@ -65,7 +66,7 @@ def read_signed_varint(data: bytes, at: int = 0) -> tuple[int, int]:
             return (value - (1 << shift) if b & 0x40 else value), at
 
 
-@pandas_udf("array<bigint>")
+@pandas_udf(T.ArrayType(T.LongType()))
 def varints(x: pd.Series) -> pd.Series:
     """All unsigned LEB128 numbers of the bytes, or null if the last one is cut."""
 
@@ -155,7 +156,7 @@ def recover(data: bytes) -> list[tuple[str, str, str]]:
     return out
 
 
-@pandas_udf("array<struct<text:string,path:string,confidence:string>>")
+@pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("text", "path", "confidence")])))
 def transduce(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else [{"text": t, "path": p, "confidence": c} for t, p, c in recover(bytes(v))])
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-IR_FUNCTION = """name STRING, owner STRING, library_uri STRING, address STRING, size BIGINT, kind STRING,
- instructions ARRAY<STRUCT<mnemonic: STRING, object_pool_value: STRING>>,
- semantic_statements ARRAY<STRUCT<kind: STRING>>,
- control_flow ARRAY<STRUCT<`from`: STRING, `to`: STRING, kind: STRING>>"""
-
-IR_DOCUMENT = f"functions ARRAY<STRUCT<{IR_FUNCTION.replace(' STRING,', ': STRING,').replace('size BIGINT', 'size: BIGINT').replace('instructions ARRAY', 'instructions: ARRAY').replace('semantic_statements ARRAY', 'semantic_statements: ARRAY').replace('control_flow ARRAY', 'control_flow: ARRAY')}>>, vm_oracle STRUCT<snapshot_hash: STRING, dart_commit: STRING, target_arch: STRING>"
+IR_DOCUMENT = """functions ARRAY<STRUCT<name: STRING, owner: STRING, library_uri: STRING, address: STRING, size: BIGINT, kind: STRING,
+ instructions: ARRAY<STRUCT<mnemonic: STRING, object_pool_value: STRING>>,
+ semantic_statements: ARRAY<STRUCT<kind: STRING>>,
+ control_flow: ARRAY<STRUCT<`from`: STRING, `to`: STRING, kind: STRING>>>>,
+ vm_oracle STRUCT<snapshot_hash: STRING, dart_commit: STRING, target_arch: STRING>"""
 
 TRACE = """`schema` STRING, abi STRING, snapshot_hash STRING,
  executed_pcs ARRAY<STRUCT<body_entry_offset: BIGINT, pc_offset: BIGINT, hit_count: BIGINT>>,
