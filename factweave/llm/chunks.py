@@ -11,6 +11,15 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What `make` gives, made once in a worker process: later tasks of the process find its tables filled."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
 
 class PieceNumbers(dict):
     """piece -> number; unknown pieces get the next number and wait in `pending`. Pieces that fail `safe` get -1."""

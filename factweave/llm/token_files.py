@@ -24,30 +24,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import vocab
-from .chunks import PieceNumbers, RaggedPool
+from .chunks import PieceNumbers, RaggedPool, byte_groups, kept, texts_of
 from .staging import fresh_path, stage
 from .token_counts import segments
 
 SEQUENCE, BATCH_ROWS = 2048, 64
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
+#: Bytes of text whose new pieces are encoded at once.
+GROUP_BYTES = 4 << 20
 SEGMENT_CHARS = 1 << 20
 _CUT = re.compile("(?<=[^ ]) (?=[^ ])")
 
-#: Characters whose normal form and lower case are each one letter or mark, whatever stands beside them.
-_SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ.,!?;:]+")
-_SIMPLE_UNITS = re.compile("[a-zß-öø-ÿ]+|[.,!?;:]+")
+#: Text whose characters each have one normal form and one lower case, whatever stands beside them, and no two marks in a row.
+_MARKS = ".,!?;:"
+_SIMPLE = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ{_MARKS} \n]*")
+_MARK_RUN = re.compile(f"[{_MARKS}]{{2}}")
+_UNIT = re.compile(f"[a-zß-öø-ÿ]+|[{_MARKS}]+")
 
 
-class WordBpe:
-    """Ids of the tokenizers library for a file that drops white space and marks word ends.
+def pieces_of(text: str) -> list[str]:
+    """Pieces that the tokenizer of a file with word ends takes one by one.
 
-    White space is a safe boundary: nothing there crosses it. Simple pieces are cut further into lower-case words and
-    marks, the same units that the file's own rules cut, so that fewer distinct ones reach the library.
+    White space is a safe boundary: nothing there crosses it. Simple text is cut further into lower-case words and marks,
+    the same units that the file's own rules cut, so that fewer distinct ones reach the library.
     """
+    if _SIMPLE.fullmatch(text) and not _MARK_RUN.search(text):
+        low = text.lower()
+        for mark in _MARKS:
+            if mark in low:
+                low = low.replace(mark, f" {mark} ")
+        return low.split()
+    lines = text.split("\n")
+    return [x for line in lines for x in pieces_of(line)] if len(lines) > 1 else text.split(" ")
+
+
+class WordBpe:
+    """Ids of the tokenizers library for a file that drops white space and marks word ends."""
 
     def __init__(self, model_path: str, remembered: int = REMEMBERED) -> None:
         import os
@@ -68,71 +85,56 @@ class WordBpe:
 
     def _forget(self) -> None:
         self.numbers, self.pool = PieceNumbers(), RaggedPool(self.dtype)
-        self.units, self.unit_pool = PieceNumbers(), RaggedPool(self.dtype)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), self.dtype, int(sizes.sum())), sizes
 
-    def _encode_units(self) -> None:
-        waiting = self.units.pending
-        for first in range(0, len(waiting), 512):
-            part = waiting[first : first + 512]
-            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            stops = np.flatnonzero(self.ends[ids]) + 1  # every unit is one word to the file and ends in one end token
-            if len(stops) == len(part):
-                self.unit_pool.extend(ids, np.diff(stops, prepend=0))
-            else:
-                self.unit_pool.extend(*self._library(part))
-        waiting.clear()
-
     def _encode_pending(self) -> None:
         waiting = self.numbers.pending
-        if not waiting:
-            return
-        rows: list[int] = []
-        cuts, odd = [], []
-        look = self.units.__getitem__
-        for piece in waiting:
-            if _SIMPLE.fullmatch(piece):
-                before = len(rows)
-                rows += map(look, _SIMPLE_UNITS.findall(piece.lower()))
-                cuts.append(len(rows) - before)
-            else:
-                odd.append(piece)
-                cuts.append(-1)
-        self._encode_units()
-        cut = np.array(cuts, np.int64)
-        unit_sizes = self.unit_pool.sizes[np.array(rows, np.int64)]
-        sizes = np.zeros(len(cut), np.int64)
-        simple = cut >= 0
-        ends = np.cumsum(unit_sizes)
-        if simple.any():
-            last = np.cumsum(cut[simple])
-            up_to = np.concatenate([[0], ends])[last]
-            sizes[simple] = np.diff(up_to, prepend=0)
-        flat = self.unit_pool.take(np.array(rows, np.int64))
-        if odd:
-            odd_flat, odd_sizes = self._library(odd)
-            sizes[~simple] = odd_sizes
-            whole = np.zeros(int(sizes.sum()), self.dtype)
-            is_odd = np.repeat(~simple, sizes)
-            whole[is_odd], whole[~is_odd] = odd_flat, flat
-            flat = whole
-        self.pool.extend(flat, sizes)
+        for first in range(0, len(waiting), 2048):
+            part = waiting[first : first + 2048]
+            plain = np.array([_UNIT.fullmatch(x) is not None for x in part])
+            units = [x for x, p in zip(part, plain, strict=True) if p]
+            flat = np.array(self.model.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, self.dtype)
+            stops = np.flatnonzero(self.ends[flat]) + 1  # every unit is one word to the file and ends in one end token
+            if len(stops) != len(units):
+                plain[:] = False
+                flat, stops = flat[:0], stops[:0]
+            sizes = np.zeros(len(part), np.int64)
+            sizes[plain] = np.diff(stops, prepend=0)
+            if not plain.all():
+                odd, sizes[~plain] = self._library([x for x, p in zip(part, plain, strict=True) if not p])
+                both, is_plain = np.zeros(int(sizes.sum()), self.dtype), np.repeat(plain, sizes)
+                both[is_plain], both[~is_plain] = flat, odd
+                flat = both
+            self.pool.extend(flat, sizes)
         waiting.clear()
 
+    def _look(self, text: str) -> np.ndarray:
+        pieces = pieces_of(text)
+        return np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+
     def encode_parts(self, text: str) -> Iterator[np.ndarray]:
         """The text's ids, a segment at a time."""
         for part in segments(text, SEGMENT_CHARS, _CUT):
-            pieces = part.split(" ")
-            numbers = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+            numbers = self._look(part)
             self._encode_pending()
             yield self.pool.take(numbers)
             if self.numbers.forget_at(self.remembered):
                 self._forget()
 
+    def encode_group(self, texts: list[str]) -> Iterator[Iterator[np.ndarray]]:
+        """For each text its ids in parts; what is new in texts of ordinary size is encoded in one call."""
+        held = [self._look(text) if len(text) <= SEGMENT_CHARS else None for text in texts]
+        self._encode_pending()
+        ready = [None if numbers is None else self.pool.take(numbers) for numbers in held]
+        if self.numbers.forget_at(self.remembered):
+            self._forget()
+        for text, ids in zip(texts, ready, strict=True):
+            yield self.encode_parts(text) if ids is None else iter([ids])
+
     def encode(self, text: str) -> np.ndarray:
         return np.concatenate([np.zeros(0, self.dtype), *self.encode_parts(text)])
 
@@ -249,11 +251,15 @@ def write_token_files(docs: DataFrame, folder: str, model_path: str, end_id: int
 
         name, writer, own = f"part-{TaskContext.get().partitionId():06d}.arrows", None, None
         for batch in batches:
-            for k, x in zip(batch.column(0), batch.column(1), strict=True):
-                if writer is None:
-                    own = WordBpe(model_path)
-                    writer = SequenceWriter(folder, name, own.dtype)
-                writer.add(k.as_py(), own.encode_parts(x.as_py() or ""), end_id)
+            if writer is None and batch.num_rows:
+                own = kept(("word bpe", model_path), lambda: WordBpe(model_path))
+                writer = SequenceWriter(folder, name, own.dtype)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for first, last in byte_groups(sizes, GROUP_BYTES):
+                keys = batch.column(0).slice(first, last - first).to_pylist()
+                texts = list(texts_of(batch.column(1).slice(first, last - first)))
+                for k, parts in zip(keys, own.encode_group(texts), strict=True):
+                    writer.add(k, parts, end_id)
         if writer is not None:
             writer.close(batch.schema.field(0).type)
             yield pa.RecordBatch.from_pydict({"file": [name], "n_tokens": [writer.total], "n_docs": [len(writer.index)]})
