@@ -73,9 +73,9 @@ def ident_clean(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.ident_clean(raw).alias("ident"))
 
 
-@query("""SELECT doc_id, replace(replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '''', chr(92) || ''''), '$', chr(92) || '$'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') AS escaped FROM documents WHERE NOT regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]')""")
+@query("""SELECT doc_id, regexp_replace(replace(replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '''', chr(92) || ''''), '$', chr(92) || '$'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't'), '[\\x00-\\x1f\\x7f\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}]', '?', 'g') AS escaped FROM documents""")
 def escape_text(t: Tables) -> DataFrame:
-    return t.documents.where(~F.col("text").rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]")).select("doc_id", X.escape_text("text").alias("escaped"))
+    return t.documents.select("doc_id", X.escape_text("text").alias("escaped"))
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(url, '/en/.+$') THEN 'package:en/' || regexp_extract(url, '.*/en/(.+)$', 1) WHEN regexp_matches(url, '.*://([a-z0-9.-]+)\\.example\\.[a-z]+/(.+)$') THEN 'package:' || regexp_extract(url, '.*://([a-z0-9.-]+)\\.example\\.[a-z]+/(.+)$', 1) || '/' || regexp_extract(url, '.*://([a-z0-9.-]+)\\.example\\.[a-z]+/(.+)$', 2) ELSE url END AS uri FROM pages""")

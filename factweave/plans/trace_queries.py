@@ -140,9 +140,11 @@ def call_edges(t: Tables) -> DataFrame:
     return t.events.select("event_id", dispatch.alias("dispatch"), F.when(dispatch == "direct", F.col("user_id")).alias("target"), F.when(kind == "error", "helper").alias("helper"))
 
 
-@query("""WITH i AS (SELECT o_orderkey, CAST(dayofyear(o_orderdate) AS BIGINT) AS s FROM orders WHERE o_totalprice > 450000)
- SELECT e.event_id, i.o_orderkey FROM (SELECT event_id, CAST(dayofyear(ts) AS BIGINT) AS d FROM events) e JOIN i ON e.d >= i.s AND e.d < i.s + 7""")
+@query("""WITH i AS (SELECT CAST(dayofyear(o_orderdate) AS BIGINT) AS s, count(*) AS n FROM orders GROUP BY 1)
+ SELECT e.event_id, CAST(sum(i.n) AS BIGINT) AS open_orders FROM (SELECT event_id, CAST(dayofyear(ts) AS BIGINT) AS d FROM events) e JOIN i ON e.d >= i.s AND e.d < i.s + 7 GROUP BY 1""")
 def range_join(t: Tables) -> DataFrame:
-    intervals = t.orders.where("o_totalprice > 450000").select("o_orderkey", F.dayofyear("o_orderdate").cast("long").alias("s"))
-    points = t.events.select("event_id", F.dayofyear("ts").cast("long").alias("d"))
-    return joins.range_join(points, intervals.withColumn("e", F.col("s") + 7), "d", "s", "e", 7).select("event_id", "o_orderkey")
+    """Events with the number of orders that are open on their day. Equal intervals are counted before the join, equal days join once."""
+    intervals = t.orders.groupBy(F.dayofyear("o_orderdate").cast("long").alias("s")).agg(F.count("*").alias("n"))
+    events = t.events.select("event_id", F.dayofyear("ts").cast("long").alias("d"))
+    days = joins.range_join(events.select("d").distinct(), intervals.withColumn("e", F.col("s") + 7), "d", "s", "e", 7)
+    return events.join(days.groupBy("d").agg(F.sum("n").alias("open_orders")), "d").select("event_id", "open_orders")
