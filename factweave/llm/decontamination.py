@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import PieceNumbers, RaggedPool, texts_of
+from .chunks import PieceNumbers, RaggedPool, byte_groups, kept, texts_of
 from .staging import stage
 from .token_counts import _ANY_WHITE, segments
 
@@ -34,7 +35,9 @@ ENOUGH = 6
 #: Placeholders that a window may hold at most.
 MOST_SLOTS = {WINDOW: 4, SHORT_WINDOW: 1}
 BITMAP_BITS = 1 << 24
-REMEMBERED = 1_500_000
+REMEMBERED = 400_000
+#: Bytes of text whose new pieces are cut at once.
+GROUP_BYTES = 4 << 20
 SEGMENT_CHARS = 1 << 20
 
 #: Words that are units when they follow a number.
@@ -111,22 +114,41 @@ class Templates:
     def _forget(self) -> None:
         self.numbers, self.hashes, self.flags = PieceNumbers(), RaggedPool(np.uint64), RaggedPool(np.uint8)
 
+    def _look(self, text: str) -> np.ndarray:
+        pieces = text.split(" ")
+        return np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+
+    def _cut_pending(self) -> None:
+        if self.numbers.pending:
+            hashes, flags, sizes = _flat(self.numbers.pending)
+            self.hashes.extend(hashes, sizes)
+            self.flags.extend(flags, sizes)
+            self.numbers.pending.clear()
+
+    def _forget_at_limit(self) -> None:
+        if self.numbers.forget_at(REMEMBERED):
+            self._forget()
+
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Template tokens and slots of one text, a segment at a time."""
         hashes, flags = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
         for part in segments(text, SEGMENT_CHARS, _ANY_WHITE):
-            pieces = part.split(" ")
-            numbers = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
-            if self.numbers.pending:
-                new_hashes, new_flags, sizes = _flat(self.numbers.pending)
-                self.hashes.extend(new_hashes, sizes)
-                self.flags.extend(new_flags, sizes)
-                self.numbers.pending.clear()
+            numbers = self._look(part)
+            self._cut_pending()
             hashes.append(self.hashes.take(numbers))
             flags.append(self.flags.take(numbers))
-            if self.numbers.forget_at(REMEMBERED):
-                self._forget()
+            self._forget_at_limit()
         return template(np.concatenate(hashes), np.concatenate(flags))
 
+    def of_group(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for each of several texts; new pieces of those of ordinary size are cut together."""
+        held = [self._look(text) if len(text) <= SEGMENT_CHARS else None for text in texts]
+        self._cut_pending()
+        ready = [None if numbers is None else (self.hashes.take(numbers), self.flags.take(numbers)) for numbers in held]
+        self._forget_at_limit()
+        for text, tokens in zip(texts, ready, strict=True):
+            yield self.of(text) if tokens is None else template(*tokens)
+
 
 def _slot_values(text: str, slots: np.ndarray, starts: np.ndarray, size: int) -> list[list[str]]:
     if not len(starts) or not any(slots[s : s + size].any() for s in starts):
@@ -168,6 +190,13 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return out
 
 
+def _templates_of(own: Templates, column: pa.Array, lengths: list[int]) -> Iterator[tuple[int, str, tuple[np.ndarray, np.ndarray]]]:
+    for first, last in byte_groups(lengths, GROUP_BYTES):
+        texts = list(texts_of(column.slice(first, last - first)))
+        for k, tokens in enumerate(own.of_group(texts)):
+            yield first + k, texts[k], tokens
+
+
 def document_windows(docs: DataFrame, bitmap: np.ndarray, key: str = "doc_id", text: str = "text", short: bool = True) -> DataFrame:
     """hash, doc, doc_print, doc_place and doc_slots of the windows whose hash has its bit set."""
     sizes = (WINDOW, SHORT_WINDOW) if short else (WINDOW,)
@@ -175,12 +204,12 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, key: str = "doc_id", t
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        own = Templates()
+        own = kept(("templates",), Templates)
         for batch in batches:
             rows: list[int] = []
             columns: list[list] = [[], [], [], []]
-            for row, x in enumerate(texts_of(batch.column(1))):
-                tokens, slots = own.of(x)
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for row, x, (tokens, slots) in _templates_of(own, batch.column(1), lengths):
                 for size in sizes:
                     hashes, usable = window_hashes(tokens, slots, size)
                     bit = np.mod(hashes, BITMAP_BITS)
