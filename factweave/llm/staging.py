@@ -39,3 +39,10 @@ def drop(table: DataFrame) -> None:
     for path in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything that this subpackage has written to the shared folder. For the end of a job: results that still read it are lost."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/factweave")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
