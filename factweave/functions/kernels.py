@@ -163,3 +163,12 @@ def transduce(x: pd.Series) -> pd.Series:
 
 def pack_gzip(text: str) -> bytes:
     return gzip.compress(text.encode(), mtime=0)
+
+
+@pandas_udf(T.DoubleType())
+def double_from_bits(x: pd.Series) -> pd.Series:
+    """The double whose bits a signed 64-bit number holds."""
+    known = x.notna()
+    out = pd.Series(np.nan, index=x.index, dtype=object)
+    out[known] = x[known].astype("int64").to_numpy().view(np.float64)
+    return out.where(known, None)

@@ -164,3 +164,23 @@ def descriptor_label(type_args: Column, count: Column, size: Column, positional:
 
 def descriptor_fields(label: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(_c(label), F.lit("-?[0-9]+"), F.lit(0)), lambda v: v.cast("long"))
+
+
+def top_level_arity(x: Column | str) -> Column:
+    """Number of arguments of a list with nested angle brackets; null if the brackets do not balance."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("n"), F.lit(True).alias("ok"))
+
+    def step(a: Column, c: Column) -> Column:
+        depth = a["depth"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)
+        n = a["n"] + F.when((c == ",") & (a["depth"] == 0), 1).otherwise(0)
+        return F.struct(depth.alias("depth"), n.alias("n"), (a["ok"] & (depth >= 0)).alias("ok"))
+
+    return F.aggregate(F.split(_c(x), ""), start, step, lambda a: F.when(a["ok"] & (a["depth"] == 0), a["n"].cast("long")))
+
+
+def named_arguments(values: Column, names: Column) -> Column:
+    """Values with names in front as far as there are names; null dummies at either end are omitted arguments."""
+    known = lambda v: v != "null"
+    places = F.filter(F.transform(values, lambda v, k: F.when(known(v), k)), lambda k: k.isNotNull())
+    kept = F.when(F.size(places) > 0, F.slice(values, F.array_min(places) + 1, F.array_max(places) - F.array_min(places) + 1)).otherwise(F.array().cast("array<string>"))
+    return F.transform(kept, lambda v, k: F.when(F.get(names, k).isNotNull() & (F.get(names, k) != ""), F.concat(F.get(names, k), F.lit(": "), v)).otherwise(v))

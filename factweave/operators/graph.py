@@ -75,27 +75,64 @@ def reverse_edges(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return edges.where(F.col(dst) >= 0).select(dst, src).distinct()
 
 
-def dominators(edges: DataFrame, graph: str = "graph") -> DataFrame:
-    """graph, node, dominators of small graphs, one group for each. edges: graph, src, dst; the least node is the entry."""
-    import pandas as pd
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(pdf["src"]) | set(pdf["dst"].dropna()))
-        before: dict = {n: set() for n in nodes}
-        for s, d in zip(pdf["src"], pdf["dst"], strict=True):
-            if not pd.isna(d):
-                before[d].add(s)
-        found = {n: set(nodes) for n in nodes}
-        found[nodes[0]] = {nodes[0]}
-        changed = True
-        while changed:
-            changed = False
-            for n in nodes[1:]:
-                ways = [found[p] for p in before[n]]
+def _dominator_sets(nodes: list, before: dict, entry) -> dict:
+    """For each node the nodes on every way from the entry to it; nodes without a way keep all."""
+    found = {n: set(nodes) for n in nodes}
+    found[entry] = {entry}
+    changed = True
+    while changed:
+        changed = False
+        for n in nodes:
+            if n != entry:
+                ways = [found[p] for p in before.get(n, ())]
                 new = {n} | (set.intersection(*ways) if ways else set())
                 if new != found[n]:
                     found[n], changed = new, True
-        return pd.DataFrame({graph: pdf[graph].iloc[0], "node": nodes, "dominators": [sorted(int(x) for x in found[n]) for n in nodes]})
+    return found
+
+
+def _per_graph(edges: DataFrame, graph: str, solve: Callable, column: str) -> DataFrame:
+    """solve(nodes, edges) of each small graph, whose edges are one group."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs = [(int(s), int(d)) for s, d in zip(pdf["src"], pdf["dst"], strict=True) if not pd.isna(d)]
+        found = solve(sorted({int(s) for s in pdf["src"]} | {d for _, d in pairs}), pairs)
+        return pd.DataFrame({graph: pdf[graph].iloc[0], "node": list(found), column: list(found.values())})
 
     kind = dict(edges.dtypes)[graph]
-    return edges.groupBy(graph).applyInPandas(solve, f"{graph} {kind}, node long, dominators array<long>")
+    return edges.groupBy(graph).applyInPandas(run, f"{graph} {kind}, node long, {column} {'array<long>' if column.endswith('s') else 'long'}")
+
+
+def dominators(edges: DataFrame, graph: str = "graph") -> DataFrame:
+    """graph, node, dominators; edges: graph, src, dst (null for none); the least node is the entry."""
+
+    def solve(nodes: list, pairs: list) -> dict:
+        before: dict = {}
+        for s, d in pairs:
+            before.setdefault(d, set()).add(s)
+        return {n: sorted(x) for n, x in _dominator_sets(nodes, before, nodes[0]).items()}
+
+    return _per_graph(edges, graph, solve, "dominators")
+
+
+def branch_joins(edges: DataFrame, graph: str = "graph") -> DataFrame:
+    """graph, node, joined of every node with two or more successors: its immediate post-dominator, by a virtual exit behind
+    all nodes without successors; null if its ways only meet at the exit."""
+
+    def solve(nodes: list, pairs: list) -> dict:
+        end = None
+        after: dict = {}
+        for s, d in pairs:
+            after.setdefault(s, set()).add(d)
+        ways = {n: after.get(n) or {end} for n in nodes}
+        found = _dominator_sets([end, *nodes], ways, end)
+        out = {}
+        for n in nodes:
+            if len(after.get(n, ())) > 1:
+                above = found[n] - {n}
+                nearest = max(above, key=lambda x: len(found[x]), default=end)  # the closest one has the most of its own
+                out[n] = nearest
+        return out
+
+    return _per_graph(edges, graph, solve, "joined")

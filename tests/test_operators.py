@@ -174,6 +174,22 @@ def test_dominators(spark):
     assert {r.node: r.dominators for r in graph.dominators(e).collect()} == {1: [1], 2: [1, 2], 3: [1, 3], 4: [1, 4], 5: [1, 4, 5]}
 
 
+def test_branch_joins(spark):
+    e = spark.createDataFrame([("g", 1, 2), ("g", 1, 3), ("g", 2, 4), ("g", 3, 4), ("g", 4, 5), ("g", 4, 6), ("g", 5, None), ("g", 6, None), ("h", 1, 2), ("h", 1, 3), ("h", 2, 3), ("h", 3, None)], "graph string, src long, dst long")
+    assert {(r.graph, r.node): r.joined for r in graph.branch_joins(e).collect()} == {("g", 1): 4, ("g", 4): None, ("h", 1): 3}
+
+
+def test_arity_and_arguments(spark):
+    assert [one(spark, X.top_level_arity, v) for v in ("a", "a,b", "Map<a,b>,c", "a<b", "a>,<b")] == [1, 2, 2, None, None]
+    df = spark.createDataFrame([(["null", "1", "null", "x", "null"], ["a", "b"]), (["null"], ["a"])], "v array<string>, n array<string>")
+    assert [r.x for r in df.select(X.named_arguments(F.col("v"), F.col("n")).alias("x")).collect()] == [["a: 1", "b: null", "x"], []]
+
+
+def test_double_bits(spark):
+    df = spark.createDataFrame([(0x3FF8000000000000,), (None,), (-(1 << 63),)], "b long")
+    assert [r.d for r in df.select(kernels.double_from_bits("b").alias("d")).collect()] == [1.5, None, -0.0]
+
+
 @pytest.mark.parametrize("function, value, want", [
     (X.hex_parse, "0xff", 255), (X.hex_parse, "zz", None), (X.hex_parse, "ffffffffffffffff", (1 << 64) - 1), (X.strip_key, "_a@12.b", "_a.b"), (X.strip_key, "::", ""), (X.canonical_type, " List < int > ??", "List<int>"),
     (X.type_root, "Map<a>?", "Map"), (X.package_of, "package:x/y.dart", "x"), (X.package_of, "dart:core", None), (X.ident_clean, "", "_"), (X.ident_clean, "1a", "_1a"), (X.ident_clean, "if", "_if"), (X.ident_clean, "a-b$", "a_b$"),
