@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import PieceNumbers, RaggedPool, byte_groups, kept, texts_of
-from .staging import stage
+from .staging import free_name, stage
 from .token_counts import _ANY_WHITE, segments
 
 WINDOW, SHORT_WINDOW = 8, 5
@@ -247,8 +247,9 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that hold a benchmark item; all columns unchanged."""
-    found = stage(contaminated(docs, items, key, text).select(F.col("doc").alias("_found")).distinct(), "contaminated")
-    return docs.join(found, F.col(f"`{key}`").eqNullSafe(F.col("_found")), "left_anti")
+    name = free_name(docs, "_found")
+    found = stage(contaminated(docs, items, key, text).select(F.col("doc").alias(name)).distinct(), "contaminated")
+    return docs.join(found, F.col(f"`{key}`").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

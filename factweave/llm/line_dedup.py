@@ -33,7 +33,7 @@ def line_key(line: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """docs with the kept text, and _n_lines and _n_dropped."""
+    """docs with the kept text, and _n_lines and _n_dropped, which replace columns of these names."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     whole = F.coalesce(F.col("row")[text], F.lit(""))
     split = own.select("row", F.col("row")[key].alias("id"), F.xxhash64(whole).alias("print"), F.split(whole, "\n", -1).alias("lines"))
@@ -50,7 +50,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     joined = split.join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("print") == F.col("lost_print")), "left")
     kept_places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost")
     kept = F.array_join(F.transform(kept_places, lambda place: F.get("lines", place)), "\n")
-    columns = [F.when(F.col("lost").isNull(), F.col("row")[c]).otherwise(kept).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
+    columns = [F.when(F.col("lost").isNull(), F.col("row")[c]).otherwise(kept).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
     return joined.select(*columns, F.size("lines").cast("long").alias("_n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("_n_dropped"))
 
 

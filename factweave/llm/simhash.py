@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .chunks import texts_of
 from .components import connected_components
-from .staging import stage
+from .staging import free_name, stage
 
 BITS, BLOCKS = 64, 4
 WIDTH = BITS // BLOCKS
@@ -201,8 +201,9 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with the least key of each group; rows without a key stay, and rows that share one stay or go together."""
-    gone = stage(similar_documents(docs, key, text, **options).where("id <> component").select(F.col("id").alias("_gone")).distinct(), "similar")
-    return docs.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = stage(similar_documents(docs, key, text, **options).where("id <> component").select(F.col("id").alias(name)).distinct(), "similar")
+    return docs.join(gone, F.col(f"`{key}`") == F.col(name), "left_anti")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ ODD = [
 def odd_docs(spark):
     """Extra columns carry names that operators use themselves."""
     rows = [(i, t, "en" if i and i % 2 else None, "src", 5, i, "w", 1.5) for i, t in ODD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, words string, score double")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, words string, _gone double")
 
 
 @pytest.fixture(scope="session")

@@ -32,7 +32,7 @@ def plain_lines(rows, min_docs=5):
 @pytest.mark.parametrize("table", ["odd_docs", "docs", "no_docs"])
 def test_line_dedup(table, request):
     docs = request.getfixturevalue(table)
-    out = line_dedup.line_dedup(docs)
+    out = line_dedup.line_dedup(docs.withColumn("_n_lines", F.lit("x")))
     assert out.columns == [*docs.columns, "_n_lines", "_n_dropped"]
     got = [(r.doc_id, r._n_lines, r._n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in out.collect()]
     want = plain_lines([(r.doc_id, r.text) for r in docs.collect()])

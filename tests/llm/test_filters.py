@@ -85,7 +85,7 @@ def test_windows_do_not_depend_on_segments(monkeypatch, docs):
 
 
 def test_drop_contaminated(spark, items, odd_docs, no_docs):
-    assert dc.drop_contaminated(odd_docs, items).count() == odd_docs.count()
+    assert dc.drop_contaminated(odd_docs.withColumnRenamed("words", "_found"), items).count() == odd_docs.count()
     assert dc.drop_contaminated(no_docs, items).count() == 0
     assert dc.contaminated(odd_docs, items.where(F.lit(False))).count() == 0
 
