@@ -15,12 +15,21 @@ _KEPT: dict = {}
 
 
 def kept(key: tuple, make: Callable):
-    """What `make` gives, made once in a worker process: later tasks of the process find its tables filled."""
+    """What `make` gives, made once in a worker process: later tasks of the process find its tables filled.
+
+    A process keeps one thing at a time, so that operators that follow each other do not add up.
+    """
     if key not in _KEPT:
+        _KEPT.clear()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def keep_nothing() -> None:
+    """For operators that hold tables for one task only: what another operator has left goes first."""
+    _KEPT.clear()
+
+
 class PieceNumbers(dict):
     """piece -> number; unknown pieces get the next number and wait in `pending`. Pieces that fail `safe` get -1."""
 

@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vocab
-from .chunks import PieceNumbers, texts_of
+from .chunks import PieceNumbers, keep_nothing, texts_of
 from .staging import stage
 from .token_counts import _ANY_WHITE, segments
 
 UNKNOWN_LANG = "und"
 #: Longest piece, the mark of a word's start included, and longest stretch of a word that is scored at once.
 PIECE_CHARS, STRETCH = 7, 32
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 SEGMENT_CHARS = 1 << 20
 _WORDS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -258,6 +258,7 @@ def predict(docs: DataFrame, model: SegmentModel, key: str = "doc_id", text: str
     """key, lang_pred and score of every row, from the text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         own = Scorer(model)
         for batch in batches:
             langs, scores = own.predict(texts_of(batch.column(1)))
@@ -271,6 +272,7 @@ def keep_identified(docs: DataFrame, model: SegmentModel, text: str = "text", le
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         own = Scorer(model)
         for batch in batches:
             langs, scores = own.predict(texts_of(batch.column(at)))

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .chunks import PieceNumbers, byte_groups, texts_of
+from .chunks import PieceNumbers, byte_groups, keep_nothing, texts_of
 
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 700_000
 #: Bytes of text between two calls of the encoder.
 GROUP_BYTES = 4 << 20
 #: Characters of a text that are handled at once.
@@ -121,6 +121,7 @@ def token_counts(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     """key, n_bytes, n_tokens, over_limit of every row. No shuffle; only lengths leave Python."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         own = counter(model_path)
         for batch in batches:
             column = batch.column(1)
