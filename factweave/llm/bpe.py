@@ -1,7 +1,6 @@
 """Byte-level BPE: exact merges in linear time, and decoding by an offset table.
 
-The encoder backtracks. Aho-Corasick, run over the reversed piece, finds the longest token that starts at every
-position. Walking from the left, a token is taken if it is compatible with the one before it, that is, if merging in
+The encoder backtracks. Aho-Corasick matching finds the longest token at a place. Walking from the left, a token is taken if it is compatible with the one before it, that is, if merging in
 rank order would not have joined across their border. Otherwise the next shorter token is tried, and if none is left the
 token before is given up; a position that led nowhere is never entered again, which bounds the work. The only sequence
 in which all neighbours are compatible is the one that the merges make.
@@ -17,19 +16,24 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .chunks import PieceNumbers, RaggedPool, ragged_take, texts_of
+from .chunks import PieceNumbers, RaggedPool, byte_groups, keep_nothing, ragged_take, texts_of
+from .staging import free_name
 from .token_counts import _ANY_WHITE, segments
 
-REMEMBERED = 1_200_000
+REMEMBERED = 500_000
 SEGMENT_CHARS = 1 << 20
+#: Bytes of text whose ids and decoded text are handed on at once.
+OUTPUT_BYTES = 4 << 20
 
 #: The public pattern that cuts text before the merges.
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,17 +71,17 @@ class MergeTable:
         self.length = list(map(len, self.text))
         by_text = {x: n for n, x in enumerate(self.text)}
         self.shorter = [next((by_text[x[:k]] for k in range(len(x) - 1, 0, -1) if x[:k] in by_text), -1) for x in self.text]
-        self.backward = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton()
         for n, x in enumerate(self.text):
-            self.backward.add_word(x[::-1].decode("latin-1"), n)
-        self.backward.make_automaton()
+            self.automaton.add_word(x.decode("latin-1"), n)
+        self.automaton.make_automaton()
         self.checked: dict[tuple[int, int], bool] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merges in rank order leave a border between these two tokens."""
         known = self.checked.get((left, right))
         if known is None:
-            if len(self.checked) > 2_000_000:
+            if len(self.checked) > 400_000:
                 self.checked.clear()
             known = self.checked[left, right] = self._border_holds(left, right)
         return known
@@ -100,30 +104,26 @@ class MergeTable:
 
     def encode(self, piece: bytes) -> list[int]:
         """Ranks of the tokens of one piece."""
-        size = len(piece)
-        longest = [0] * size
-        for end, token in self.backward.iter(piece[::-1].decode("latin-1")):
-            start = size - 1 - end
-            if self.length[token] > self.length[longest[start]] or longest[start] < 256:
-                longest[start] = token
+        text, size, length, compatible = piece.decode("latin-1"), len(piece), self.length, self.compatible
+        longest = self.automaton.iter_long  # every byte is a token, so the first match from a place starts there
         alive = bytearray(b"\1") * (size + 1)
         out: list[int] = []
-        place, token = 0, longest[0]
+        place, token = 0, next(longest(text))[1]
         while True:
-            end = place + self.length[token]
-            if alive[end] and (not out or self.compatible(out[-1], token)):
+            end = place + length[token]
+            if alive[end] and (not out or compatible(out[-1], token)):
                 out.append(token)
                 if end == size:
                     return out
-                place, token = end, longest[end]
+                place, token = end, next(longest(text, end))[1]
                 continue
-            token_shorter = self.shorter[token]
-            if token_shorter >= 0:
-                token = token_shorter
+            shorter = self.shorter[token]
+            if shorter >= 0:
+                token = shorter
             else:
                 alive[place] = 0
                 token = out.pop()
-                place -= self.length[token]
+                place -= length[token]
 
 
 class ByteBpe:
@@ -147,38 +147,36 @@ class ByteBpe:
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in by_id])]).astype(np.int64)
         self.decimals = [str(i) for i in range(len(by_id))]
         self.remembered = remembered
+        self.units: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
         # Pieces between single spaces; a text with other white space at such a cut takes the slower way.
         self.numbers = PieceNumbers(lambda x: bool(x) and not x[0].isspace() and not x[-1].isspace())
         self.pool = RaggedPool(np.int32)
-        self.units: dict[str, list[int]] = {}
+        if len(self.units) > self.remembered:
+            self.units.clear()
 
-    def _unit(self, unit: str) -> list[int]:
-        known = self.units.get(unit)
-        if known is None:
-            known = self.units[unit] = self.table.encode(unit.encode())
-        return known
+    def _ranks(self, piece: str) -> bytes:
+        """Ranks of a piece's tokens as 32-bit numbers, packed, since very many are remembered."""
+        parts = []
+        for unit in self.pattern.findall(piece):
+            known = self.units.get(unit)
+            if known is None:
+                known = self.units[unit] = array("i", self.table.encode(unit.encode())).tobytes()
+            parts.append(known)
+        return b"".join(parts)
 
     def _encode_pending(self) -> None:
         if not self.numbers.pending:
             return
-        flat: list[int] = []
-        sizes = []
-        for piece in self.numbers.pending:
-            before = len(flat)
-            for unit in self.pattern.findall(" " + piece):
-                flat += self._unit(unit)
-            sizes.append(len(flat) - before)
-        self.pool.extend(self.id_of_rank[np.array(flat, np.int64)], np.array(sizes, np.int64))
+        found = [self._ranks(" " + piece) for piece in self.numbers.pending]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.pool.extend(self.id_of_rank[np.frombuffer(b"".join(found), np.int32)], sizes)
         self.numbers.pending.clear()
 
     def _plain(self, piece: str) -> np.ndarray:
-        flat: list[int] = []
-        for unit in self.pattern.findall(piece):
-            flat += self._unit(unit)
-        return self.id_of_rank[np.array(flat, np.int64)]
+        return self.id_of_rank[np.frombuffer(self._ranks(piece), np.int32)]
 
     def _ordinary(self, text: str) -> list[np.ndarray]:
         """Ids of a text without added tokens. The first piece has no space before it, all others have the one they were cut at."""
@@ -214,6 +212,7 @@ def bpe_digests(docs: DataFrame, model_path: str, key: str = "doc_id", text: str
     """key, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, then decoded from the ids alone. No shuffle."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         own = ByteBpe(model_path)
         for batch in batches:
             counts, ids_hash, text_hash = [], [], []
@@ -229,21 +228,26 @@ def bpe_digests(docs: DataFrame, model_path: str, key: str = "doc_id", text: str
 
 
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """docs with token_ids array<int> of the whole text and decoded, the text that the ids decode to."""
-    name = "token_ids" if "token_ids" not in docs.columns else "bpe_token_ids"
-    back = "decoded" if "decoded" not in docs.columns else "bpe_decoded"
+    """docs with token_ids array<int> of the whole text and decoded, the text that the ids decode to; names that are taken get underscores."""
+    name, back = free_name(docs, "token_ids"), free_name(docs, "decoded")
+
+    at = docs.columns.index(text)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ByteBpe(model_path)
-        for batch in batches:
-            found = [own.encode(x) for x in texts_of(batch.column(batch.schema.get_field_index(text)))]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
-            decoded = pa.array([own.decode(x) for x in found], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, decoded], names=[*batch.schema.names, name, back])
+        keep_nothing()
+        own = ByteBpe(model_path, REMEMBERED // 2)  # ids and texts take memory too
+        for whole in batches:
+            sizes = pc.fill_null(pc.binary_length(whole.column(at)), 0).to_pylist()
+            for first, last in byte_groups(sizes, OUTPUT_BYTES):
+                batch = whole.slice(first, last - first)
+                found = [own.encode(x) for x in texts_of(batch.column(at))]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                decoded = pa.array([own.decode(x) for x in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids, decoded], names=[*batch.schema.names, name, back])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(encode, f"{schema}, {name} array<int>, {back} string")
+    return docs.mapInArrow(encode, f"{schema}, `{name}` array<int>, `{back}` string")
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
