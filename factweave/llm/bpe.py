@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .chunks import PieceNumbers, RaggedPool, byte_groups, keep_nothing, ragged_take, texts_of
+from .chunks import PieceNumbers, RaggedPool, byte_groups, keep_nothing, kept, ragged_take, texts_of
 from .staging import free_name
 from .token_counts import _ANY_WHITE, segments
 
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 SEGMENT_CHARS = 1 << 20
 #: Bytes of text whose ids and decoded text are handed on at once.
 OUTPUT_BYTES = 4 << 20
@@ -212,8 +212,7 @@ def bpe_digests(docs: DataFrame, model_path: str, key: str = "doc_id", text: str
     """key, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, then decoded from the ids alone. No shuffle."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_nothing()
-        own = ByteBpe(model_path)
+        own = kept(("byte bpe", model_path), lambda: ByteBpe(model_path))
         for batch in batches:
             counts, ids_hash, text_hash = [], [], []
             for x in texts_of(batch.column(1)):
