@@ -12,9 +12,10 @@ That keeps every connection, and the work is in proportion to the number of clas
 
 `similar_documents` asks for a similarity of shingle sets instead. At 0.8, fingerprints differ in about ten of 64 bits, and
 no split into blocks has one that all such pairs share and that still tells documents apart. So there the blocks are cut
-from the space of hashes, not from the fingerprint: the least hash of each of 128 ranges, four of which are a block. Pairs
-that share a block are verified by Hamming distance and by the share of ranges in which their least hashes agree. A pair of
-similarity 0.8 is missed with probability (1 - 0.8^4)^32, less than one in ten million.
+from the space of hashes, not from the fingerprint: the least hash of each of 128 ranges, four of which are a block. A pair of
+similarity 0.8 shares no block with probability (1 - 0.8^4)^32, less than one in ten million. Pairs whose least hashes agree in
+enough ranges are then compared by their distinct shingles, which alone decide. Blocks that very many sets share are compared
+in full, in tiles, but for members that links join already.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle holds
 are one shingle; repeated rows fall into one class; a null key is never a representative unless all of its component's
@@ -129,74 +130,189 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 #: Ranges of the hash space, ranges in a block, and what stands for the least hash of an empty range.
 RANGES, ROWS, EMPTY = 128, 4, 0xFFFFFFFF
+#: Share of the similarity asked for that the estimate from least hashes has to reach before the sets themselves are compared.
+LOOSE = 0.75
+#: Members and bytes of shingles on one side of a tile, about.
+TILE, TILE_BYTES = 128, 8 << 20
 _STARTS = np.arange(RANGES, dtype=np.uint64) << np.uint64(57)
 
 
-def sketch(text: str, shingle: int) -> tuple[int, bytes, int, int, list[int]]:
-    """Fingerprint, least hashes by range, two numbers for the set of shingles, and one for each block that is not empty."""
-    from xxhash import xxh3_128_intdigest, xxh64_intdigest
-
-    counts, size, kept = np.zeros(64, np.int64), 0, np.zeros(0, np.uint64)
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    kept = np.zeros(0, np.uint64)
     for hashes in shingle_hashes(text, shingle):
-        counts += _bit_counts(hashes)
-        size += len(hashes)
         kept = np.union1d(kept, hashes)
-    fp = int(np.packbits(counts * 2 > size, bitorder="little").view(np.uint64)[0])
+    return kept
+
+
+def _name_of(kept: np.ndarray) -> tuple[int, int]:
+    """Two numbers that stand for a set of shingles."""
+    from xxhash import xxh3_128_intdigest
+
+    whole = xxh3_128_intdigest(kept.tobytes())
+    return (whole >> 64) - (1 << 63), whole % (1 << 64) - (1 << 63)
+
+
+def _block(raw: bytes, k: int) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(raw[4 * ROWS * k : 4 * ROWS * (k + 1)], k) - (1 << 63)
+
+
+def sketch(text: str, shingle: int) -> tuple[bytes, int, int, list[int]]:
+    """Least hashes by range, two numbers for the set of shingles, and one for each block that is not empty."""
+    kept = shingle_set(text, shingle)
     at = np.searchsorted(kept, _STARTS)
     least = np.full(RANGES, EMPTY, np.uint32)
     full = np.diff([*at, len(kept)]) > 0
     least[full] = np.minimum(kept[at[full]] >> np.uint64(25) & np.uint64(0xFFFFFFFF), EMPTY - 1)
     raw = least.tobytes()
-    blocks = [xxh64_intdigest(raw[4 * ROWS * k : 4 * ROWS * (k + 1)], k) - (1 << 63) for k in np.flatnonzero(full.reshape(-1, ROWS).any(axis=1)).tolist()]
-    whole = xxh3_128_intdigest(kept.tobytes())
-    return fp, raw, (whole >> 64) - (1 << 63), whole % (1 << 64) - (1 << 63), blocks
+    return raw, *_name_of(kept), [_block(raw, k) for k in np.flatnonzero(full.reshape(-1, ROWS).any(axis=1)).tolist()]
 
 
 def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(zip(*[sketch(x, shingle) for x in texts_of(batch.column(1))], strict=True)) or [()] * 5
-            fps = pa.array(np.array(columns[0], np.uint64).view(np.int64))
-            rest = [pa.array(c, t) for c, t in zip(columns[1:], (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps, *rest], names=["id", "fp", "least", "w1", "w2", "blocks"])
+            columns = list(zip(*[sketch(x, shingle) for x in texts_of(batch.column(1))], strict=True)) or [()] * 4
+            rest = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *rest], names=["id", "least", "w1", "w2", "blocks"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(add, f"id {dict(docs.dtypes)[key]}, fp bigint, least binary, w1 bigint, w2 bigint, blocks array<bigint>")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(add, f"id {dict(docs.dtypes)[key]}, least binary, w1 bigint, w2 bigint, blocks array<bigint>")
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, most_bits: int = 24, pairwise: int = 64) -> DataFrame:
-    """id and component, the least key reachable over pairs of the similarity or more, of every row with a key that has company."""
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """node and shingles, the distinct shingles' hashes in order, of the classes asked for; read from the texts once more."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in texts_of(batch.column(0)):
+                kept = shingle_set(x, shingle)
+                w1, w2 = _name_of(kept)
+                yield pa.RecordBatch.from_arrays([pa.array([w1]), pa.array([w2]), pa.array([kept.view(np.int64)], pa.list_(pa.int64()))], names=["w1", "w2", "shingles"])
+
+    asked = stage(classes.join(nodes, "node"), "asked")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(asked.select(F.col("least_id").alias("id")).distinct(), "id", "left_semi").select("text")
+    # A key may stand for several texts: the set itself says which class it belongs to.
+    return texts.mapInArrow(cut, "w1 bigint, w2 bigint, shingles array<bigint>").join(asked, ["w1", "w2"]).dropDuplicates(["node"]).select("node", "shingles")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities of sets as their least hashes suggest them."""
+    same = ((a == b) & (a != EMPTY)).sum(axis=-1)
+    return same / np.maximum(((a != EMPTY) | (b != EMPTY)).sum(axis=-1), 1)
+
+
+def _likely(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
+    """The pairs u, v whose estimate reaches `least`."""
+
+    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, RANGES) for c in ("a_least", "b_least"))
-            same = ((a == b) & (a != EMPTY)).sum(axis=1)
-            either = ((a != EMPTY) | (b != EMPTY)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(same >= similarity * either))
-
-    marked = stage(sketches(docs.where(F.col(key).isNotNull()), key, text, shingle), "sketches")
-    kind = dict(marked.dtypes)["id"]
-    # Documents with one set of shingles are a class; only its least key is compared.
-    classes = stage(marked.groupBy("w1", "w2").agg(F.min("id").alias("least_id")), "sketch-classes")
-    heads = stage(marked.join(classes, ["w1", "w2"]).where("id = least_id").dropDuplicates(["id"]).select("id", "fp", "least", "blocks"), "sketch-heads")
-
-    filed = heads.select("id", F.explode("blocks").alias("block"))
-    met = filed.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 1")
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, RANGES) for c in ("a_least", "b_least"))
+                yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(_estimates(a, b) >= least))
+
+    pairs = pairs.join(heads.select(F.col("node").alias("u"), F.col("least").alias("a_least")), "u")
+    pairs = pairs.join(heads.select(F.col("node").alias("v"), F.col("least").alias("b_least")), "v")
+    return pairs.select("u", "v", "a_least", "b_least").mapInArrow(guess, "u bigint, v bigint")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs u, v whose sets of shingles have the similarity."""
+    pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v")
+
+
+def _tile_links(similarity: float):
+    """Links between the two sides of a tile that join components; a pair is looked at under the first block that it shares."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        rows = {c: table.column(c).to_pylist() for c in ("node", "component", "own", "least")}
+        sets = [np.array(x, np.int64) for x in table.column("shingles").to_pylist()]
+        block, within = table.column("block")[0].as_py(), table.column("i")[0] == table.column("j")[0]
+        least, own, component = np.frombuffer(b"".join(rows["least"]), np.uint32).reshape(-1, RANGES), np.array(rows["own"]), np.array(rows["component"])
+        this = next(k for k in range(RANGES // ROWS) if _block(rows["least"][0], k) == block)
+        full = (least != EMPTY).reshape(-1, RANGES // ROWS, ROWS).any(axis=2)
+        found: list[tuple] = []
+        for a in range(len(sets) - 1):
+            shared = (least[a] == least[a + 1 :]).reshape(-1, RANGES // ROWS, ROWS).all(axis=2) & full[a]
+            guess = _estimates(least[a], least[a + 1 :])
+            open_ = (shared.argmax(axis=1) == this) & (guess >= LOOSE * similarity) & (component[a] != component[a + 1 :]) & (within | (own[a] != own[a + 1 :]))
+            at = np.flatnonzero(open_)
+            found += zip((-guess[at]).tolist(), [a] * len(at), (at + a + 1).tolist(), strict=True)
+        parent: dict = {}
+
+        def root(x: int) -> int:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        out: list[tuple] = []
+        for _, a, b in sorted(found):  # the surest first: what they join needs no further comparison
+            ra, rb = root(rows["component"][a]), root(rows["component"][b])
+            if ra != rb:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both / (len(sets[a]) + len(sets[b]) - both) >= similarity:
+                    parent[max(ra, rb)] = min(ra, rb)
+                    out.append((rows["node"][a], rows["node"][b]))
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+
+    return compare
+
+
+def _open_members(many: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of crowded blocks that hold more than one component, with their components."""
+    named = stage(many.join(found, many["node"] == found["node"], "left").select("block", many["node"], F.coalesce("component", many["node"]).alias("component")), "crowds")
+    several = stage(named.groupBy("block").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("block", "n"), "open-blocks")
+    return stage(named.join(several, "block"), "open-members")
+
+
+def _crowd_links(many: DataFrame, edges: DataFrame, heads: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges, and those that crowded blocks add: their members are compared until no two of different components are left."""
+    members = _open_members(many, connected_components(edges))
+    # A base has links to many of its copies: the member with most links is compared with all others first.
+    degrees = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    hubs = members.join(degrees, "node").groupBy("block").agg(F.max(F.struct("degree", "node", "component")).alias("hub")).select("block", "hub.node", "hub.component")
+    hubs = stage(hubs.select("block", F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hubs")
+    pairs = members.join(hubs, "block").where("component <> hub_component").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+    edges = stage(edges.union(_exact(_likely(stage(pairs, "hub-pairs"), heads, LOOSE * similarity), sets, similarity)), "near-hubs")
+
+    members = _open_members(many, connected_components(edges)).join(heads.select("node", "least"), "node").join(sets, "node")
+    members = stage(members, "tile-members")
+    sides = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(8 * F.size("shingles")) / TILE_BYTES)).alias("sides"))
+    tiled = members.join(stage(sides, "tile-sides"), "block").withColumn("own", F.pmod(F.xxhash64("node"), "sides"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    tiled = tiled.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "least", "shingles")
+    return edges.union(tiled.groupBy("block", "i", "j").applyInArrow(_tile_links(similarity), "u bigint, v bigint"))
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, pairwise: int = 64) -> DataFrame:
+    """id and component, the least key reachable over pairs of the similarity or more, of every row with a key that has company."""
+    docs = docs.where(F.col(key).isNotNull())
+    marked = stage(sketches(docs, key, text, shingle), "sketches")
+    # Documents with one set of shingles are a class; one sketch stands for it, under a number of the class's own.
+    classes = stage(marked.groupBy("w1", "w2").agg(F.min("id").alias("least_id")).withColumn("node", F.monotonically_increasing_id()), "sketch-classes")
+    heads = stage(marked.join(classes, ["w1", "w2"]).where("id = least_id").dropDuplicates(["node"]).select("node", "least", "blocks"), "sketch-heads")
+
+    filed = heads.select("node", F.explode("blocks").alias("block"))
+    met = filed.groupBy("block").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
     met = stage(filed.join(met, "block"), "blocks-met")
-    few = met.where(F.col("n") <= pairwise)
-    pairs = few.select("block", F.col("id").alias("v")).join(few.select("block", F.col("id").alias("u")), "block").where("u > v").select("u", "v")
-    # Very many documents under one block are compared with its first and last one; they meet under other blocks too.
-    many = met.where(F.col("n") > pairwise)
-    pairs = pairs.union(many.select(F.col("id").alias("u"), F.col("low").alias("v"))).union(many.select(F.col("high").alias("u"), F.col("id").alias("v")))
-    pairs = stage(pairs.where("u <> v").distinct(), "pairs")
-    pairs = pairs.join(heads.select(F.col("id").alias("u"), F.col("fp").alias("a_fp"), F.col("least").alias("a_least")), "u")
-    pairs = pairs.join(heads.select(F.col("id").alias("v"), F.col("fp").alias("b_fp"), F.col("least").alias("b_least")), "v")
-    near = pairs.where(F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= most_bits).select("u", "v", "a_least", "b_least")
-    found = connected_components(near.mapInArrow(verify, f"u {kind}, v {kind}"))
-
-    named = classes.join(found, classes["least_id"] == found["node"], "left").select("w1", "w2", F.coalesce("component", "least_id").alias("component"))
-    return marked.select("id", "w1", "w2").join(stage(named, "sketch-names"), ["w1", "w2"]).select("id", "component")
+    few, many = met.where(F.col("n") <= pairwise), met.where(F.col("n") > pairwise)
+    pairs = few.select("block", F.col("node").alias("v")).join(few.select("block", F.col("node").alias("u")), "block").where("u > v").select("u", "v")
+    # Crowded blocks: first with two members only, which joins most of a group of near copies. The rest follows in _crowd_links.
+    pairs = pairs.union(many.select(F.col("node").alias("u"), F.col("low").alias("v"))).union(many.select(F.col("high").alias("u"), F.col("node").alias("v")))
+    pairs = stage(_likely(stage(pairs.where("u <> v").distinct(), "pairs"), heads, LOOSE * similarity), "likely-pairs")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).union(many.select("node")).distinct()
+    sets = stage(_sets(docs, classes, asked, key, text, shingle), "shingle-sets")
+    edges = stage(_exact(pairs, sets, similarity), "near")
+    if not many.isEmpty():
+        edges = _crowd_links(many, edges, heads, sets, similarity)
+
+    found = stage(connected_components(edges), "sketch-components")
+    joined = classes.join(found, "node").select("w1", "w2", "least_id", "component")
+    least = joined.groupBy("component").agg(F.min("least_id").alias("least"))
+    linked = joined.join(least, "component").select("w1", "w2", "least")
+    named = stage(classes.join(linked, ["w1", "w2"], "left").select("w1", "w2", F.coalesce("least", "least_id").alias("component")), "sketch-names")
+    return marked.select("id", "w1", "w2").join(named, ["w1", "w2"]).select("id", "component")
 
 
 def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -94,3 +94,55 @@ def test_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs):
         for _, function in corpus_pipeline.STAGES:
             out = function(spark, docs, SF)
             assert out.count() <= docs.count()
+
+
+def exact_groups(rows):
+    """Least key of each row's group over pairs of similarity 0.8 or more, by all pairs."""
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if root(a) != root(b) and similarity(sets[a], sets[b]) >= 0.8:
+                parent[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min(i, least.get(root(k), i))
+    return sorted((i, least[root(k)]) for k, (i, _) in enumerate(rows))
+
+
+def groups_found(spark, rows, **options):
+    return sorted((r.id, r.component) for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect())
+
+
+def edited(rng, base, edits):
+    own = list(base)
+    for at in rng.sample(range(len(own) // 10), edits):
+        own[at * 10 + 5] = f"new{rng.random()}"
+    return " ".join(own)
+
+
+def test_crowd_near_only_to_its_base(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.random()}" for _ in range(400)]
+    rows = [(k, edited(rng, base, 6)) for k in range(2000)]
+    rows[1234] = (1234, " ".join(base))
+    assert 0.85 < similarity(shingles(rows[0][1]), shingles(rows[1234][1])) and similarity(shingles(rows[0][1]), shingles(rows[1][1])) < 0.8
+    assert {c for _, c in groups_found(spark, rows)} == {0}
+
+
+def test_crowds_are_compared_in_full(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.random()}" for _ in range(400)]
+    other = edited(rng, base, 9).split()  # too far from the base, but under the same blocks
+    rows = [(k, edited(rng, base if k % 2 else other, rng.choice([2, 6, 8]))) for k in range(300)]
+    rows += [(300, " ".join(base)), (301, " ".join(other))]
+    rows = [(k, t) for k, (_, t) in enumerate(rng.sample(rows, len(rows)))]
+    want = exact_groups(rows)
+    assert len({c for _, c in want}) > 1
+    assert groups_found(spark, rows) == groups_found(spark, rows, pairwise=8) == want
