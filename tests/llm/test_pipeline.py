@@ -146,3 +146,12 @@ def test_crowds_are_compared_in_full(spark):
     want = exact_groups(rows)
     assert len({c for _, c in want}) > 1
     assert groups_found(spark, rows) == groups_found(spark, rows, pairwise=8) == want
+
+
+def test_similarity_is_exact_at_the_threshold(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(150):
+        base = [f"w{rng.random()}" for _ in range(1000)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, edited(rng, base, rng.choice([19, 21, 22, 23, 24])))]
+    assert groups_found(spark, rows) == exact_groups(rows)
