@@ -155,3 +155,12 @@ def test_similarity_is_exact_at_the_threshold(spark):
         base = [f"w{rng.random()}" for _ in range(1000)]
         rows += [(len(rows), " ".join(base)), (len(rows) + 1, edited(rng, base, rng.choice([19, 21, 22, 23, 24])))]
     assert groups_found(spark, rows) == exact_groups(rows)
+
+
+def test_repeated_passages_and_repeated_keys(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(40):
+        base = [f"w{rng.random()}" for _ in range(300)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + base[40:60] * 50))]
+    assert groups_found(spark, rows) == exact_groups(rows)
