@@ -164,3 +164,6 @@ def test_repeated_passages_and_repeated_keys(spark):
         base = [f"w{rng.random()}" for _ in range(300)]
         rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + base[40:60] * 50))]
     assert groups_found(spark, rows) == exact_groups(rows)
+    one, two = ([f"{x}{rng.random()}" for _ in range(300)] for x in "xy")
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, edited(rng, one, 2)), (3, edited(rng, two, 2))]
+    assert {c for _, c in groups_found(spark, rows)} == {1}
