@@ -1,13 +1,15 @@
 """Benchmark decontamination by template windows.
 
 Texts and benchmark items become sequences of template tokens: numbers turn into <num>, a unit after a number into
-<unit>, a capitalised word (not one in capitals) that starts no sentence into <name>, any other word into itself in lower case. Windows of eight
-tokens are hashed; items of five to seven tokens use windows of five. Document windows pass a bitmap of the benchmark's
-hashes, which has a fixed size however long the benchmark is, and what passes is hash-joined with the benchmark's windows.
+<unit>, capitalised words (not those in capitals) into one <name> for neighbours, any other word into itself in lower case. A
+capitalised word that opens a sentence may be a name or not, so a text has two such readings; a third one is literal, with all
+tokens in lower case. Windows of eight tokens are hashed; items of five to seven tokens use windows of five. Template windows
+hold a limited number of placeholders, literal ones any. Document windows pass a bitmap of the benchmark's hashes, which
+has a fixed size however long the benchmark is, and what passes is hash-joined with the benchmark's windows.
 
-Windows of one document and item with one alignment belong together. The values behind their placeholders are compared:
-a document is contaminated if enough windows agree word for word, or if enough templates agree and the item's values map
-to the document's values consistently, which is what a question with new numbers or names looks like.
+Windows of one document, item and reading with one alignment belong together, also where the alignment moves a little.
+A document is contaminated if enough literal windows agree, or if enough templates agree and the item's values (the first
+word of a name) map to the document's values consistently, which is what a question with new numbers or names looks like.
 
 Defined cases: a null or empty text or item has no tokens and meets nothing; an item of fewer than five tokens is too
 short to be told from chance and meets nothing; items that repeat are reported by their least id; repeated rows give
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,12 @@ from .token_counts import _ANY_WHITE, segments
 WINDOW, SHORT_WINDOW = 8, 5
 #: Windows that have to agree along one alignment, or half of the item's if that is fewer.
 ENOUGH = 6
-#: Placeholders that a window may hold at most.
+#: Placeholders that a template window may hold at most. Literal windows have no limit.
 MOST_SLOTS = {WINDOW: 4, SHORT_WINDOW: 1}
+#: Places by which an alignment may move within one run.
+DRIFT = 2
+#: Readings of a text: sentence openers as words, as names, and all tokens as they stand.
+PLAIN, NAMED, LITERAL = 0, 1, 2
 BITMAP_BITS = 1 << 24
 REMEMBERED = 400_000
 #: Bytes of text whose new pieces are cut at once.
@@ -75,8 +82,11 @@ def _flat(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(hashes, np.uint64), np.array(flags, np.uint8), np.array(sizes, np.int64)
 
 
-def template(hashes: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Template hashes, and 1, 2, 3 where a number, name or unit stands, in order; marks that stood alone are gone."""
+def readings(hashes: np.ndarray, flags: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Readings of a text: number, token hashes, 1, 2, 3 where a number, name or unit stands, and each one's place among the text's tokens.
+
+    Marks that stood alone are gone. NAMED is left out where no capitalised word opens a sentence, as it would be PLAIN.
+    """
     opens = (flags & OPENS).astype(bool)
     opens[1:] |= (flags[:-1] & CLOSES).astype(bool)
     opens[:1] = True
@@ -84,23 +94,35 @@ def template(hashes: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndar
     after = np.zeros(len(flags), bool)
     after[1:] = number[:-1]
     unit = after & (flags & UNIT).astype(bool)
-    name = (flags & CAPITAL).astype(bool) & ~opens & ~unit
-    slots = number * 1 + name * 2 + unit * 3
-    out = np.select([number, name, unit], [_NUM, _NAME, _UNIT], hashes)
+    capital = (flags & CAPITAL).astype(bool) & ~unit
     real = hashes != 0
-    return out[real], slots[real].astype(np.uint8)
+    hashes, opens, capital, fixed = hashes[real], opens[real], capital[real], (number * 1 + unit * 3)[real]
+    templated = np.select([fixed == 1, fixed == 3], [_NUM, _UNIT], hashes)
+    out = []
+    for reading, name in ((PLAIN, capital & ~opens), (NAMED, capital)):
+        if reading == PLAIN or (capital & opens).any():
+            goes_on = np.zeros(len(name), bool)
+            goes_on[1:] = name[1:] & name[:-1] & ~opens[1:]
+            at = np.flatnonzero(~goes_on)
+            out.append((reading, np.where(name, _NAME, templated)[at], np.where(name, 2, fixed).astype(np.uint8)[at], at))
+    return [*out, (LITERAL, hashes, np.zeros(len(hashes), np.uint8), np.arange(len(hashes)))]
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = ((a * _MIX) ^ b) * _MIX
+    return out ^ (out >> np.uint64(31))
 
 
 def window_hashes(tokens: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """A signed hash of each window, and whether it holds few enough placeholders."""
-    count = len(tokens) - size + 1
-    if count <= 0:
+    if len(tokens) < size:
         return np.zeros(0, np.int64), np.zeros(0, bool)
     with np.errstate(over="ignore"):
-        out = np.full(count, size, np.uint64)
-        for k in range(size):
-            out = (out ^ tokens[k : k + count]) * _MIX
-            out ^= out >> np.uint64(31)
+        out = _pair(tokens[:-1], tokens[1:])
+        out = _pair(out[:-2], out[2:])
+        out = _pair(out[:-4], out[4:]) if size == WINDOW else _pair(out[:-1], tokens[4:])
+    if not slots.any():
+        return out.view(np.int64), np.ones(len(out), bool)
     filled = np.concatenate([[0], np.cumsum(slots > 0)])
     return out.view(np.int64), filled[size:] - filled[:-size] <= MOST_SLOTS[size]
 
@@ -130,7 +152,11 @@ class Templates:
             self._forget()
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Template tokens and slots of one text, a segment at a time."""
+        """Template tokens and slots of one text where sentence openers are words."""
+        return self.readings_of(text)[0][1:3]
+
+    def readings_of(self, text: str) -> list[tuple]:
+        """All readings of one text, a segment at a time."""
         hashes, flags = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
         for part in segments(text, SEGMENT_CHARS, _ANY_WHITE):
             numbers = self._look(part)
@@ -138,45 +164,49 @@ class Templates:
             hashes.append(self.hashes.take(numbers))
             flags.append(self.flags.take(numbers))
             self._forget_at_limit()
-        return template(np.concatenate(hashes), np.concatenate(flags))
+        return readings(np.concatenate(hashes), np.concatenate(flags))
 
-    def of_group(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def of_group(self, texts: list[str]) -> Iterator[list[tuple]]:
         """The same for each of several texts; new pieces of those of ordinary size are cut together."""
         held = [self._look(text) if len(text) <= SEGMENT_CHARS else None for text in texts]
         self._cut_pending()
         ready = [None if numbers is None else (self.hashes.take(numbers), self.flags.take(numbers)) for numbers in held]
         self._forget_at_limit()
         for text, tokens in zip(texts, ready, strict=True):
-            yield self.of(text) if tokens is None else template(*tokens)
+            yield self.readings_of(text) if tokens is None else readings(*tokens)
 
 
-def _slot_values(text: str, slots: np.ndarray, starts: np.ndarray, size: int) -> list[list[str]]:
+def _slot_values(text: str, slots: np.ndarray, at: np.ndarray, starts: np.ndarray, size: int) -> list[list[str]]:
     if not len(starts) or not any(slots[s : s + size].any() for s in starts):
         return [[] for _ in starts]
     words = [x.lower() for x in _TOKEN.findall(text)]
-    return [[f"{slots[k]}:{words[k]}" for k in range(s, s + size) if slots[k]] for s in starts]
+    return [[f"{slots[k]}:{words[at[k]]}" for k in range(s, s + size) if slots[k]] for s in starts]
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """hash, item, item_place, item_slots and windows, the number of windows of the item."""
+    """hash, reading, item, item_place, item_slots and windows, the number of windows of the item in this reading."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Templates()
         for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], []]
             for k, x in zip(batch.column(0), texts_of(batch.column(1)), strict=True):
-                tokens, slots = own.of(x)
-                size = WINDOW if len(tokens) >= WINDOW else SHORT_WINDOW
-                hashes, usable = window_hashes(tokens, slots, size)
-                places = np.flatnonzero(usable)
-                for row in zip(hashes[places].tolist(), [k.as_py()] * len(places), places.tolist(), _slot_values(x, slots, places, size), [len(places)] * len(places), strict=True):
-                    for column, value in zip(columns, row, strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), batch.schema.field(0).type, pa.int64(), pa.list_(pa.string()), pa.int64()), strict=True)], names=["hash", "item", "item_place", "item_slots", "windows"])
+                views = own.readings_of(x)
+                size = WINDOW if len(views[-1][1]) >= WINDOW else SHORT_WINDOW
+                for reading, tokens, slots, at in views:
+                    hashes, usable = window_hashes(tokens, slots, size)
+                    places = np.flatnonzero(usable)
+                    # Openers read as names leave few windows usable at times: all of them count for what is enough.
+                    windows = len(hashes) if reading == NAMED else len(places)
+                    n = len(places)
+                    for row in zip(hashes[places].tolist(), [reading] * n, [k.as_py()] * n, places.tolist(), _slot_values(x, slots, at, places, size), [windows] * n, strict=True):
+                        for column, value in zip(columns, row, strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), batch.schema.field(0).type, pa.int64(), pa.list_(pa.string()), pa.int64()), strict=True)], names=["hash", "reading", "item", "item_place", "item_slots", "windows"])
 
     kind = dict(items.dtypes)[key]
     distinct = items.groupBy(F.col(text).alias("text")).agg(F.min(key).alias("item"))
-    return distinct.select("item", "text").mapInArrow(cut, f"hash bigint, item {kind}, item_place bigint, item_slots array<string>, windows bigint")
+    return distinct.select("item", "text").mapInArrow(cut, f"hash bigint, reading int, item {kind}, item_place bigint, item_slots array<string>, windows bigint")
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
@@ -190,15 +220,15 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return out
 
 
-def _templates_of(own: Templates, column: pa.Array, lengths: list[int]) -> Iterator[tuple[int, str, tuple[np.ndarray, np.ndarray]]]:
+def _templates_of(own: Templates, column: pa.Array, lengths: list[int]) -> Iterator[tuple[int, str, list[tuple]]]:
     for first, last in byte_groups(lengths, GROUP_BYTES):
         texts = list(texts_of(column.slice(first, last - first)))
-        for k, tokens in enumerate(own.of_group(texts)):
-            yield first + k, texts[k], tokens
+        for k, views in enumerate(own.of_group(texts)):
+            yield first + k, texts[k], views
 
 
 def document_windows(docs: DataFrame, bitmap: np.ndarray, key: str = "doc_id", text: str = "text", short: bool = True) -> DataFrame:
-    """hash, doc, doc_print, doc_place and doc_slots of the windows whose hash has its bit set."""
+    """hash, reading, doc, doc_print, doc_place, doc_at (its token in the text) and doc_slots of the windows whose hash has its bit set."""
     sizes = (WINDOW, SHORT_WINDOW) if short else (WINDOW,)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,42 +237,47 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, key: str = "doc_id", t
         own = kept(("templates",), Templates)
         for batch in batches:
             rows: list[int] = []
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[], [], [], [], [], []]
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            for row, x, (tokens, slots) in _templates_of(own, batch.column(1), lengths):
-                for size in sizes:
+            for row, x, views in _templates_of(own, batch.column(1), lengths):
+                for (reading, tokens, slots, at), size in product(views, sizes):
                     hashes, usable = window_hashes(tokens, slots, size)
-                    bit = np.mod(hashes, BITMAP_BITS)
+                    bit = hashes & (BITMAP_BITS - 1)
                     places = np.flatnonzero(usable & ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool))
                     if len(places):
                         rows += [row] * len(places)
                         columns[0] += hashes[places].tolist()
-                        columns[1] += [xxh64_intdigest(x.encode()) - (1 << 63)] * len(places)
-                        columns[2] += places.tolist()
-                        columns[3] += _slot_values(x, slots, places, size)
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *arrays], names=["doc", "hash", "doc_print", "doc_place", "doc_slots"])
+                        columns[1] += [reading] * len(places)
+                        columns[2] += [xxh64_intdigest(x.encode()) - (1 << 63)] * len(places)
+                        columns[3] += places.tolist()
+                        columns[4] += at[places].tolist()
+                        columns[5] += _slot_values(x, slots, at, places, size)
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *arrays], names=["doc", "hash", "reading", "doc_print", "doc_place", "doc_at", "doc_slots"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key), F.col(text)).mapInArrow(cut, f"doc {kind}, hash bigint, doc_print bigint, doc_place bigint, doc_slots array<string>")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(cut, f"doc {kind}, hash bigint, reading int, doc_print bigint, doc_place bigint, doc_at bigint, doc_slots array<string>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", enough: int = ENOUGH) -> DataFrame:
     """One row for each document and item that meet: doc, item, matched windows, windows of the item, place, verbatim."""
     known = stage(item_windows(items, item_key, item_text), "item-windows")
-    met = document_windows(docs, _bitmap(known), key, text).join(known, "hash")
+    met = document_windows(docs, _bitmap(known), key, text).join(known, ["hash", "reading"])
     pairs = F.zip_with("item_slots", "doc_slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
-    met = met.select("doc", "doc_print", "item", "windows", (F.col("doc_place") - F.col("item_place")).alias("shift"), "item_place", "doc_place", pairs.alias("pairs"), (F.col("item_slots") == F.col("doc_slots")).cast("int").alias("same"))
-    runs = met.groupBy("doc", "doc_print", "item", "windows", "shift").agg(
+    # Each exact alignment, and two sets of overlapping bands of alignments: what moves by DRIFT or less lies within a band.
+    shift, band = F.col("doc_place") - F.col("item_place"), 2 * DRIFT + 1
+    bands = [F.struct(F.lit(k).alias("set"), F.floor((shift + DRIFT * k) / n).alias("shift")) for k, n in ((0, 1), (1, band), (2, band))]
+    met = met.select("doc", "doc_print", "item", "windows", "reading", "item_place", "doc_at", pairs.alias("pairs"), F.explode(F.array(*bands)).alias("run"))
+    runs = met.groupBy("doc", "doc_print", "item", "windows", "reading", "run").agg(
         F.count_distinct("item_place").alias("matched"),
-        F.count_distinct(F.when(F.col("same") == 1, F.col("item_place"))).alias("verbatim"),
-        F.min("doc_place").alias("place"),
+        F.min("doc_at").alias("place"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"]))) == F.size("pairs")
     need = F.least(F.lit(enough), F.ceil(F.col("windows") / 2))
-    runs = runs.where((F.col("verbatim") >= need) | ((F.col("matched") >= need) & consistent))
-    return runs.groupBy("doc", "item").agg(F.max("matched").alias("matched"), F.max("windows").alias("windows"), F.min("place").alias("place"), (F.max("verbatim") >= F.max("matched")).alias("verbatim"))
+    runs = runs.where((F.col("matched") >= need) & consistent)
+    literal = F.coalesce(F.max(F.when(F.col("reading") == LITERAL, F.col("matched"))), F.lit(0))
+    return runs.groupBy("doc", "item").agg(F.max("matched").alias("matched"), F.max("windows").alias("windows"), F.min("place").alias("place"), (literal >= F.max("matched")).alias("verbatim"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

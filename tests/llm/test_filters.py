@@ -205,3 +205,25 @@ def test_long_words_and_segments(model, monkeypatch):
     one = langid.Scorer(model).totals(iter(["une longue phrase " * 30, "x" * 500]))
     monkeypatch.setattr(langid, "SEGMENT_CHARS", 40)
     assert np.allclose(one, langid.Scorer(model).totals(iter(["une longue phrase " * 30, "x" * 500])))
+
+
+def holds(spark, item, texts):
+    own = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return {r.doc: r.verbatim for r in dc.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), own).collect()}
+
+
+def test_names_that_open_sentences(spark):
+    item = "Tom has 5 apples. Ann buys 3 more. Tom eats 2 of them. How many are left?"
+    got = holds(spark, item, [
+        "Some words. " + item.replace("Tom", "Bob").replace("Ann", "Eve").replace("5", "9").replace("3", "4"),
+        "Some words. " + item.replace("Tom", "Bob Jones").replace("Ann", "Eve").replace("5", "9"),
+        "Some words. Bob has 5 apples. Eve buys 3 more. Sue eats 2 of them. How many are left?",  # one name became two
+        "Tom sees 5 pears. Ann sold 3 more. Tom hid 2 in there. How often did they fall?",
+    ])
+    assert got == {0: False, 1: False}
+
+
+def test_names_of_more_words(spark):
+    item = ITEMS[0][1]
+    got = holds(spark, item, [f"we read: {item.replace('Anna', 'Maria Smith Jones').replace('12', '45')}", item.replace("12 apples", "1 200 apples").replace("Anna", "Bob")])
+    assert got == {0: False, 1: False}
