@@ -227,3 +227,9 @@ def test_names_of_more_words(spark):
     item = ITEMS[0][1]
     got = holds(spark, item, [f"we read: {item.replace('Anna', 'Maria Smith Jones').replace('12', '45')}", item.replace("12 apples", "1 200 apples").replace("Anna", "Bob")])
     assert got == {0: False, 1: False}
+
+
+@pytest.mark.parametrize("item", ["What is 3 + 5 + 7 + 9 + 11 + 13?", "Add 3 4 and 5 6", "When Anna Met Bob And Carl Near Dora Or Emil By Fritz Ulm", "then Anna saw Bob and Carl and Dora and Emil and Fritz in Ulm"])
+def test_dense_items_match_word_for_word(spark, item):
+    filler = "some other words stand here"
+    assert holds(spark, item, [f"{filler} {item} {filler}", f"{filler} {item.lower()} {filler}", f"{filler}\n{item.upper()}", filler]) == {0: True, 1: True, 2: True}
