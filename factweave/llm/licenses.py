@@ -2,7 +2,7 @@
 
 Texts become words: A-Z lower-cased, everything that is neither a letter, a digit nor outside ASCII parts words. A keyword
 prefilter passes the few texts that can hold a license at all; only those keep their words. A rule is a regular
-expression over words with a keyword of its own, a label, a priority and a confidence; it runs only where its keyword is.
+expression over words with a keyword that each of its matches holds, a label, a priority and a confidence; it runs only where its keyword is.
 Detections are intervals of words. One that lies within another of the same or a higher priority is suppressed, so that
 "cc by nc sa 4 0" is not also "cc by nc". Base labels stand whatever the rules find.
 
@@ -31,35 +31,41 @@ NAMES = [
     ("apache-2", "apache(?: software)?(?: license)? (?:version )?2(?: 0)?", "apache"), ("apache", "apache(?: software(?: foundation)?)?", "apache"), ("gpl-2", "(?:gnu )?(?:gpl|general public license) ?(?:version |v)?2(?: 0)?", "g"),
     ("gpl-3", "(?:gnu )?(?:gpl|general public license) ?(?:version |v)?3(?: 0)?", "g"), ("gpl", "(?:gnu gpl|gnu general public license|gpl)", "g"), ("lgpl-2.1", "(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v)?2 1", "l"),
     ("lgpl-3", "(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v)?3(?: 0)?", "l"), ("lgpl", "(?:gnu lesser general public license|gnu library general public license|lgpl)", "l"), ("agpl-3", "(?:gnu )?(?:agpl|affero general public license) ?(?:version |v)?3(?: 0)?", "a"),
-    ("agpl", "(?:gnu affero general public license|agpl)", "a"), ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", "bsd"), ("bsd-3-clause", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)", "bsd"),
-    ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)", "bsd"), ("0bsd", "(?:0bsd|zero clause bsd|bsd zero clause)", "bsd"), ("bsd", "bsd", "bsd"), ("mpl-1.1", "(?:mozilla public license|mpl) ?(?:version |v)?1 1", "m"),
+    ("agpl", "(?:gnu affero general public license|agpl)", "a"), ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)", "bsd"), ("bsd-2-clause", "freebsd", "freebsd"), ("bsd-3-clause", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)", "bsd"),
+    ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)", "bsd"), ("0bsd", "0bsd", "0bsd"), ("0bsd", "(?:zero clause bsd|bsd zero clause)", "bsd"), ("bsd", "bsd", "bsd"), ("mpl-1.1", "(?:mozilla public license|mpl) ?(?:version |v)?1 1", "m"),
     ("mpl-2", "(?:mozilla public license|mpl) ?(?:version |v)?2(?: 0)?", "m"), ("mpl", "(?:mozilla public license|mpl)", "m"), ("epl-1", "(?:eclipse public license|epl) ?(?:version |v)?1(?: 0)?", "e"), ("epl-2", "(?:eclipse public license|epl) ?(?:version |v)?2(?: 0)?", "e"),
-    ("cddl", "(?:common development and distribution license|cddl)", "cd"), ("cpl", "common public license", "common"), ("isc", "(?:isc|internet systems consortium)", "i"), ("zlib", "zlib(?: libpng)?", "zlib"), ("boost", "(?:boost software|bsl 1 0)", "bo"),
+    ("cddl", "common development and distribution license", "common"), ("cddl", "cddl", "cddl"), ("cpl", "common public license", "common"), ("isc", "(?:isc|internet systems consortium)", "i"), ("zlib", "zlib(?: libpng)?", "zlib"), ("boost", "boost software", "boost"), ("boost", "bsl 1 0", "bsl"),
     ("artistic-2", "artistic(?: license)? (?:version )?2(?: 0)?", "artistic"), ("artistic", "(?:perl )?artistic", "artistic"), ("unlicense", "(?:the )?unlicense", "unlicense"), ("wtfpl", "(?:wtfpl|do what the fuck you want to)", "w"), ("cc0", "(?:cc0|cc zero|creative commons zero)(?: 1 0)?", "c"),
-    ("cc-by", "(?:cc by|creative commons attribution)(?: [1-4] [05])?", "c"), ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?", "c"), ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?(?: works)?)(?: [1-4] [05])?", "c"),
-    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?", "c"), ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", "c"),
-    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: [1-4] [05])?", "c"), ("odbl", "(?:open database license|odbl)", "o"), ("odc-by", "(?:open data commons attribution|odc by)", "o"), ("ofl", "(?:sil )?open font license", "open"),
+    ("cc-by", "cc by(?: [1-4] [05])?", "cc"), ("cc-by", "creative commons attribution(?: [1-4] [05])?", "creative"), ("cc-by-sa", "cc by sa(?: [1-4] [05])?", "cc"), ("cc-by-sa", "creative commons attribution share ?alike(?: [1-4] [05])?", "creative"), ("cc-by-nd", "cc by nd(?: [1-4] [05])?", "cc"), ("cc-by-nd", "creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?", "creative"),
+    ("cc-by-nc", "cc by nc(?: [1-4] [05])?", "cc"), ("cc-by-nc", "creative commons attribution non ?commercial(?: [1-4] [05])?", "creative"), ("cc-by-nc-sa", "cc by nc sa(?: [1-4] [05])?", "cc"), ("cc-by-nc-sa", "creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?", "creative"),
+    ("cc-by-nc-nd", "cc by nc nd(?: [1-4] [05])?", "cc"), ("cc-by-nc-nd", "creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: [1-4] [05])?", "creative"), ("odbl", "(?:open database license|odbl)", "o"), ("odc-by", "(?:open data commons attribution|odc by)", "o"), ("ofl", "(?:sil )?open font license", "open"),
     ("python", "(?:python software foundation|psf)(?: license)?(?: version 2)?", "p"), ("php", "php license", "php"), ("ruby", "ruby license", "ruby"), ("openssl", "openssl", "openssl"), ("eupl", "(?:european union public license|eupl)", "eu"), ("ms-pl", "(?:microsoft public license|ms pl)", "m"),
     ("gfdl", "(?:gnu free documentation license|gfdl)", "g"), ("postgresql", "postgresql license", "postgresql"), ("bsl", "business source license", "business"), ("sspl", "(?:server side public license|sspl)", "s"), ("elastic", "elastic license", "elastic"), ("cecill", "cecill", "cecill"),
 ]
-#: Ways in which a text names a license: expression around the name, priority and confidence. Hand-written.
+#: Ways in which a text names a license: expression around the name, priority, confidence, and words that every match of it holds. Hand-written.
+_VERBS = "(?:licensed|released|distributed|available|provided|published|covered|offered) (?:to you )?under"
+_TERMS = "(?:subject to|governed by|pursuant to|according to)"
 WAYS = [
-    ("spdx license identifier {name}", 3, 1.0),
-    ("(?:licensed|released|distributed|available|provided|published|covered|offered) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: (?:public )?licen[sc]e)?(?: version \\d+(?: \\d+)?)?", 2, 0.95),
-    ("under (?:the )?(?:terms of )?(?:the )?{name} licen[sc]e", 2, 0.9),
-    ("(?:subject to|governed by|pursuant to|according to) (?:the )?(?:terms of )?(?:the )?{name}(?: licen[sc]e)?", 2, 0.85),
-    ("licen[sc]e (?:is |type |name )?(?:the )?{name}", 2, 0.8),
-    ("{name} (?:public )?licen[sc]e(?: (?:version|v) ?\\d+(?: \\d+)?)?", 1, 0.7),
+    ("spdx license identifier {name}", 3, 1.0, "spdx license identifier"),
+    (_VERBS + " (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: (?:public )?licen[sc]e)?(?: version \\d+(?: \\d+)?)?", 2, 0.95, _VERBS),
+    ("under (?:the )?(?:terms of )?(?:the )?{name} licen[sc]e", 2, 0.9, "licen[sc]e"),
+    (_TERMS + " (?:the )?(?:terms of )?(?:the )?{name}(?: licen[sc]e)?", 2, 0.85, _TERMS),
+    ("licen[sc]e (?:is |type |name )?(?:the )?{name}", 2, 0.8, "licen[sc]e"),
+    ("{name} (?:public )?licen[sc]e(?: (?:version|v) ?\\d+(?: \\d+)?)?", 1, 0.7, "licen[sc]e"),
 ]
-#: What a text of any license has to hold, in lower case.
-PREFILTER = "licen[sc]|cc[^0-9a-z\\u0080-\\x{10FFFF}]+by|copyright|spdx|pursuant to|subject to|governed by|according to|(?:licensed|released|distributed|available|provided|published|covered|offered)[^0-9a-z]+(?:to[^0-9a-z]+you[^0-9a-z]+)?under"
+#: Words that bare Creative Commons marks hold.
+_BARE = ["cc by", "creative commons attribution"]
+#: What stands between two words of a text in lower case.
+GAP = "[^0-9a-z\\u0080-\\x{10FFFF}]+"
+#: What a text of any license has to hold, in lower case: what the rules hold, with anything that parts words between them.
+PREFILTER = "|".join(dict.fromkeys([w[3] for w in WAYS] + _BARE)).replace(" ", GAP)
 WORD = "[0-9A-Za-z\\u0080-\\x{10FFFF}]+"
 
 
 def rules() -> list[tuple]:
     """(number, label, keyword, expression, priority, confidence): every way of every name, and bare Creative Commons marks."""
-    rows = [(label, keyword, way.format(name=name), priority, score) for label, name, keyword in NAMES for way, priority, score in WAYS]
-    rows += [(label, "cc", name, 1, 0.6) for label, name, _ in NAMES if label.startswith("cc-by")]
+    rows = [(label, keyword, way.format(name=name), priority, score) for label, name, keyword in NAMES for way, priority, score, _ in WAYS]
+    rows += [(label, keyword, name, 1, 0.6) for label, name, keyword in NAMES if label.startswith("cc-by")]
     return [(number, *row) for number, row in enumerate(rows)]
 
 

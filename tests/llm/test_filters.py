@@ -233,3 +233,49 @@ def test_names_of_more_words(spark):
 def test_dense_items_match_word_for_word(spark, item):
     filler = "some other words stand here"
     assert holds(spark, item, [f"{filler} {item} {filler}", f"{filler} {item.lower()} {filler}", f"{filler}\n{item.upper()}", filler]) == {0: True, 1: True, 2: True}
+
+
+def samples(expression):
+    """Texts that match an expression: each alternative, and each optional part once with and once without."""
+    from itertools import islice, product
+    from re import _constants as c, _parser
+
+    def walk(tree):
+        parts = []
+        for op, arg in tree:
+            if op is c.LITERAL:
+                parts.append([chr(arg)])
+            elif op is c.NOT_LITERAL:
+                parts.append(["q"])
+            elif op is c.IN:
+                first = arg[0]
+                parts.append(["3" if first[0] is c.CATEGORY else chr(first[1][0] if first[0] is c.RANGE else first[1])])
+            elif op is c.BRANCH:
+                parts.append([x for branch in arg[1] for x in walk(branch)])
+            elif op is c.SUBPATTERN:
+                parts.append(walk(arg[3]))
+            elif op is c.MAX_REPEAT:
+                parts.append([*([""] if arg[0] == 0 else []), *walk(arg[2])])
+            else:
+                raise ValueError(op)
+        return ["".join(x) for x in islice(product(*parts), 400)]
+
+    return walk(_parser.parse(expression))
+
+
+def test_no_gate_stops_what_a_rule_matches():
+    gate = re.compile(licenses.PREFILTER.replace("\\x{10FFFF}", "\U0010ffff").replace("\\u0080", "\x80"))
+    for _, label, keyword, expression, _, _ in licenses.rules():
+        for text in samples(expression):
+            assert re.fullmatch(expression, text), (expression, text)
+            assert f" {keyword}" in f" {text} ", (label, keyword, text)
+            assert gate.search(text) and gate.search(text.replace(" ", " \n-")), (label, text)
+
+
+def test_names_and_bodies_that_gates_or_rules_missed(spark):
+    texts = {
+        "licensed under the Common Development and Distribution License": "cddl", "SPDX-License-Identifier: BSL-1.0": "boost", "released under the FreeBSD license": "bsd-2-clause", "SPDX-License-Identifier: 0BSD": "0bsd",
+        "Creative Commons Attribution 4.0": "cc-by", "subject\n  to the zlib terms": "zlib",
+    }
+    got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame([(t, t) for t in texts], "doc_id string, text string")).collect()}
+    assert got == texts
