@@ -53,19 +53,49 @@ WAYS = [
     ("licen[sc]e (?:is |type |name )?(?:the )?{name}", 2, 0.8, "licen[sc]e"),
     ("{name} (?:public )?licen[sc]e(?: (?:version|v) ?\\d+(?: \\d+)?)?", 1, 0.7, "licen[sc]e"),
 ]
+#: Signatures of license texts and file headers that need not name the license: label, expression, keyword, and words that every match holds. Hand-written.
+_GNU = "it under the terms of the gnu {} public license as published by the free software foundation"
+BODIES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission", "permission is hereby granted"),
+    ("isc", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted", "permission", "permission to use copy modify"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "permission", "permission to use copy modify"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "permission", "permission is hereby granted"),
+    ("ofl", "permission is hereby granted free of charge to any person obtaining a copy of the font software", "permission", "permission is hereby granted"),
+    ("x11", "except as contained in this notice the name of (?:the )?(?:x consortium|[^ ]+(?: [^ ]+){0,5}) shall not be used in advertising or otherwise to promote the sale", "except", "except as contained in this notice"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution", "redistribution and use in source"),
+    ("bsd-3-clause", "neither the names? of [^ ]+(?: [^ ]+){0,12} (?:nor the names of (?:its|their|the) contributors )?may be used to endorse or promote products derived from this software", "neither", "neither the names? of"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "advertising", "advertising materials mentioning"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "permission", "permission is granted to anyone"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", "unencumbered software"),
+    ("wtfpl", "(?:0 )?you just do what the fuck you want to", "fuck", "just do what the fuck"),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at https? www apache org licenses license 2 0", "compliance", "licenses"),
+    ("apache-2", "apache license version 2 0 january 2004", "apache", "apache license"),
+    ("gpl", _GNU.format("general"), "gnu", "gnu general public license"), ("lgpl", _GNU.format("(?:lesser|library) general"), "gnu", "general public license"), ("agpl", _GNU.format("affero general"), "gnu", "gnu affero"),
+    ("gpl-2", "gnu general public license version 2 june 1991", "gnu", "gnu general public license"), ("gpl-3", "gnu general public license version 3 29 june 2007", "gnu", "gnu general public license"),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999", "gnu", "gnu lesser"), ("lgpl-3", "gnu lesser general public license version 3 29 june 2007", "gnu", "gnu lesser"), ("agpl-3", "gnu affero general public license version 3 19 november 2007", "gnu", "gnu affero"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla", "mozilla public license"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", "mozilla", "mozilla public license"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v |version )?2 0", "eclipse", "eclipse public license"),
+    ("epl-1", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v |version )?1 0", "eclipse", "eclipse public license"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", "common", "common development and distribution"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gnu", "gnu free documentation"),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied", "intent", "the intent of this document"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", "deed", "with this deed"),
+]
 #: Words that bare Creative Commons marks hold.
 _BARE = ["cc by", "creative commons attribution"]
 #: What stands between two words of a text in lower case.
 GAP = "[^0-9a-z\\u0080-\\x{10FFFF}]+"
 #: What a text of any license has to hold, in lower case: what the rules hold, with anything that parts words between them.
-PREFILTER = "|".join(dict.fromkeys([w[3] for w in WAYS] + _BARE)).replace(" ", GAP)
+PREFILTER = "|".join(dict.fromkeys([w[3] for w in WAYS] + _BARE + [b[3] for b in BODIES])).replace(" ", GAP)
 WORD = "[0-9A-Za-z\\u0080-\\x{10FFFF}]+"
 
 
 def rules() -> list[tuple]:
-    """(number, label, keyword, expression, priority, confidence): every way of every name, and bare Creative Commons marks."""
+    """(number, label, keyword, expression, priority, confidence): every way of every name, bare Creative Commons marks, and license bodies."""
     rows = [(label, keyword, way.format(name=name), priority, score) for label, name, keyword in NAMES for way, priority, score, _ in WAYS]
     rows += [(label, keyword, name, 1, 0.6) for label, name, keyword in NAMES if label.startswith("cc-by")]
+    rows += [(label, keyword, body, 3, 0.95) for label, body, keyword, _ in BODIES]
     return [(number, *row) for number, row in enumerate(rows)]
 
 

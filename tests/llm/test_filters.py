@@ -276,6 +276,10 @@ def test_names_and_bodies_that_gates_or_rules_missed(spark):
     texts = {
         "licensed under the Common Development and Distribution License": "cddl", "SPDX-License-Identifier: BSL-1.0": "boost", "released under the FreeBSD license": "bsd-2-clause", "SPDX-License-Identifier: 0BSD": "0bsd",
         "Creative Commons Attribution 4.0": "cc-by", "subject\n  to the zlib terms": "zlib",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal": "mit",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:": "bsd",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl",
     }
     got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame([(t, t) for t in texts], "doc_id string, text string")).collect()}
     assert got == texts
