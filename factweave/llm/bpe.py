@@ -1,14 +1,18 @@
 """Byte-level BPE: exact merges in linear time, and decoding by an offset table.
 
-The encoder backtracks. Aho-Corasick matching finds the longest token at a place. Walking from the left, a token is taken if it is compatible with the one before it, that is, if merging in
-rank order would not have joined across their border. Otherwise the next shorter token is tried, and if none is left the
-token before is given up; a position that led nowhere is never entered again, which bounds the work. The only sequence
-in which all neighbours are compatible is the one that the merges make.
+The encoder backtracks. Aho-Corasick matching finds the longest token at a place, from no more bytes than the longest
+token has, so the work for a token does not depend on what it stands in. Walking from the left, a token is taken if it is
+compatible with the one before it, that is, if merging in rank order would not have joined across their border. Otherwise
+the next shorter token is tried, and if none is left the token before is given up; a position that led nowhere is never
+entered again, which keeps the time linear. The only sequence in which all neighbours are compatible is the one that the
+merges make.
 
 Decoding gathers bytes: the bytes of all tokens lie in one blob, and an offset table says where each token's are.
 
 Defined cases: a null text is the empty text, with no tokens; strings of added tokens inside a text become their ids, as
-in the library; repeated rows are encoded each; an empty table gives an empty result; other columns are ignored here.
+in the library; repeated rows are encoded each; an empty table gives an empty result; other columns are ignored here. Long
+texts pass in segments that end at white space. What is remembered is bounded in number and in characters; units above
+`LONG_UNIT` characters are encoded each time, as they seldom repeat.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from .chunks import PieceNumbers, RaggedPool, byte_groups, keep_nothing, kept, r
 from .staging import free_name
 from .token_counts import _ANY_WHITE, segments
 
-REMEMBERED = 400_000
+REMEMBERED, LONG_UNIT = 400_000, 64
 SEGMENT_CHARS = 1 << 20
 #: Bytes of text whose ids and decoded text are handed on at once.
 OUTPUT_BYTES = 4 << 20
@@ -69,6 +73,7 @@ class MergeTable:
             self.text.append(bytes(byte_of[c] for c in whole))
             self.ids.append(vocabulary[whole])
         self.length = list(map(len, self.text))
+        self.longest = max(self.length)
         by_text = {x: n for n, x in enumerate(self.text)}
         self.shorter = [next((by_text[x[:k]] for k in range(len(x) - 1, 0, -1) if x[:k] in by_text), -1) for x in self.text]
         self.automaton = ahocorasick.Automaton()
@@ -104,18 +109,18 @@ class MergeTable:
 
     def encode(self, piece: bytes) -> list[int]:
         """Ranks of the tokens of one piece."""
-        text, size, length, compatible = piece.decode("latin-1"), len(piece), self.length, self.compatible
+        text, size, length, compatible, most = piece.decode("latin-1"), len(piece), self.length, self.compatible, self.longest
         longest = self.automaton.iter_long  # every byte is a token, so the first match from a place starts there
         alive = bytearray(b"\1") * (size + 1)
         out: list[int] = []
-        place, token = 0, next(longest(text))[1]
+        place, token = 0, next(longest(text[:most]))[1]
         while True:
             end = place + length[token]
             if alive[end] and (not out or compatible(out[-1], token)):
                 out.append(token)
                 if end == size:
                     return out
-                place, token = end, next(longest(text, end))[1]
+                place, token = end, next(longest(text[end : end + most]))[1]
                 continue
             shorter = self.shorter[token]
             if shorter >= 0:
@@ -154,6 +159,10 @@ class ByteBpe:
         # Pieces between single spaces; a text with other white space at such a cut takes the slower way.
         self.numbers = PieceNumbers(lambda x: bool(x) and not x[0].isspace() and not x[-1].isspace())
         self.pool = RaggedPool(np.int32)
+
+    def _forget_at_limit(self) -> None:
+        if self.numbers.forget_at(self.remembered):
+            self._forget()
         if len(self.units) > self.remembered:
             self.units.clear()
 
@@ -163,7 +172,9 @@ class ByteBpe:
         for unit in self.pattern.findall(piece):
             known = self.units.get(unit)
             if known is None:
-                known = self.units[unit] = array("i", self.table.encode(unit.encode())).tobytes()
+                known = array("i", self.table.encode(unit.encode())).tobytes()
+                if len(unit) <= LONG_UNIT:
+                    self.units[unit] = known
             parts.append(known)
         return b"".join(parts)
 
@@ -189,6 +200,7 @@ class ByteBpe:
                 numbers = np.fromiter(map(self.numbers.force, rest), np.int64, len(rest))
             self._encode_pending()
             out += [self._plain(" " + head if k else head), self.pool.take(numbers)]
+            self._forget_at_limit()
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -196,8 +208,6 @@ class ByteBpe:
         parts = []
         for k, part in enumerate(self.added_split.split(text) if self.added_split and text else [text]):
             parts += [np.array([self.added[part]], np.int32)] if k % 2 else self._ordinary(part)
-        if self.numbers.forget_at(self.remembered):
-            self._forget()
         return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:

@@ -1,7 +1,7 @@
 """Dense numbers for repeated pieces of text, so that a slow encoder sees each distinct piece once.
 
 A text is cut at single spaces. Each distinct piece gets a number; values of new pieces are computed in one batch. The
-tables are dropped when they hold too many pieces, which costs time and changes no result.
+tables are dropped when they hold too many pieces or characters, which costs time and changes no result.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
+#: Characters that a table remembers for each piece of its limit, about.
+PIECE_CHARS = 40
 _KEPT: dict = {}
 
 
@@ -37,7 +39,7 @@ class PieceNumbers(dict):
         super().__init__()
         self.safe = safe
         self.pending: list[str] = []
-        self.count = 0
+        self.count = self.chars = 0
         self.unsafe: dict[str, int] = {}
 
     def __missing__(self, piece: str) -> int:
@@ -49,6 +51,7 @@ class PieceNumbers(dict):
 
     def _next(self, piece: str) -> int:
         self.count += 1
+        self.chars += len(piece)
         self.pending.append(piece)
         return self.count - 1
 
@@ -60,7 +63,7 @@ class PieceNumbers(dict):
         return number
 
     def forget_at(self, limit: int) -> bool:
-        return self.count > limit or len(self) > 2 * limit
+        return self.count > limit or len(self) > 2 * limit or self.chars > PIECE_CHARS * limit
 
 
 class RaggedPool:

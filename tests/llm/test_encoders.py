@@ -151,3 +151,42 @@ def test_sequences_and_masks(tmp_path):
     assert ids.tolist() == [35, 36, 37, 38, 39, 2, 0, 0] and mask.to_pylist() == [True] * 6 + [False] * 2
     assert np.concatenate(list(file.tokens(14, 20))).tolist() == stream[14:34].tolist()
     assert not file.sequence_at(1)[0].flags.owndata  # a view of the mapped file
+
+
+def seconds(function, *args):
+    import time
+
+    began = time.perf_counter()
+    function(*args)
+    return time.perf_counter() - began
+
+
+def test_byte_bpe_time_is_linear_in_one_unit(byte_bpe, library):
+    rng = random.Random(9)
+    unit = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    half = seconds(byte_bpe.encode, unit[: 1 << 19])
+    assert seconds(byte_bpe.encode, unit) < 4 * half + 1
+    own = library("byte_bpe_50k.json")
+    for x in (unit[:300_000], "ab" * 100_000, " " * 100_000, "的是不了" * 30_000, "=" * 50_000):
+        assert byte_bpe.encode(x).tolist() == own.encode(x, add_special_tokens=False).ids
+
+
+def test_byte_bpe_remembers_a_bounded_number(library):
+    rng = random.Random(10)
+    small, own = bpe.ByteBpe(vocab.path("byte_bpe_50k.json"), remembered=500), library("byte_bpe_50k.json")
+    for k in range(3000):
+        x = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(6)) + "。" + "".join(rng.choices("abc", k=3))
+        ids = small.encode(x).tolist()
+        if not k % 50:
+            assert ids == own.encode(x, add_special_tokens=False).ids
+        assert len(small.units) <= 510 and small.numbers.count <= 510
+    small.encode("".join(rng.choices("abcdefgh", k=100_000)))
+    assert all(len(x) <= bpe.LONG_UNIT for x in small.units)
+
+
+def test_op4_megabytes_in_one_unit(spark, library):
+    text = "".join(random.Random(11).choices("ABCDEFGHabcdefgh0123456789+/", k=1_500_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = bpe.bpe_digests(docs, vocab.path("byte_bpe_50k.json")).first()
+    assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert row.n_tokens == len(library("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids)
