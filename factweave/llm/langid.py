@@ -5,12 +5,15 @@ ways to cut it into pieces, computed by a forward pass over its positions; a tex
 Expectation-maximisation learns the probabilities from word counts, with forward and backward passes.
 
 The classifier is fitted on a bounded sample: for each language the `docs_per_lang` labelled documents with the least
-hash of their key, whole texts, and of those the `words_per_lang` most frequent words. Prediction reads every row's
+hash of their key, whole texts, and of those the `words_per_lang` most frequent words of up to `letters_per_word` letters.
+Prediction reads every row's
 whole text and nothing but the text. It needs no shuffle; each distinct piece between spaces is scored once per worker.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; ties go to the language that sorts first;
 without labelled documents everything is `und`; letters outside the vocabulary share one piece; repeated rows are
-predicted alike; an empty table gives an empty result; columns that are neither key, text nor label are ignored.
+predicted alike; an empty table gives an empty result; columns that are neither key, text nor label are ignored. Words of
+any length are one lattice: where a product of chances could leave the range of doubles it is kept as a logarithm, and
+words of many thousand letters pass the lattice in steps.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from .staging import stage
 from .token_counts import _ANY_WHITE, segments
 
 UNKNOWN_LANG = "und"
-#: Longest piece, the mark of a word's start included, and longest stretch of a word that is scored at once.
-PIECE_CHARS, STRETCH = 7, 32
+#: Places of a long word that are looked up at once, and decades that a chance may fall without a logarithm.
+STEP, DECADES = 1 << 14, 250
 REMEMBERED = 500_000
 SEGMENT_CHARS = 1 << 20
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -50,7 +53,7 @@ def letter_pieces(model_path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({x for x in pieces if len(x) <= PIECE_CHARS and (y := x.removeprefix("▁")).isalpha() and y == y.lower()} | {"▁"})
+    return sorted({x for x in pieces if (y := x.removeprefix("▁")).isalpha() and y == y.lower()} | {"▁"})
 
 
 class Lattice:
@@ -58,8 +61,9 @@ class Lattice:
 
     def __init__(self, pieces: list[str]) -> None:
         self.size = len(pieces) + 2
+        self.longest = max(map(len, pieces))
         self.by_length = {}
-        for length in range(1, PIECE_CHARS + 1):
+        for length in range(1, self.longest + 1):
             own = [(x, n + 2) for n, x in enumerate(pieces) if len(x) == length]
             if own:
                 codes = np.array([x for x, _ in own], f"<U{length}").view(np.uint32).reshape(-1, length)
@@ -81,7 +85,7 @@ class Lattice:
         width = len(words[0])
         codes = np.array(words, f"<U{width}").view(np.uint32).reshape(len(words), width)
         out = []
-        for length in range(1, min(width, PIECE_CHARS) + 1):
+        for length in range(1, min(width, self.longest) + 1):
             windows = np.lib.stride_tricks.sliding_window_view(codes, length, axis=1)
             if length not in self.by_length:
                 out.append(np.zeros(windows.shape[:2], np.int32))
@@ -104,20 +108,60 @@ def forward(found: list[np.ndarray], chances: np.ndarray) -> np.ndarray:
     return ahead
 
 
+def forward_log(lattice: Lattice, word: str, logs: np.ndarray) -> np.ndarray:
+    """Log-probability of a whole word of any length by language, over all segmentations."""
+    far, size = lattice.longest, len(word)
+    ring = far + 1  # prefixes that a piece can still start from
+    ahead = np.full((ring, logs.shape[1]), -np.inf)
+    ahead[0] = 0
+    for first in range(0, size, STEP):
+        part = word[max(0, first - far) : min(size, first + STEP)]
+        begin = max(0, first - far)
+        found = lattice.find([part])
+        for end in range(first + 1, min(size, first + STEP) + 1):
+            most = min(end, far)
+            pieces = np.array([found[length - 1][0, end - length - begin] for length in range(1, most + 1)])
+            sums = ahead[(end - np.arange(1, most + 1)) % ring] + logs[pieces]
+            top = sums.max(axis=0)
+            ahead[end % ring] = top + np.log(np.exp(sums - top).sum(axis=0))
+    return ahead[size % ring]
+
+
 def by_size(words: list[str], most: int = 20_000) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Places and stretches, marked at the word's start, in blocks of one size."""
+    """Places and words, marked at their start, in blocks of one size."""
     places: dict[int, list[int]] = {}
-    parts: dict[int, list[str]] = {}
     for place, word in enumerate(words):
-        marked = "▁" + word
-        for first in range(0, len(marked), STRETCH):
-            part = marked[first : first + STRETCH]
-            places.setdefault(len(part), []).append(place)
-            parts.setdefault(len(part), []).append(part)
-    for size, own in parts.items():
-        at = np.array(places[size])
-        for first in range(0, len(own), most):
-            yield at[first : first + most], own[first : first + most]
+        places.setdefault(len(word) + 1, []).append(place)
+    for size, own in places.items():
+        step = max(1, min(most, 600_000 // size))
+        for first in range(0, len(own), step):
+            at = own[first : first + step]
+            yield np.array(at), ["▁" + words[k] for k in at]
+
+
+def fits(width: int, least: float) -> bool:
+    """Whether no word of this width can have a chance below the range of doubles: all its letters may be cut one by one."""
+    return width * -np.log10(least) < DECADES
+
+
+def expected_log(found: list[np.ndarray], chances: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in words too long for plain products: the same passes in logarithms."""
+    with np.errstate(divide="ignore"):
+        logs = np.log(chances)
+    rows, width = found[0].shape
+    ahead, behind = np.full((width + 1, rows), -np.inf), np.full((width + 1, rows), -np.inf)
+    ahead[0] = behind[width] = 0
+    for end in range(1, width + 1):
+        for length in range(1, min(end, len(found)) + 1):
+            ahead[end] = np.logaddexp(ahead[end], ahead[end - length] + logs[found[length - 1][:, end - length]])
+    out = np.zeros(len(chances))
+    for start in range(width - 1, -1, -1):
+        for length in range(1, min(width - start, len(found)) + 1):
+            piece = found[length - 1][:, start]
+            behind[start] = np.logaddexp(behind[start], logs[piece] + behind[start + length])
+            share = weight * np.exp(ahead[start] + logs[piece] + behind[start + length] - ahead[width])
+            out += np.bincount(piece, share, len(chances))
+    return out
 
 
 class SegmentModel:
@@ -141,6 +185,9 @@ class SegmentModel:
                 expected = np.zeros(lattice.size)
                 for weight, found in blocks:
                     width = found[0].shape[1]
+                    if not fits(width, own[1:].min()):
+                        expected += expected_log(found, own[:, 0], weight)
+                        continue
                     ahead = forward(found, own)[:, :, 0]
                     behind = np.zeros_like(ahead)
                     behind[width] = 1
@@ -164,6 +211,9 @@ class Scorer:
 
     def __init__(self, model: SegmentModel) -> None:
         self.model, self.lattice = model, Lattice(model.pieces)
+        with np.errstate(divide="ignore"):
+            self.logs = np.log(model.chances)
+        self.least = model.chances[1:].min() if model.langs else 1.0
         self._forget()
 
     def _forget(self) -> None:
@@ -182,7 +232,10 @@ class Scorer:
                     word_of.append(distinct.setdefault(word, len(distinct)))
         logs = np.zeros((len(distinct), len(self.model.langs)))
         for at, part in by_size(list(distinct)):
-            np.add.at(logs, at, np.log(forward(self.lattice.find(part), self.model.chances)[-1]))
+            if fits(len(part[0]), self.least):
+                logs[at] = np.log(forward(self.lattice.find(part), self.model.chances)[-1])
+            elif self.model.langs:
+                logs[at] = [forward_log(self.lattice, x, self.logs) for x in part]
         fresh = np.zeros((len(self.numbers.pending), self.known.shape[1]))
         np.add.at(fresh, piece_of, np.column_stack([logs, np.ones(len(logs))])[word_of] if word_of else 0)
         self.known = np.concatenate([self.known, fresh])
@@ -229,19 +282,22 @@ def held_out(key):
     return F.crc32(key.cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 1500, words_per_lang: int = 20_000) -> SegmentModel:
-    """Fit on a sample bounded by docs_per_lang and words_per_lang, of rows outside the held-out third."""
+def fit(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 1000, words_per_lang: int = 20_000, letters_per_word: int = 256) -> SegmentModel:
+    """Fit on a sample bounded by docs_per_lang, words_per_lang and letters_per_word, of rows outside the held-out third."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(key)), F.lit(False)))
     labelled = labelled.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.col(text).alias("text"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = labelled.select("lang", "key").withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_lang)
+    # Ranked by hash within 64 shares of a language first: one language may have almost all rows.
+    chosen = labelled.select("lang", "key", F.xxhash64("key").alias("h")).withColumn("share", F.pmod("h", F.lit(64)))
+    for keys in (["lang", "share"], ["lang"]):
+        first = Window.partitionBy(*keys).orderBy("h", "key")
+        chosen = chosen.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_lang)
     chosen = stage(chosen.select("lang", "key").distinct(), "lang-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[str, Counter] = {}
             for k, x in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                found.setdefault(k, Counter()).update(w for w in words_of(x) if w)
+                found.setdefault(k, Counter()).update(w for w in words_of(x) if 0 < len(w) <= letters_per_word)
             rows = [(k, w, n) for k, own in found.items() for w, n in own.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 

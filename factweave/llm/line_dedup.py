@@ -8,7 +8,8 @@ hot hashes is a written table: Spark broadcasts it under its own threshold and e
 
 Defined cases: a null or empty text is one empty line and never changes; a null key is no document, so it neither counts
 nor keeps a line; rows that repeat a key are one document in the count and each keeps or loses lines alike; an empty
-table gives an empty result. Other columns stay as they are, whatever their names.
+table gives an empty result. Other columns stay as they are, whatever their names. Equal largest keys tie as one document:
+all its rows keep the line. A long text is split in place; only hashes and places of its lines move.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import free_name, stage
 
 #: The white space that is stripped from a line's ends.
 WHITE = " \t\n\x0b\x0c\r"
@@ -33,7 +34,8 @@ def line_key(line: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """docs with the kept text, and _n_lines and _n_dropped, which replace columns of these names."""
+    """docs with the kept text, and at the end _n_lines and _n_dropped; names that are taken get underscores."""
+    n_lines, n_dropped = free_name(docs, "_n_lines"), free_name(docs, "_n_dropped")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     whole = F.coalesce(F.col("row")[text], F.lit(""))
     split = own.select("row", F.col("row")[key].alias("id"), F.xxhash64(whole).alias("print"), F.split(whole, "\n", -1).alias("lines"))
@@ -50,8 +52,8 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     joined = split.join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("print") == F.col("lost_print")), "left")
     kept_places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost")
     kept = F.array_join(F.transform(kept_places, lambda place: F.get("lines", place)), "\n")
-    columns = [F.when(F.col("lost").isNull(), F.col("row")[c]).otherwise(kept).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
-    return joined.select(*columns, F.size("lines").cast("long").alias("_n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("_n_dropped"))
+    columns = [F.when(F.col("lost").isNull(), F.col("row")[c]).otherwise(kept).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
+    return joined.select(*columns, F.size("lines").cast("long").alias(n_lines), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias(n_dropped))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where none is set, one beside the warehouse."""
+    """The session's checkpoint folder; where none is set, one beside the warehouse if all executors see that."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        own_disk = ":" not in warehouse.split("/", 1)[0] or warehouse.startswith("file:")
+        if own_disk and not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = warehouse.rstrip("/") + "/_checkpoints"
     return base.rstrip("/")
 
 

@@ -32,9 +32,10 @@ def plain_lines(rows, min_docs=5):
 @pytest.mark.parametrize("table", ["odd_docs", "docs", "no_docs"])
 def test_line_dedup(table, request):
     docs = request.getfixturevalue(table)
-    out = line_dedup.line_dedup(docs.withColumn("_n_lines", F.lit("x")))
-    assert out.columns == [*docs.columns, "_n_lines", "_n_dropped"]
-    got = [(r.doc_id, r._n_lines, r._n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in out.collect()]
+    out = line_dedup.line_dedup(docs.withColumn("_n_lines", F.lit("x")).withColumn("_N_DROPPED", F.lit("y")))
+    assert out.columns == [*docs.columns, "_n_lines", "_N_DROPPED", "_n_lines_", "_n_dropped_"]
+    assert {(r[0], r[1]) for r in out.select("_n_lines", "_N_DROPPED").collect()} <= {("x", "y")}  # the caller's own data
+    got = [(r.doc_id, r._n_lines_, r._n_dropped_, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in out.collect()]
     want = plain_lines([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(got, key=str) == want
     if table == "odd_docs":

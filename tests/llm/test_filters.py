@@ -163,7 +163,7 @@ def test_forward_sums_all_segmentations(model):
         if not word:
             return 1.0
         total = 0.0
-        for size in range(1, min(len(word), langid.PIECE_CHARS) + 1):
+        for size in range(1, min(len(word), lattice.longest) + 1):
             piece = numbers.get(word[:size], 1 if size == 1 else None)
             if piece is not None:
                 total += model.chances[piece, k] * plain(word[size:], k)
@@ -178,6 +178,78 @@ def test_chances_are_probabilities(model):
     assert np.allclose(model.chances.sum(axis=0), 1) and (model.chances[0] == 0).all() and (model.chances >= 0).all()
 
 
+def test_all_letter_pieces_of_the_vocabulary_count(model):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=vocab.path("piece_bpe_32k.model"))
+    pieces = {own.id_to_piece(i) for i in range(own.get_piece_size())}
+    assert set(model.pieces) - {"▁"} == {x for x in pieces if x.removeprefix("▁").isalpha() and x == x.lower()} - {"▁"}
+
+
+def plain_log(model, word):
+    """Log-probability of a marked word by language: sums over all cuts with exact fractions of integers."""
+    from fractions import Fraction
+
+    numbers = {p: n + 2 for n, p in enumerate(model.pieces)}
+    out = []
+    for k in range(len(model.langs)):
+        ahead = [Fraction(1)]
+        for end in range(1, len(word) + 1):
+            total = Fraction(0)
+            for start in range(max(0, end - 40), end):
+                piece = numbers.get(word[start:end], 1 if end - start == 1 else None)
+                if piece is not None:
+                    total += ahead[start] * Fraction(model.chances[piece, k])
+            ahead.append(total)
+        top = ahead[-1]
+        shift = top.denominator.bit_length() - top.numerator.bit_length()
+        out.append(np.log(float(top * 2**shift)) - shift * np.log(2))
+    return out
+
+
+def test_words_of_any_length_are_one_lattice(model, monkeypatch):
+    words = ["straße" * 3, "internationalization" * 5, "x" * 90, "unbelievablé" * 12]
+    scorer = langid.Scorer(model)
+    for step in (langid.STEP, 17):
+        monkeypatch.setattr(langid, "STEP", step)
+        for word in words:
+            want = plain_log(model, "▁" + word)
+            assert np.allclose(scorer.totals(iter([word]))[0][:-1], want, rtol=1e-9)
+            assert np.allclose(langid.forward_log(scorer.lattice, "▁" + word, scorer.logs), want, rtol=1e-9)
+            scorer._forget()
+
+
+def test_long_words_are_learned_alike(model, monkeypatch):
+    counts = {"a": {"wonderful" * 3: 5, "word": 9}, "b": {"wunderbar" * 4: 2, "wort": 3}}
+    plain = langid.SegmentModel.fit(model.pieces, counts).chances
+    monkeypatch.setattr(langid, "DECADES", 0)
+    assert np.allclose(plain, langid.SegmentModel.fit(model.pieces, counts).chances)
+
+
+def test_scores_stay_numbers(spark, model):
+    heavy = langid.SegmentModel.fit(model.pieces, {"a": {"the": 10**13}, "b": {"und": 10**13}})
+    docs = spark.createDataFrame([(1, "中é" * 40), (2, "the " * 900), (3, "q" * 300_000)], "doc_id long, text string")
+    rows = langid.predict(docs, heavy).collect()
+    assert all(0 <= r.score <= 1 and r.lang_pred in "ab" for r in rows)
+
+
+def test_prediction_reads_the_text_alone(spark, docs, model):
+    few = docs.limit(40)
+    other = few.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text", F.lit("zz").alias("lang"), F.lit("elsewhere").alias("source"))
+    a, b = ({r.doc_id % 1_000_000: (r.lang_pred, r.score) for r in langid.predict(x, model).collect()} for x in (few, other))
+    assert a == b
+
+
+def test_nothing_is_learned_from_the_held_out_third(spark, docs, model):
+    import zlib
+
+    marked = docs.withColumn("text", F.when(langid.held_out(F.col("doc_id")), F.lit("zzz qqq " * 50)).otherwise(F.col("text"))).withColumn("lang", F.when(langid.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))
+    again = langid.fit(marked, vocab.path("piece_bpe_32k.model"))
+    assert again.langs == model.langs and np.array_equal(again.chances, model.chances)
+    rows = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+
+
 def test_held_out_accuracy(docs, model):
     rows = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(langid.held_out(F.col("doc_id"))).collect()
     known = [r for r in rows if r.lang_pred != "und"]

@@ -16,10 +16,23 @@ def test_stage_drop_and_clear(spark):
 
 
 def test_folder_beside_the_warehouse_if_none_is_set():
-    class Session:
-        class conf:
-            @staticmethod
-            def get(name, default=None):
-                return {"spark.sql.warehouse.dir": "hdfs://x/warehouse/"}.get(name, default)
+    import pytest
 
-    assert staging.shared_dir(Session()) == "hdfs://x/warehouse/_checkpoints"
+    def session(warehouse, master):
+        class Session:
+            class conf:
+                @staticmethod
+                def get(name, default=None):
+                    return {"spark.sql.warehouse.dir": warehouse}.get(name, default)
+
+            class sparkContext:
+                pass
+
+        Session.sparkContext.master = master
+        return Session()
+
+    assert staging.shared_dir(session("hdfs://x/warehouse/", "yarn")) == "hdfs://x/warehouse/_checkpoints"
+    assert staging.shared_dir(session("file:/w", "local[4]")) == "file:/w/_checkpoints"
+    for warehouse in ("file:/w", "/w"):
+        with pytest.raises(RuntimeError):
+            staging.shared_dir(session(warehouse, "spark://host:7077"))
