@@ -2,18 +2,22 @@
 
 Vectors are keyed by their nearest pivot and their distance to it: each pivot's vectors fall into annuli. With pivot p,
 a query q and a vector x at distance d from p, the triangle inequality gives |q - x| >= | |q - p| - d |, and so
-q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 has an upper bound for a whole annulus; q.p + |q| d is another one. A query first
-visits the annulus with the highest bound, which gives it a score to beat; then it expands to every annulus whose bound
-reaches that score, and within an annulus to the slices by distance that do. All others can hold nothing better.
+q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 has an upper bound for a whole annulus; q.p + |q| d is another one. A query sorts the
+annuli by their bounds and expands in that order, some at a time: the first one, the next `STEPS`, then the rest. What it
+has found sets the score to beat, and it stops at the first annulus whose bound is below; within an annulus it reads only
+the slices by distance that reach the score. All others can hold nothing better.
 
 Pivots and the edges of annuli come from a bounded sample (`SAMPLE` distinct vectors); every vector is indexed and the
-result is exact whatever the sample was. There are at most PIVOTS * SHELLS annuli, so their statistics have a fixed size.
-Equal vectors are one entry with their k + 1 least ids, since no other of them can be among the k best with ties to
-smaller ids. Annuli are dealt in chunks of vectors and of queries, so no task holds an unbounded group.
+result is exact whatever the sample was. The number of pivots grows with the square root of the number of vectors, up to
+`MOST_PIVOTS`, so the statistics of annuli have a size bound. Equal vectors are one entry with their k + 1 least ids, since
+no other of them can be among the k best with ties to smaller ids. Annuli are dealt in chunks of vectors, and queries in
+blocks of neighbours, those whose best annulus is the same; a chunk of vectors goes only to blocks that ask for it, so
+what is shuffled follows the pairs of chunk and block that the bounds leave, and no task holds an unbounded group.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part; a row
-that repeats counts once; vectors of unequal length are compared as if padded with zeros; fewer than k candidates are
-all returned; products beyond 64 bits are clipped to them; an empty table gives an empty result.
+that repeats counts once; rows with one id and different vectors are candidates each; vectors of unequal length are
+compared as if padded with zeros; fewer than k candidates are all returned; products beyond 64 bits are clipped to them;
+ties go to the smaller id; an empty table gives an empty result; columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .staging import stage
 
-PIVOTS, SHELLS, SAMPLE = 32, 8, 4096
+PIVOTS, MOST_PIVOTS, SHELLS, SAMPLE = 32, 256, 8, 4096
+#: Annuli that a query expands to at most after its first one, before the score to beat is taken anew.
+STEPS = 8
 #: Vectors and queries that one group of a task holds, about; vectors in a slice of an annulus.
 CHUNK, QUERY_CHUNK, SLICE = 4096, 4096, 512
 _LONG = np.iinfo(np.int64)
@@ -186,83 +192,118 @@ def _search_group(pivots: Pivots, k: int):
     return search
 
 
-def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, key: str = "vec_id", column: str = "embedding", scale: int = 64) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best other rows of each row whose id is divisible by query_every."""
-    spark = vectors.sparkSession
-    rows = stage(quantised(vectors, key, column, scale).distinct(), "vectors")
-    first = Window.partitionBy("vec", "wide").orderBy("id")
-    distinct = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)  # limited before the shuffle
-    distinct = stage(distinct.groupBy("vec", "wide").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("first_id", F.array_min("ids")), "distinct-vectors")
-
-    drawn = distinct.select("vec", "wide", "first_id").orderBy(F.xxhash64("vec"), "vec", "wide").limit(SAMPLE).collect()
-    schema = "query_id bigint, rank int, vec_id bigint, score bigint"
-    if not drawn:
-        return spark.createDataFrame([], schema)
-    pivots = Pivots(_unpack([bytes(r.vec) for r in drawn], [r.wide for r in drawn]), np.array([r.first_id for r in drawn]))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _place(pivots: Pivots):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = _unpack(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                 cell, gap = pivots.place(x)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(gap), pa.array((x * x).sum(1))], names=[*batch.schema.names, "cell", "gap", "norm"])
 
-    index = stage(distinct.select("vec", "wide", "ids", "first_id").mapInArrow(place, "vec binary, wide boolean, ids array<bigint>, first_id bigint, cell int, gap double, norm double"), "index")
-    facts = index.groupBy("cell").agg(F.min("gap").alias("least"), F.max("gap").alias("most"), F.max("norm").alias("norm"), F.count("*").alias("n")).collect()  # at most PIVOTS * SHELLS rows
-    cells, least, most, norm, count = (np.array([r[i] for r in facts]) for i in range(5))
-    chunks = np.ceil(count / CHUNK).astype(int)
-    wanted = F.col("id") % query_every == 0
-    queries = rows.where(wanted)
-    query_chunks = -(-queries.count() // QUERY_CHUNK)
+    return run
+
+
+class Annuli:
+    """What is known of each annulus: pivot, distances, greatest squared length and number of chunks."""
 
-    def route(home: bool):
-        """The annulus that a query visits first, or all others that can hold something as good as it has."""
+    def __init__(self, pivots: Pivots, facts: list) -> None:
+        self.pivots = pivots
+        self.cells, self.least, self.most, self.norm, count = (np.array([r[i] for r in facts]) for i in range(5))
+        self.chunks = np.ceil(count / CHUNK).astype(int)
+
+    def sorted_bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the annuli by falling bound, and the bounds."""
+        bounds = self.pivots.bounds(queries, self.cells // self.pivots.shells, self.least, self.most, self.norm)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        return order, np.take_along_axis(bounds, order, axis=1)
+
+    def first(self, k: int):
+        """id, vec, wide, beat and home of queries: a score that k sampled vectors reach, and the annulus of the highest bound."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 q = _unpack(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-                bounds = pivots.bounds(q, cells // pivots.shells, least, most, norm)
-                best = bounds.argmax(axis=1)
-                if home:
-                    scores = products(q, pivots.sample)
-                    own = batch.column(0).to_numpy()[:, None] == pivots.ids
-                    beat = np.full(len(q), _LONG.min)
-                    if scores.shape[1] > k:  # a sampled vector may be the query's own
-                        scores = np.where(own, _LONG.min, scores)
-                        beat = np.partition(scores, -k, axis=1)[:, -k]
-                    a, b = np.arange(len(q)), best
-                else:
-                    beat = batch.column(3).to_numpy()
-                    wanted = bounds >= beat[:, None]
-                    wanted[np.arange(len(q)), best] = False
-                    a, b = np.nonzero(wanted)
-                repeat = chunks[b]
+                scores = products(q, self.pivots.sample)
+                beat = np.full(len(q), _LONG.min)
+                if scores.shape[1] > k:  # a sampled vector may be the query's own
+                    scores = np.where(batch.column(0).to_numpy()[:, None] == self.pivots.ids, _LONG.min, scores)
+                    beat = np.partition(scores, -k, axis=1)[:, -k]
+                home = self.cells[self.sorted_bounds(q)[0][:, 0]]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(beat), pa.array(home.astype(np.int32))], names=["id", "vec", "wide", "beat", "home"])
+
+        return run
+
+    def expand(self, begin: int, stop: int | None):
+        """The annuli from rank `begin` to `stop` of each query's order whose bound reaches its score: id, vec, wide, beat, block, cell, chunk."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                q = _unpack(batch.column("vec").to_pylist(), batch.column("wide").to_pylist())
+                order, bounds = self.sorted_bounds(q)
+                reach = bounds[:, begin:stop] >= batch.column("beat").to_numpy()[:, None]
+                a, at = np.nonzero(reach)
+                b = order[:, begin:stop][a, at]
+                repeat = self.chunks[b]
                 a, b = np.repeat(a, repeat), np.repeat(b, repeat)
                 chunk = np.arange(len(a)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-                base = batch.take(pa.array(a))
-                yield pa.RecordBatch.from_arrays([base.column(0), base.column(1), base.column(2), pa.array(beat[a]), pa.array(cells[b].astype(np.int32)), pa.array(chunk.astype(np.int32))], names=["id", "vec", "wide", "beat", "cell", "chunk"])
+                own = batch.select(["id", "vec", "wide", "beat", "block"]).take(pa.array(a))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(self.cells[b].astype(np.int32)), pa.array(chunk.astype(np.int32))], names=[*own.schema.names, "cell", "chunk"])
 
         return run
 
-    sizes = spark.createDataFrame([(int(c), int(n)) for c, n in zip(cells, chunks, strict=True)], "cell int, chunks int")
-    data = index.join(F.broadcast(sizes), "cell").withColumn("chunk", F.pmod(F.xxhash64("vec"), F.col("chunks")).cast("int"))  # one row for each annulus
-    data = data.withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.lit(max(query_chunks, 1) - 1))))
 
-    def expand(asked: DataFrame) -> DataFrame:
-        asked = asked.withColumn("qchunk", F.pmod(F.xxhash64("id", "vec"), F.lit(max(query_chunks, 1))).cast("int"))
-        keys = ["cell", "chunk", "qchunk"]
-        return asked.groupBy(keys).cogroup(data.groupBy(keys)).applyInArrow(_search_group(pivots, k), "query bigint, id bigint, score bigint")
+def asked_chunks(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of the index once for each block of queries that asks for their chunk; no others move."""
+    wanted = stage(asked.select("cell", "chunk", "block").distinct(), "asked-chunks")
+    return index.join(wanted, ["cell", "chunk"])
+
 
-    routed = "id bigint, vec binary, wide boolean, beat bigint, cell int, chunk int"
-    visited = stage(queries.mapInArrow(route(True), routed), "first-visits")
-    found = stage(expand(visited), "first-found")
+def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, key: str = "vec_id", column: str = "embedding", scale: int = 64) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best other rows of each row whose id is divisible by query_every."""
+    spark = vectors.sparkSession
+    rows = stage(quantised(vectors, key, column, scale).distinct(), "vectors")
+    first = Window.partitionBy("vec", "wide").orderBy("id")
+    distinct = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)  # limited before the shuffle
+    distinct = stage(distinct.groupBy("vec", "wide").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("first_id", F.array_min("ids")), "distinct-vectors")
+
+    drawn = distinct.select("vec", "wide", "first_id").orderBy(F.xxhash64("vec"), "vec", "wide").limit(SAMPLE).collect()
+    if not drawn:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    wanted = min(MOST_PIVOTS, max(PIVOTS, int(distinct.count() ** 0.5) // 16))
+    pivots = Pivots(_unpack([bytes(r.vec) for r in drawn], [r.wide for r in drawn]), np.array([r.first_id for r in drawn]), wanted)
+
+    placed = "vec binary, wide boolean, ids array<bigint>, first_id bigint, cell int, gap double, norm double"
+    index = stage(distinct.select("vec", "wide", "ids", "first_id").mapInArrow(_place(pivots), placed), "index")
+    facts = index.groupBy("cell").agg(F.min("gap").alias("least"), F.max("gap").alias("most"), F.max("norm").alias("norm"), F.count("*").alias("n")).collect()  # at most MOST_PIVOTS * SHELLS rows
+    annuli = Annuli(pivots, facts)
+    chunks = spark.createDataFrame([(int(c), int(n)) for c, n in zip(annuli.cells, annuli.chunks, strict=True)], "cell int, chunks int")
+    index = index.join(F.broadcast(chunks), "cell").withColumn("chunk", F.pmod(F.xxhash64("vec"), F.col("chunks")).cast("int")).drop("chunks")  # one row for each annulus
+
+    routed = "id bigint, vec binary, wide boolean, beat bigint, home int"
+    queries = stage(rows.where(F.col("id") % query_every == 0).mapInArrow(annuli.first(k), routed), "queries")
+    shares = queries.groupBy("home").agg(F.ceil(F.count("*") / QUERY_CHUNK).alias("shares"))  # one row for each annulus at most
+    block = F.struct(F.col("home"), F.pmod(F.xxhash64("id", "vec"), F.col("shares")).cast("int").alias("share"))
+    queries = stage(queries.join(F.broadcast(shares), "home").select("id", "vec", "wide", "beat", F.to_json(block).alias("block")), "query-blocks")
+
+    keys = ["cell", "chunk", "block"]
+    searched = "id bigint, vec binary, wide boolean, beat bigint, block string, cell int, chunk int"
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    reached = found.withColumn("n", F.row_number().over(ranked)).where(F.col("n") == k).select(F.col("query").alias("id"), F.col("score").alias("reached"))
-    again = visited.where("chunk = 0").join(reached, "id", "left").select("id", "vec", "wide", F.greatest("beat", "reached").alias("beat"))
-    found = found.union(expand(again.mapInArrow(route(False), routed)))
-    best = found.distinct().withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    found = None
+    for begin, stop in ((0, 1), (1, 1 + STEPS), (1 + STEPS, None)):
+        if begin >= len(annuli.cells):
+            break
+        asked = stage(queries.mapInArrow(annuli.expand(begin, stop), searched), "asked")
+        met = asked.groupBy(keys).cogroup(asked_chunks(index, asked).groupBy(keys)).applyInArrow(_search_group(pivots, k), "query bigint, id bigint, score bigint")
+        found = met if found is None else found.union(met)
+        found = stage(found.distinct().withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k), "found").select("query", "id", "score", "rank")
+        reached = found.where(F.col("rank") == k).select(F.col("query").alias("id"), F.col("score").alias("reached"))
+        queries = stage(queries.join(reached, "id", "left").select("id", "vec", "wide", F.greatest("beat", "reached").alias("beat"), "block"), "queries")
+        found = found.select("query", "id", "score")
+    best = found.withColumn("rank", F.row_number().over(ranked))
     return best.select(F.col("query").alias("query_id"), F.col("rank").cast("int"), F.col("id").alias("vec_id"), "score")
 
 

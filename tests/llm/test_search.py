@@ -18,7 +18,8 @@ def plain(rows, k=20, every=20):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    """Further columns carry names that the search uses itself."""
+    return spark.createDataFrame([(*r, r[0], 0.5, "q") for r in rows], "vec_id long, embedding array<float>, label int, id long, score double, query string")
 
 
 @pytest.mark.parametrize("chunk", [4096, 16])
@@ -60,3 +61,25 @@ def test_bounds_hold():
         own = cell == c
         bound = pivots.bounds(q, np.array([c // pivots.shells]), gap[own].min(keepdims=True), gap[own].max(keepdims=True), (x[own] ** 2).sum(1).max(keepdims=True))
         assert (scores[:, own] <= bound).all()
+
+
+def test_rows_move_only_to_blocks_that_ask(spark, monkeypatch):
+    monkeypatch.setattr(es, "CHUNK", 50)
+    monkeypatch.setattr(es, "QUERY_CHUNK", 4)
+    moved = []
+    original = es.asked_chunks
+
+    def counted(index, asked):
+        out = original(index, asked)
+        moved.append((out.count(), asked.select("cell", "block").distinct().count()))
+        return out
+
+    monkeypatch.setattr(es, "asked_chunks", counted)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 12)) * 20
+    rows = [(k, (centres[k % 40] + rng.normal(scale=0.05, size=12)).astype(np.float32).tolist(), 0) for k in range(4000)]
+    got = sorted(map(tuple, es.top_k(frame(spark, rows)).collect()))
+    assert got == plain([r[:2] for r in rows])
+    queries, blocks = 200, 50
+    assert sum(n for n, _ in moved) < 0.35 * len(rows) * blocks  # not every row to every block
+    assert sum(n for n, _ in moved) <= sum(pairs for _, pairs in moved) * len(rows) / 4
