@@ -146,7 +146,7 @@ def test_license_rules(spark):
 
 def test_rules_are_many_and_compile():
     rows = licenses.rules()
-    assert len(rows) >= 300 and len({r[3] for r in rows}) == len(rows)
+    assert len(rows) >= 600 and len(licenses._notices()) >= 170 and len({r[3] for r in rows}) == len(rows)
     assert all(re.compile(r[3]) and " " not in r[2] for r in rows)
 
 
@@ -327,7 +327,7 @@ def samples(expression):
             elif op is c.SUBPATTERN:
                 parts.append(walk(arg[3]))
             elif op is c.MAX_REPEAT:
-                parts.append([*([""] if arg[0] == 0 else []), *walk(arg[2])])
+                parts.append([*([""] if arg[0] == 0 else []), *[x * max(1, arg[0]) for x in walk(arg[2])]])
             else:
                 raise ValueError(op)
         return ["".join(x) for x in islice(product(*parts), 400)]
@@ -335,6 +335,20 @@ def samples(expression):
     return walk(_parser.parse(expression))
 
 
+def test_notices_are_found(spark):
+    texts = {
+        "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2,gpl-2-or-later", "see https://www.gnu.org/licenses/lgpl-3.0.html": "lgpl-3", "<https://creativecommons.org/licenses/by-nc-sa/4.0/>": "cc-by-nc-sa",
+        "MIT OR Apache-2.0": "mit-or-apache-2", 'MODULE_LICENSE("Dual BSD/GPL")': "bsd-or-gpl", "Apache-2.0 WITH LLVM-exception": "llvm-exception", "GPL-2.0-only WITH Classpath-exception-2.0": "gpl-2-classpath",
+        "the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "gpl-2-or-later",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.": "zlib", "This file is in the public domain.": "public-domain",
+        "we may use the files only with care": "", "This is a book of songs": "",
+    }
+    got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame([(t, t) for t in texts], "doc_id string, text string")).collect()}
+    assert got == texts
+    for text in texts:
+        assert plain_rules(text) == set(got[text].split(",")) - {""}
+
+
 def test_no_gate_stops_what_a_rule_matches():
     gate = re.compile(licenses.PREFILTER.replace("\\x{10FFFF}", "\U0010ffff").replace("\\u0080", "\x80"))
     for _, label, keyword, expression, _, _ in licenses.rules():
@@ -342,6 +356,7 @@ def test_no_gate_stops_what_a_rule_matches():
             assert re.fullmatch(expression, text), (expression, text)
             assert f" {keyword}" in f" {text} ", (label, keyword, text)
             assert gate.search(text) and gate.search(text.replace(" ", " \n-")), (label, text)
+            assert any(x in text for x in licenses.ANCHORS), (label, text)
 
 
 def test_names_and_bodies_that_gates_or_rules_missed(spark):
