@@ -3,8 +3,9 @@
 Texts and benchmark items become sequences of template tokens: numbers turn into <num>, a unit after a number into
 <unit>, capitalised words (not those in capitals) into one <name> for neighbours, any other word into itself in lower case. A
 capitalised word that opens a sentence may be a name or not, so a text has two such readings; a third one is literal, with all
-tokens in lower case. Windows of eight tokens are hashed; items of five to seven tokens use windows of five. Template windows
-hold a limited number of placeholders, literal ones any. Document windows pass a bitmap of the benchmark's hashes, which
+tokens in lower case. Windows of eight tokens are hashed; items of five to seven tokens use windows of five. A template window
+that holds fewer than four words goes on until it has four, however many numbers and names stand between them, so texts
+dense in placeholders have windows like any other; literal windows need no words. Document windows pass a bitmap of the benchmark's hashes, which
 has a fixed size however long the benchmark is, and what passes is hash-joined with the benchmark's windows.
 
 Windows of one document, item and reading with one alignment belong together, also where the alignment moves a little.
@@ -12,8 +13,10 @@ A document is contaminated if enough literal windows agree, or if enough templat
 word of a name) map to the document's values consistently, which is what a question with new numbers or names looks like.
 
 Defined cases: a null or empty text or item has no tokens and meets nothing; an item of fewer than five tokens is too
-short to be told from chance and meets nothing; items that repeat are reported by their least id; repeated rows give
-repeated results only once; empty tables give an empty result; other columns are ignored.
+short to be told from chance and meets nothing; an item of fewer than four words besides numbers and names meets only its
+own words, as no template tells it from chance; ties of an item's texts and items that repeat are reported by their least id; repeated rows give
+repeated results only once; empty tables give an empty result; other columns are ignored. Long texts are cut into tokens
+in segments; their windows are those of the whole text.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ from .token_counts import _ANY_WHITE, segments
 WINDOW, SHORT_WINDOW = 8, 5
 #: Windows that have to agree along one alignment, or half of the item's if that is fewer.
 ENOUGH = 6
-#: Placeholders that a template window may hold at most. Literal windows have no limit.
-MOST_SLOTS = {WINDOW: 4, SHORT_WINDOW: 1}
+#: Words that a template window holds at least; it grows until it does.
+LEAST_WORDS = 4
 #: Places by which an alignment may move within one run.
 DRIFT = 2
 #: Readings of a text: sentence openers as words, as names, and all tokens as they stand.
@@ -108,23 +111,48 @@ def readings(hashes: np.ndarray, flags: np.ndarray) -> list[tuple[int, np.ndarra
     return [*out, (LITERAL, hashes, np.zeros(len(hashes), np.uint8), np.arange(len(hashes)))]
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = ((a * _MIX) ^ b) * _MIX
-    return out ^ (out >> np.uint64(31))
+class _Powers:
+    """Powers of an odd number and of its inverse, as many as were asked for."""
+
+    base = int(_MIX) | 1
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if size > len(self.up):
+            size = 1 << size.bit_length()
+            powers = np.full((2, size), [[self.base], [pow(self.base, -1, 1 << 64)]], np.uint64)
+            powers[:, 0] = 1
+            self.up, self.down = np.multiply.accumulate(powers, axis=1)
+        return self.up, self.down
+
+
+_POWERS = _Powers()
+
+
+def window_ends(slots: np.ndarray, size: int) -> np.ndarray:
+    """Where the window from each place ends: after `size` tokens and LEAST_WORDS words; the windows that the text cuts are left out."""
+    ends = np.arange(size, len(slots) + 1)
+    if not slots.any():
+        return ends
+    words = np.flatnonzero(slots == 0)
+    last = np.searchsorted(words, np.arange(len(ends))) + LEAST_WORDS - 1
+    last = last[last < len(words)]  # what follows has too few words left
+    return np.maximum(ends[: len(last)], words[last] + 1)
 
 
 def window_hashes(tokens: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A signed hash of each window, and whether it holds few enough placeholders."""
+    """A signed hash of the window from each place, as far as there are windows, and where it ends."""
     if len(tokens) < size:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    with np.errstate(over="ignore"):
-        out = _pair(tokens[:-1], tokens[1:])
-        out = _pair(out[:-2], out[2:])
-        out = _pair(out[:-4], out[4:]) if size == WINDOW else _pair(out[:-1], tokens[4:])
-    if not slots.any():
-        return out.view(np.int64), np.ones(len(out), bool)
-    filled = np.concatenate([[0], np.cumsum(slots > 0)])
-    return out.view(np.int64), filled[size:] - filled[:-size] <= MOST_SLOTS[size]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = window_ends(slots, size)
+    up, down = _POWERS.of(len(tokens))
+    sums = np.zeros(len(tokens) + 1, np.uint64)
+    np.cumsum(tokens * up[: len(tokens)], out=sums[1:])
+    out = (sums[ends] - sums[: len(ends)]) * down[: len(ends)]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (out ^ (out >> np.uint64(31))).view(np.int64), ends
 
 
 class Templates:
@@ -176,11 +204,13 @@ class Templates:
             yield self.readings_of(text) if tokens is None else readings(*tokens)
 
 
-def _slot_values(text: str, slots: np.ndarray, at: np.ndarray, starts: np.ndarray, size: int) -> list[list[str]]:
-    if not len(starts) or not any(slots[s : s + size].any() for s in starts):
+def _slot_values(text: str, slots: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[str]]:
+    """The values in the windows from `starts`; ends: where the window of each place ends."""
+    filled = np.concatenate([[0], np.cumsum(slots > 0)])
+    if not len(starts) or not (filled[ends[starts]] > filled[starts]).any():
         return [[] for _ in starts]
     words = [x.lower() for x in _TOKEN.findall(text)]
-    return [[f"{slots[k]}:{words[at[k]]}" for k in range(s, s + size) if slots[k]] for s in starts]
+    return [[f"{slots[k]}:{words[at[k]]}" for k in range(s, ends[s]) if slots[k]] for s in starts]
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -194,12 +224,9 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
                 views = own.readings_of(x)
                 size = WINDOW if len(views[-1][1]) >= WINDOW else SHORT_WINDOW
                 for reading, tokens, slots, at in views:
-                    hashes, usable = window_hashes(tokens, slots, size)
-                    places = np.flatnonzero(usable)
-                    # Openers read as names leave few windows usable at times: all of them count for what is enough.
-                    windows = len(hashes) if reading == NAMED else len(places)
-                    n = len(places)
-                    for row in zip(hashes[places].tolist(), [reading] * n, [k.as_py()] * n, places.tolist(), _slot_values(x, slots, at, places, size), [windows] * n, strict=True):
+                    hashes, ends = window_hashes(tokens, slots, size)
+                    n, places = len(hashes), np.arange(len(hashes))
+                    for row in zip(hashes.tolist(), [reading] * n, [k.as_py()] * n, places.tolist(), _slot_values(x, slots, at, places, ends), [n] * n, strict=True):
                         for column, value in zip(columns, row, strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), batch.schema.field(0).type, pa.int64(), pa.list_(pa.string()), pa.int64()), strict=True)], names=["hash", "reading", "item", "item_place", "item_slots", "windows"])
@@ -241,9 +268,9 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, key: str = "doc_id", t
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             for row, x, views in _templates_of(own, batch.column(1), lengths):
                 for (reading, tokens, slots, at), size in product(views, sizes):
-                    hashes, usable = window_hashes(tokens, slots, size)
+                    hashes, ends = window_hashes(tokens, slots, size)
                     bit = hashes & (BITMAP_BITS - 1)
-                    places = np.flatnonzero(usable & ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool))
+                    places = np.flatnonzero((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
                     if len(places):
                         rows += [row] * len(places)
                         columns[0] += hashes[places].tolist()
@@ -251,7 +278,7 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, key: str = "doc_id", t
                         columns[2] += [xxh64_intdigest(x.encode()) - (1 << 63)] * len(places)
                         columns[3] += places.tolist()
                         columns[4] += at[places].tolist()
-                        columns[5] += _slot_values(x, slots, at, places, size)
+                        columns[5] += _slot_values(x, slots, at, places, ends)
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *arrays], names=["doc", "hash", "reading", "doc_print", "doc_place", "doc_at", "doc_slots"])
 
