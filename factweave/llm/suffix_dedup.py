@@ -9,7 +9,8 @@ therefore follow from the first and the last of them.
 1.  All anchors' hashes are counted. Two bitmaps of fixed size tell which hashes repeat and which are crowded; a wrong
     bit only adds work.
 2.  Each task sorts the suffixes at its repeated anchors into runs and writes them front-coded: the length shared with
-    the suffix before, then the rest; equal contexts are one entry. Runs are exchanged by the anchor's hash.
+    the suffix before, then the rest; equal contexts are one entry. Runs are exchanged by the anchor's hash, to as many
+    parts as the counted anchors need for `PART_BYTES` each, so a task holds the same however large the table is.
 3.  Runs are merged by a loser tree that knows each head's common prefix with the last winner and compares only what
     lies behind it. The merged order gives the common prefixes to the right of the anchors, and sorting the bytes before
     the anchors backwards gives those to the left. Both together give each anchor's first and last repeated window.
@@ -19,7 +20,8 @@ therefore follow from the first and the last of them.
 
 Matches never cross documents. Defined cases: null and empty texts have no bytes and lose none; rows that repeat are
 copies of each other and lose their windows; null keys are kept as they are; an empty table gives an empty result; other
-columns are left alone. Long texts are hashed in blocks, so memory beyond the text itself is bounded.
+columns are left alone; equal strings have no order, all of them go. Long texts are hashed in blocks, so memory beyond the
+text itself is bounded.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ LENGTH, ANCHOR = 200, 64
 BLOCK, RUN_BYTES = 1 << 20, 32 << 20
 #: Occurrences of an anchor's string from which its windows are counted instead of its suffixes sorted.
 CROWDED = 8192
+#: Bytes of contexts and windows that one part holds before front-coding, about.
+PART_BYTES = 64 << 20
 REPEATED_BITS, CROWDED_BITS = 1 << 26, 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WRAP = 1 << 64
@@ -440,7 +444,6 @@ def union_spans(spans: np.ndarray) -> np.ndarray:
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, crowded: int = CROWDED) -> DataFrame:
     """d1, d2 and packed spans: what each document loses, in parts that are still to be joined. docs: d1, d2 and the text."""
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("d1", "d2", F.col(text))
 
     def anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,6 +459,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, cr
     counts = stage(counts, "anchor-counts")
     repeats, crowds = _bitmap(counts, REPEATED_BITS), _bitmap(counts.where(F.col("n") > crowded), CROWDED_BITS)
     shared = spark.sparkContext.broadcast((repeats, crowds))  # fixed size
+    # An anchor is sent with the bytes around it, or as the windows that chose it: about a third of the length many.
+    sent = F.when(F.col("n") > crowded, F.col("n") * (length // 3) * WINDOW.itemsize).otherwise(F.col("n") * (2 * length - anchor_bytes(length)))
+    parts = int((counts.agg(F.sum(sent)).first()[0] or 0) // PART_BYTES) + 1
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, (repeats, crowds) = Anchors(length), shared.value
@@ -506,7 +512,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, cr
         yield _packed_spans(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
 
     exchanged = rows.mapInArrow(runs, "part bigint, kind int, blob binary")
-    return exchanged.groupBy("part").applyInArrow(settle, "d1 bigint, d2 bigint, spans binary")
+    # The number of partitions is given, so the tasks grow with the table too and are not merged.
+    return exchanged.repartition(parts, "part").groupBy("part").applyInArrow(settle, "d1 bigint, d2 bigint, spans binary")
 
 
 def _run_blob(names: np.ndarray, found: dict[tuple[bytes, bytes], list[tuple]]) -> bytes:

@@ -138,12 +138,12 @@ def test_op2(table, request, library, spark, tmp_path):
 
 
 def test_sequences_and_masks(tmp_path):
-    writer = token_files.SequenceWriter(str(tmp_path), "part.arrows", np.uint16, sequence=8, batch_rows=2)
-    stream = np.arange(3, 40, dtype=np.uint16)
-    writer.add(7, iter([stream[:20], stream[20:]]), 2)
     import pyarrow as pa
 
-    writer.close(pa.int64())
+    writer = token_files.SequenceWriter(str(tmp_path), "part.arrows", np.uint16, pa.int64(), sequence=8, batch_rows=2)
+    stream = np.arange(3, 40, dtype=np.uint16)
+    writer.add(7, iter([stream[:20], stream[20:]]), 2)
+    writer.close()
     file = token_files.SequenceFile(f"{tmp_path}/part.arrows")
     ids, mask = file.sequence_at(0)
     assert ids.tolist() == list(range(3, 11)) and all(mask.to_pylist())
@@ -190,3 +190,70 @@ def test_op4_megabytes_in_one_unit(spark, library):
     row = bpe.bpe_digests(docs, vocab.path("byte_bpe_50k.json")).first()
     assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert row.n_tokens == len(library("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids)
+
+
+def test_batches_of_a_remote_file_are_read_by_offset(tmp_path, monkeypatch):
+    import pyarrow as pa
+    from pyarrow import fs
+
+    monkeypatch.setattr(token_files, "INDEX_ROWS", 3)
+    writer = token_files.SequenceWriter(str(tmp_path), "part.arrows", np.uint32, pa.int64(), sequence=8, batch_rows=2)
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 60_000, n).astype(np.uint32) for n in (0, 5, 100, 1, 40, 16, 7, 333)]
+    for k, x in enumerate(parts):
+        writer.add(k, iter([x]), 2)
+    writer.close()
+    read = []
+
+    class Source:
+        def __init__(self, file):
+            self.file = file
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+        def read_buffer(self, size):
+            read.append(size)
+            return self.file.read_buffer(size)
+
+    far = fs.SubTreeFileSystem("/", fs.LocalFileSystem())
+    monkeypatch.setattr(token_files, "file_system", lambda uri: (far, uri.lstrip("/")))
+    file = token_files.SequenceFile(f"{tmp_path}/part.arrows")
+    file.source = Source(file.source)
+    found = [(k, s, n) for batch in file.index() for k, s, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)]
+    assert [k for k, _, _ in found] == list(range(8)) and sum(b.num_rows for b in file.index()) == 8 and len(list(file.index())) == 3
+    for k, start, size in reversed(found):
+        assert np.concatenate(list(file.tokens(start, size))).tolist() == [*parts[k].tolist(), 2]
+    read.clear()
+    file.sequence_at(40)
+    assert len(read) == 1 and read[0] <= file.step < file.size / 10
+
+
+def test_a_task_that_runs_again_leaves_the_same_files(tmp_path):
+    import os
+
+    import pyarrow as pa
+
+    def write():
+        writer = token_files.SequenceWriter(str(tmp_path), "part-0000000.arrows", np.uint16, pa.int64(), sequence=8, batch_rows=2)
+        writer.add(7, iter([np.arange(30, dtype=np.uint16)]), 2)
+        return writer
+
+    first, second, lost = write(), write(), write()
+    first.close()
+    second.close()
+    third = write()
+    third.discard()
+    lost.sinks[0].close()
+    lost.sinks[1].close()
+    assert len(os.listdir(tmp_path)) == 4
+    token_files.delete_leftovers(str(tmp_path))
+    assert sorted(os.listdir(tmp_path)) == ["part-0000000.arrows", "part-0000000.arrows.index"]
+    assert np.concatenate(list(token_files.SequenceFile(f"{tmp_path}/part-0000000.arrows").tokens(0, 31))).tolist() == [*range(30), 2]
+
+
+def test_files_follow_the_bytes_of_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 1000)
+    docs = spark.range(200).selectExpr("id AS doc_id", "repeat('ab ', 20) AS text")
+    manifest = token_files.write_token_files(docs, f"file:{tmp_path}/t", vocab.path("word_bpe_49k.json"))
+    assert manifest.count() == 12 and manifest.agg({"n_docs": "sum"}).first()[0] == 200

@@ -60,6 +60,16 @@ def test_planted(spark, crowded):
     assert sorted(map(tuple, sd.suffix_digests(frame, crowded=crowded).collect()), key=str) == plain(rows)
 
 
+def test_parts_follow_the_bytes(spark, monkeypatch):
+    rows = planted(5, 200)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(sd, "PART_BYTES", 20_000)
+    own = frame.selectExpr("xxhash64(doc_id) AS d1", "doc_id AS d2", "text")
+    found = sd.repeated_spans(own)
+    assert found.rdd.getNumPartitions() > 8
+    assert sorted(map(tuple, sd.suffix_digests(frame).collect()), key=str) == plain(rows)
+
+
 @pytest.mark.parametrize("table", ["odd_docs", "docs", "no_docs"])
 def test_tables(table, request):
     docs = request.getfixturevalue(table)
