@@ -14,12 +14,13 @@ That keeps every connection, and the work is in proportion to the number of clas
 no split into blocks has one that all such pairs share and that still tells documents apart. So there the blocks are cut
 from the space of hashes, not from the fingerprint: the least hash of each of 128 ranges, four of which are a block. A pair of
 similarity 0.8 shares no block with probability (1 - 0.8^4)^32, less than one in ten million. Pairs whose least hashes agree in
-enough ranges are then compared by their distinct shingles, which alone decide. Blocks that very many sets share are compared
-in full, in tiles, but for members that links join already.
+enough ranges are then compared by their distinct shingles, which alone decide. In blocks that very many sets share, members are first linked to a
+few of their block; then all that is outside a block's largest component is compared with all of the block, in tiles.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle holds
 are one shingle; repeated rows fall into one class; a null key is never a representative unless all of its component's
-keys are null; an empty table gives an empty result; other columns are left alone.
+keys are null; an empty table gives an empty result; other columns are left alone. Equal fingerprints, or equal sets of
+shingles, tie: they are one class under its least key. Long texts are cut into shingles in bounded steps.
 """
 
 from __future__ import annotations
@@ -132,8 +133,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 RANGES, ROWS, EMPTY = 128, 4, 0xFFFFFFFF
 #: Share of the similarity asked for that the estimate from least hashes has to reach before the sets themselves are compared.
 LOOSE = 0.75
-#: Members and bytes of shingles on one side of a tile, about.
-TILE, TILE_BYTES = 128, 8 << 20
+#: Members and bytes of shingles on the side of a tile that has all members, and on the one that has those outside the largest component, about.
+TILE, TILE_BYTES, FEW, FEW_BYTES = 1024, 16 << 20, 256, 4 << 20
 _STARTS = np.arange(RANGES, dtype=np.uint64) << np.uint64(57)
 
 
@@ -158,15 +159,21 @@ def _block(raw: bytes, k: int) -> int:
     return xxh64_intdigest(raw[4 * ROWS * k : 4 * ROWS * (k + 1)], k) - (1 << 63)
 
 
-def sketch(text: str, shingle: int) -> tuple[bytes, int, int, list[int]]:
-    """Least hashes by range, two numbers for the set of shingles, and one for each block that is not empty."""
-    kept = shingle_set(text, shingle)
+def least_hashes(kept: np.ndarray) -> np.ndarray:
+    """The least hash of each range of the hash space, EMPTY where it has none; kept: hashes in order."""
     at = np.searchsorted(kept, _STARTS)
     least = np.full(RANGES, EMPTY, np.uint32)
     full = np.diff([*at, len(kept)]) > 0
     least[full] = np.minimum(kept[at[full]] >> np.uint64(25) & np.uint64(0xFFFFFFFF), EMPTY - 1)
+    return least
+
+
+def sketch(text: str, shingle: int) -> tuple[bytes, int, int, list[int]]:
+    """Least hashes by range, two numbers for the set of shingles, and one for each block that is not empty."""
+    kept = shingle_set(text, shingle)
+    least = least_hashes(kept)
     raw = least.tobytes()
-    return raw, *_name_of(kept), [_block(raw, k) for k in np.flatnonzero(full.reshape(-1, ROWS).any(axis=1)).tolist()]
+    return raw, *_name_of(kept), [_block(raw, k) for k in np.flatnonzero((least != EMPTY).reshape(-1, ROWS).any(axis=1)).tolist()]
 
 
 def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -223,22 +230,29 @@ def _exact(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _tile_links(similarity: float):
-    """Links between the two sides of a tile that join components; a pair is looked at under the first block that it shares."""
+    """Links between the two sides of a tile that join components; a pair is looked at under the first block that it shares.
+
+    One side holds members of a block, the other some that are outside its largest component. Two of these meet in two tiles
+    and are looked at in one.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
-        rows = {c: table.column(c).to_pylist() for c in ("node", "component", "own", "least")}
-        sets = [np.array(x, np.int64) for x in table.column("shingles").to_pylist()]
-        block, within = table.column("block")[0].as_py(), table.column("i")[0] == table.column("j")[0]
-        least, own, component = np.frombuffer(b"".join(rows["least"]), np.uint32).reshape(-1, RANGES), np.array(rows["own"]), np.array(rows["component"])
-        this = next(k for k in range(RANGES // ROWS) if _block(rows["least"][0], k) == block)
+        node, component, outside = (table.column(c).to_numpy() for c in ("node", "component", "outside"))
+        sets = [np.asarray(x.values).view(np.uint64) for x in table.column("shingles")]
+        least = np.array([least_hashes(x) for x in sets]).reshape(-1, RANGES)
+        across = table.column("across").to_numpy(zero_copy_only=False).astype(bool)
+        block = table.column("block")[0].as_py()
+        raw = least[0].tobytes()
+        this = next(k for k in range(RANGES // ROWS) if _block(raw, k) == block)
         full = (least != EMPTY).reshape(-1, RANGES // ROWS, ROWS).any(axis=2)
+        side = np.flatnonzero(~across)
         found: list[tuple] = []
-        for a in range(len(sets) - 1):
-            shared = (least[a] == least[a + 1 :]).reshape(-1, RANGES // ROWS, ROWS).all(axis=2) & full[a]
-            guess = _estimates(least[a], least[a + 1 :])
-            open_ = (shared.argmax(axis=1) == this) & (guess >= LOOSE * similarity) & (component[a] != component[a + 1 :]) & (within | (own[a] != own[a + 1 :]))
-            at = np.flatnonzero(open_)
-            found += zip((-guess[at]).tolist(), [a] * len(at), (at + a + 1).tolist(), strict=True)
+        for a in np.flatnonzero(across).tolist():
+            open_ = side[(component[side] != component[a]) & (~outside[side].astype(bool) | (node[side] < node[a]))]
+            shared = (least[a] == least[open_]).reshape(-1, RANGES // ROWS, ROWS).all(axis=2) & full[a]
+            guess = _estimates(least[a], least[open_])
+            good = np.flatnonzero((shared.argmax(axis=1) == this) & (guess >= LOOSE * similarity))
+            found += zip((-guess[good]).tolist(), [a] * len(good), open_[good].tolist(), strict=True)
         parent: dict = {}
 
         def root(x: int) -> int:
@@ -248,41 +262,66 @@ def _tile_links(similarity: float):
 
         out: list[tuple] = []
         for _, a, b in sorted(found):  # the surest first: what they join needs no further comparison
-            ra, rb = root(rows["component"][a]), root(rows["component"][b])
+            ra, rb = root(int(component[a])), root(int(component[b]))
             if ra != rb:
                 both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                 if both / (len(sets[a]) + len(sets[b]) - both) >= similarity:
                     parent[max(ra, rb)] = min(ra, rb)
-                    out.append((rows["node"][a], rows["node"][b]))
+                    out.append((int(node[a]), int(node[b])))
         return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
     return compare
 
 
 def _open_members(many: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of crowded blocks that hold more than one component, with their components."""
+    """The members of crowded blocks that hold more than one component: block, node, component."""
     named = stage(many.join(found, many["node"] == found["node"], "left").select("block", many["node"], F.coalesce("component", many["node"]).alias("component")), "crowds")
-    several = stage(named.groupBy("block").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("block", "n"), "open-blocks")
-    return stage(named.join(several, "block"), "open-members")
-
-
-def _crowd_links(many: DataFrame, edges: DataFrame, heads: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges, and those that crowded blocks add: their members are compared until no two of different components are left."""
-    members = _open_members(many, connected_components(edges))
+    several = named.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("block")
+    return stage(named.join(stage(several, "open-blocks"), "block"), "open-members")
+
+
+def _tiles(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """block, i, j, across, node, component, outside: the tiles in which members of a block meet those outside its largest component.
+
+    members: block, node, component. sizes: node, size, the number of its shingles.
+    """
+    members = stage(members.join(sizes, "node"), "sized-members")
+    counts = members.groupBy("block", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("block").agg(F.max(F.struct("n", "component")).alias("main")).select("block", F.col("main.component").alias("main"))
+    members = members.join(stage(main, "main-components"), "block").withColumn("outside", (F.col("component") != F.col("main")).cast("int"))
+    members = stage(members.select("block", "node", "component", "outside", "size"), "sided-members")
+    parts = lambda keep, n, size: F.ceil(F.greatest(F.sum(keep) / n, F.sum(8 * F.col("size") * keep) / size))
+    grid = members.groupBy("block").agg(parts(F.lit(1), TILE, TILE_BYTES).alias("rows"), parts(F.col("outside"), FEW, FEW_BYTES).alias("columns"))
+    members = members.join(stage(grid, "tile-grid"), "block")
+    place = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    kept = ["node", "component", "outside"]
+    side = members.select("block", place("rows", 1).alias("i"), every("columns").alias("j"), F.lit(0).alias("across"), *kept)
+    few = members.where("outside = 1").select("block", every("rows").alias("i"), place("columns", 2).alias("j"), F.lit(1).alias("across"), *kept)
+    return side.union(few)
+
+
+def _stars(found: DataFrame) -> DataFrame:
+    return found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
+def _crowd_components(many: DataFrame, edges: DataFrame, heads: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Components over edges and the links within crowded blocks: their members are compared until no two of different components are left."""
+    found = stage(connected_components(edges), "components")
+    members = _open_members(many, found)
     # A base has links to many of its copies: the member with most links is compared with all others first.
     degrees = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     hubs = members.join(degrees, "node").groupBy("block").agg(F.max(F.struct("degree", "node", "component")).alias("hub")).select("block", "hub.node", "hub.component")
     hubs = stage(hubs.select("block", F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hubs")
     pairs = members.join(hubs, "block").where("component <> hub_component").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
-    edges = stage(edges.union(_exact(_likely(stage(pairs, "hub-pairs"), heads, LOOSE * similarity), sets, similarity)), "near-hubs")
+    fresh = stage(_exact(_likely(stage(pairs, "hub-pairs"), heads, LOOSE * similarity), sets, similarity), "near-hubs")
+    if not fresh.isEmpty():
+        found = stage(connected_components(_stars(found).union(fresh)), "components")
+        members = _open_members(many, found)
 
-    members = _open_members(many, connected_components(edges)).join(heads.select("node", "least"), "node").join(sets, "node")
-    members = stage(members, "tile-members")
-    sides = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(8 * F.size("shingles")) / TILE_BYTES)).alias("sides"))
-    tiled = members.join(stage(sides, "tile-sides"), "block").withColumn("own", F.pmod(F.xxhash64("node"), "sides"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    tiled = tiled.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "least", "shingles")
-    return edges.union(tiled.groupBy("block", "i", "j").applyInArrow(_tile_links(similarity), "u bigint, v bigint"))
+    tiles = _tiles(members, sets.select("node", F.size("shingles").alias("size"))).join(sets, "node")
+    fresh = stage(tiles.groupBy("block", "i", "j").applyInArrow(_tile_links(similarity), "u bigint, v bigint"), "near-crowds")
+    return found if fresh.isEmpty() else connected_components(_stars(found).union(fresh))
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, pairwise: int = 64) -> DataFrame:
@@ -304,10 +343,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).union(many.select("node")).distinct()
     sets = stage(_sets(docs, classes, asked, key, text, shingle), "shingle-sets")
     edges = stage(_exact(pairs, sets, similarity), "near")
-    if not many.isEmpty():
-        edges = _crowd_links(many, edges, heads, sets, similarity)
-
-    found = stage(connected_components(edges), "sketch-components")
+    found = connected_components(edges) if many.isEmpty() else _crowd_components(many, edges, heads, sets, similarity)
+    found = stage(found, "sketch-components")
     joined = classes.join(found, "node").select("w1", "w2", "least_id", "component")
     least = joined.groupBy("component").agg(F.min("least_id").alias("least"))
     linked = joined.join(least, "component").select("w1", "w2", "least")

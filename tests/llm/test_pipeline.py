@@ -136,7 +136,7 @@ def test_crowd_near_only_to_its_base(spark):
     assert {c for _, c in groups_found(spark, rows)} == {0}
 
 
-def test_crowds_are_compared_in_full(spark):
+def test_crowds_are_compared_in_full(spark, monkeypatch):
     rng = random.Random(4)
     base = [f"w{rng.random()}" for _ in range(400)]
     other = edited(rng, base, 9).split()  # too far from the base, but under the same blocks
@@ -145,7 +145,11 @@ def test_crowds_are_compared_in_full(spark):
     rows = [(k, t) for k, (_, t) in enumerate(rng.sample(rows, len(rows)))]
     want = exact_groups(rows)
     assert len({c for _, c in want}) > 1
-    assert groups_found(spark, rows) == groups_found(spark, rows, pairwise=8) == want
+    for pairwise in (2, 8, 64, 1 << 30):
+        assert groups_found(spark, rows, pairwise=pairwise) == want
+    monkeypatch.setattr(simhash, "TILE", 40)
+    monkeypatch.setattr(simhash, "FEW", 7)
+    assert groups_found(spark, rows, pairwise=8) == want
 
 
 def test_similarity_is_exact_at_the_threshold(spark):
