@@ -46,8 +46,8 @@ DRIFT = 2
 PLAIN, NAMED, LITERAL = 0, 1, 2
 BITMAP_BITS = 1 << 24
 REMEMBERED = 400_000
-#: Bytes of text whose new pieces are cut at once.
-GROUP_BYTES = 4 << 20
+#: Bytes of text that are read at once.
+GROUP_BYTES = 1 << 20
 SEGMENT_CHARS = 1 << 20
 
 #: Words that are units when they follow a number.
@@ -85,30 +85,46 @@ def _flat(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(hashes, np.uint64), np.array(flags, np.uint8), np.array(sizes, np.int64)
 
 
-def readings(hashes: np.ndarray, flags: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Readings of a text: number, token hashes, 1, 2, 3 where a number, name or unit stands, and each one's place among the text's tokens.
+def readings(hashes: np.ndarray, flags: np.ndarray, doc: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Readings of texts whose tokens lie behind each other, `doc` saying whose a token is: number, token hashes, 1, 2, 3 where a
+    number, name or unit stands, each one's place among its text's tokens, and whose it is.
 
-    Marks that stood alone are gone. NAMED is left out where no capitalised word opens a sentence, as it would be PLAIN.
+    Marks that stood alone are gone. NAMED leaves out texts where no capitalised word opens a sentence, as it would be PLAIN.
     """
-    opens = (flags & OPENS).astype(bool)
+    if not len(hashes):
+        return [(r, hashes, np.zeros(0, np.uint8), np.zeros(0, np.int64), doc) for r in (PLAIN, LITERAL)]
+    new = np.ones(len(doc), bool)
+    new[1:] = doc[1:] != doc[:-1]
+    opens = (flags & OPENS).astype(bool) | new
     opens[1:] |= (flags[:-1] & CLOSES).astype(bool)
-    opens[:1] = True
     number = (flags & NUMBER).astype(bool)
-    after = np.zeros(len(flags), bool)
-    after[1:] = number[:-1]
-    unit = after & (flags & UNIT).astype(bool)
+    unit = np.zeros(len(flags), bool)
+    unit[1:] = number[:-1] & ~new[1:]
+    unit &= (flags & UNIT).astype(bool)
     capital = (flags & CAPITAL).astype(bool) & ~unit
     real = hashes != 0
-    hashes, opens, capital, fixed = hashes[real], opens[real], capital[real], (number * 1 + unit * 3)[real]
+    hashes, opens, capital, fixed, doc = hashes[real], opens[real], capital[real], (number * np.uint8(1) + unit * np.uint8(3))[real], doc[real]
+    at = np.arange(len(doc)) - _starts(doc)
     templated = np.select([fixed == 1, fixed == 3], [_NUM, _UNIT], hashes)
     out = []
-    for reading, name in ((PLAIN, capital & ~opens), (NAMED, capital)):
-        if reading == PLAIN or (capital & opens).any():
-            goes_on = np.zeros(len(name), bool)
-            goes_on[1:] = name[1:] & name[:-1] & ~opens[1:]
-            at = np.flatnonzero(~goes_on)
-            out.append((reading, np.where(name, _NAME, templated)[at], np.where(name, 2, fixed).astype(np.uint8)[at], at))
-    return [*out, (LITERAL, hashes, np.zeros(len(hashes), np.uint8), np.arange(len(hashes)))]
+    for reading, name, own in ((PLAIN, capital & ~opens, None), (NAMED, capital, capital & opens)):
+        goes_on = np.zeros(len(name), bool)
+        goes_on[1:] = name[1:] & name[:-1] & ~opens[1:] & (doc[1:] == doc[:-1])
+        keep = ~goes_on
+        if own is not None:
+            if not own.any():
+                continue
+            asked = np.zeros(int(doc[-1]) + 1, bool)
+            asked[doc[own]] = True
+            keep &= asked[doc]
+        out.append((reading, np.where(name, _NAME, templated)[keep], np.where(name, np.uint8(2), fixed)[keep], at[keep], doc[keep]))
+    return [*out, (LITERAL, hashes, np.zeros(len(hashes), np.uint8), at, doc)]
+
+
+def _starts(doc: np.ndarray) -> np.ndarray:
+    """For each token where its text begins."""
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    return np.repeat(first, np.diff([*first, len(doc)])) if len(doc) else first
 
 
 class _Powers:
@@ -131,28 +147,26 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def window_ends(slots: np.ndarray, size: int) -> np.ndarray:
-    """Where the window from each place ends: after `size` tokens and LEAST_WORDS words; the windows that the text cuts are left out."""
-    ends = np.arange(size, len(slots) + 1)
-    if not slots.any():
-        return ends
-    words = np.flatnonzero(slots == 0)
-    last = np.searchsorted(words, np.arange(len(ends))) + LEAST_WORDS - 1
-    last = last[last < len(words)]  # what follows has too few words left
-    return np.maximum(ends[: len(last)], words[last] + 1)
-
-
-def window_hashes(tokens: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A signed hash of the window from each place, as far as there are windows, and where it ends."""
+def window_hashes(tokens: np.ndarray, slots: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A signed hash of each window, where it starts and where it ends: behind `size` tokens and LEAST_WORDS words, all of one text."""
+    none = np.zeros(0, np.int64)
     if len(tokens) < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ends = window_ends(slots, size)
+        return none, none, none
+    starts = np.arange(len(tokens) - size + 1)
+    ends = starts + size
+    if slots.any():
+        words = np.flatnonzero(slots == 0)
+        last = np.cumsum(slots == 0)[: len(starts)] - (slots[: len(starts)] == 0) + LEAST_WORDS - 1  # words before a place, and those it needs
+        there = last < len(words)
+        starts, ends = starts[there], np.maximum(ends[there], words[last[there]] + 1)
+    whole = doc[ends - 1] == doc[starts]
+    starts, ends = starts[whole], ends[whole]
     up, down = _POWERS.of(len(tokens))
     sums = np.zeros(len(tokens) + 1, np.uint64)
     np.cumsum(tokens * up[: len(tokens)], out=sums[1:])
-    out = (sums[ends] - sums[: len(ends)]) * down[: len(ends)]
+    out = (sums[ends] - sums[starts]) * down[starts]
     out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (out ^ (out >> np.uint64(31))).view(np.int64), ends
+    return (out ^ (out >> np.uint64(31))).view(np.int64), starts, ends
 
 
 class Templates:
@@ -179,12 +193,8 @@ class Templates:
         if self.numbers.forget_at(REMEMBERED):
             self._forget()
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Template tokens and slots of one text where sentence openers are words."""
-        return self.readings_of(text)[0][1:3]
-
-    def readings_of(self, text: str) -> list[tuple]:
-        """All readings of one text, a segment at a time."""
+    def tokens_of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and flags of one text's tokens, a segment at a time."""
         hashes, flags = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
         for part in segments(text, SEGMENT_CHARS, _ANY_WHITE):
             numbers = self._look(part)
@@ -192,25 +202,33 @@ class Templates:
             hashes.append(self.hashes.take(numbers))
             flags.append(self.flags.take(numbers))
             self._forget_at_limit()
-        return readings(np.concatenate(hashes), np.concatenate(flags))
+        return np.concatenate(hashes), np.concatenate(flags)
+
+    def readings_of(self, texts: list[str]) -> list[tuple]:
+        """All readings of texts; the new pieces of those of ordinary size are cut together."""
+        if any(len(text) > SEGMENT_CHARS for text in texts):
+            found = [self.tokens_of(text) for text in texts]
+            hashes, flags = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+            sizes = np.array([len(x[0]) for x in found], np.int64)
+        else:
+            held = [self._look(text) for text in texts]
+            self._cut_pending()
+            numbers = np.concatenate(held) if held else np.zeros(0, np.int64)
+            hashes, flags = self.hashes.take(numbers), self.flags.take(numbers)
+            before = np.concatenate([[0], np.cumsum(self.hashes.sizes[numbers])])
+            ends = np.cumsum([len(x) for x in held], dtype=np.int64)
+            sizes = np.diff(before[ends], prepend=0)
+            self._forget_at_limit()
+        return readings(hashes, flags, np.repeat(np.arange(len(texts)), sizes))
+
 
-    def of_group(self, texts: list[str]) -> Iterator[list[tuple]]:
-        """The same for each of several texts; new pieces of those of ordinary size are cut together."""
-        held = [self._look(text) if len(text) <= SEGMENT_CHARS else None for text in texts]
-        self._cut_pending()
-        ready = [None if numbers is None else (self.hashes.take(numbers), self.flags.take(numbers)) for numbers in held]
-        self._forget_at_limit()
-        for text, tokens in zip(texts, ready, strict=True):
-            yield self.readings_of(text) if tokens is None else readings(*tokens)
+def _slot_values(words: list[str], slots: np.ndarray, at: np.ndarray, start: int, end: int) -> list[str]:
+    """The values in a window of a text with these words."""
+    return [f"{slots[k]}:{words[at[k]]}" for k in range(start, end) if slots[k]]
 
 
-def _slot_values(text: str, slots: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[str]]:
-    """The values in the windows from `starts`; ends: where the window of each place ends."""
-    filled = np.concatenate([[0], np.cumsum(slots > 0)])
-    if not len(starts) or not (filled[ends[starts]] > filled[starts]).any():
-        return [[] for _ in starts]
-    words = [x.lower() for x in _TOKEN.findall(text)]
-    return [[f"{slots[k]}:{words[at[k]]}" for k in range(s, ends[s]) if slots[k]] for s in starts]
+def _words(text: str) -> list[str]:
+    return [x.lower() for x in _TOKEN.findall(text)]
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -221,12 +239,13 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
         for batch in batches:
             columns: list[list] = [[], [], [], [], [], []]
             for k, x in zip(batch.column(0), texts_of(batch.column(1)), strict=True):
-                views = own.readings_of(x)
+                views, words = own.readings_of([x]), _words(x)
                 size = WINDOW if len(views[-1][1]) >= WINDOW else SHORT_WINDOW
-                for reading, tokens, slots, at in views:
-                    hashes, ends = window_hashes(tokens, slots, size)
-                    n, places = len(hashes), np.arange(len(hashes))
-                    for row in zip(hashes.tolist(), [reading] * n, [k.as_py()] * n, places.tolist(), _slot_values(x, slots, at, places, ends), [n] * n, strict=True):
+                for reading, tokens, slots, at, doc in views:
+                    hashes, starts, ends = window_hashes(tokens, slots, doc, size)
+                    n = len(hashes)
+                    values = [_slot_values(words, slots, at, a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    for row in zip(hashes.tolist(), [reading] * n, [k.as_py()] * n, starts.tolist(), values, [n] * n, strict=True):
                         for column, value in zip(columns, row, strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), batch.schema.field(0).type, pa.int64(), pa.list_(pa.string()), pa.int64()), strict=True)], names=["hash", "reading", "item", "item_place", "item_slots", "windows"])
@@ -247,13 +266,6 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return out
 
 
-def _templates_of(own: Templates, column: pa.Array, lengths: list[int]) -> Iterator[tuple[int, str, list[tuple]]]:
-    for first, last in byte_groups(lengths, GROUP_BYTES):
-        texts = list(texts_of(column.slice(first, last - first)))
-        for k, views in enumerate(own.of_group(texts)):
-            yield first + k, texts[k], views
-
-
 def document_windows(docs: DataFrame, bitmap: np.ndarray, key: str = "doc_id", text: str = "text", short: bool = True) -> DataFrame:
     """hash, reading, doc, doc_print, doc_place, doc_at (its token in the text) and doc_slots of the windows whose hash has its bit set."""
     sizes = (WINDOW, SHORT_WINDOW) if short else (WINDOW,)
@@ -266,19 +278,24 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, key: str = "doc_id", t
             rows: list[int] = []
             columns: list[list] = [[], [], [], [], [], []]
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            for row, x, views in _templates_of(own, batch.column(1), lengths):
-                for (reading, tokens, slots, at), size in product(views, sizes):
-                    hashes, ends = window_hashes(tokens, slots, size)
+            for first, last in byte_groups(lengths, GROUP_BYTES):
+                texts = list(texts_of(batch.column(1).slice(first, last - first)))
+                prints: dict[int, int] = {}
+                words: dict[int, list[str]] = {}
+                for (reading, tokens, slots, at, doc), size in product(own.readings_of(texts), sizes):
+                    hashes, starts, ends = window_hashes(tokens, slots, doc, size)
                     bit = hashes & (BITMAP_BITS - 1)
-                    places = np.flatnonzero((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-                    if len(places):
-                        rows += [row] * len(places)
-                        columns[0] += hashes[places].tolist()
-                        columns[1] += [reading] * len(places)
-                        columns[2] += [xxh64_intdigest(x.encode()) - (1 << 63)] * len(places)
-                        columns[3] += places.tolist()
-                        columns[4] += at[places].tolist()
-                        columns[5] += _slot_values(x, slots, at, places, ends)
+                    hit = np.flatnonzero((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+                    if not len(hit):
+                        continue
+                    begins = np.searchsorted(doc, np.arange(len(texts)))
+                    for h, s, e in zip(hashes[hit].tolist(), starts[hit].tolist(), ends[hit].tolist(), strict=True):
+                        d = int(doc[s])
+                        if d not in prints:
+                            prints[d], words[d] = xxh64_intdigest(texts[d].encode()) - (1 << 63), _words(texts[d])
+                        for column, value in zip(columns, (h, reading, prints[d], s - int(begins[d]), int(at[s]), _slot_values(words[d], slots, at, s, e)), strict=True):
+                            column.append(value)
+                        rows.append(first + d)
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *arrays], names=["doc", "hash", "reading", "doc_print", "doc_place", "doc_at", "doc_slots"])
 

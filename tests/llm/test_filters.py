@@ -172,8 +172,10 @@ def test_dense_items_meet_with_new_values(spark):
 
 def test_windows_do_not_depend_on_segments(monkeypatch, docs):
     texts = [r.text for r in docs.limit(20).collect()]
-    windows = lambda t: dc.window_hashes(*dc.Templates().of(t), 8)[0].tolist()
+    windows = lambda t: [dc.window_hashes(tokens, slots, doc, 8)[0].tolist() for _, tokens, slots, _, doc in dc.Templates().readings_of([t])]
     whole = [windows(t) for t in texts]
+    together = dc.Templates().readings_of(texts)
+    assert [sorted(dc.window_hashes(tokens, slots, doc, 8)[0].tolist()) for _, tokens, slots, _, doc in together] == [sorted(h for t in texts for r, *view in dc.Templates().readings_of([t]) if r == own for h in dc.window_hashes(view[0], view[1], view[3], 8)[0].tolist()) for own, *_ in together]
     monkeypatch.setattr(dc, "SEGMENT_CHARS", 50)
     assert [windows(t) for t in texts] == whole
 
