@@ -134,7 +134,7 @@ RANGES, ROWS, EMPTY = 128, 4, 0xFFFFFFFF
 #: Share of the similarity asked for that the estimate from least hashes has to reach before the sets themselves are compared.
 LOOSE = 0.75
 #: Members and bytes of shingles on the side of a tile that has all members, and on the one that has those outside the largest component, about.
-TILE, TILE_BYTES, FEW, FEW_BYTES = 1024, 16 << 20, 256, 4 << 20
+TILE, TILE_BYTES, FEW, FEW_BYTES = 1024, 16 << 20, 1024, 16 << 20
 _STARTS = np.arange(RANGES, dtype=np.uint64) << np.uint64(57)
 
 
