@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tiers from the weakest to the strongest.
-TIERS = ["unknown", "inferred", "corroborated", "exact"]
+TIERS = ["speculative", "inferred", "cross_abi_corroborated", "proven"]
 
 
 def tier_rank(tier: Column | str) -> Column:
@@ -28,14 +28,14 @@ def at_least(tier: Column | str, floor: str) -> Column:
 
 
 def consensus(df: DataFrame, keys: list[str], partition: str, components: list[str], partitions: int) -> DataFrame:
-    """A tier for each key: corroborated if two partitions or more have it and agree on every component, else inferred."""
+    """A tier for each key: cross_abi_corroborated if two partitions or more have it and agree on every component, else inferred."""
     spread = [(F.min(c).eqNullSafe(F.max(c)) & (F.count(c) == F.count("*"))).alias(f"_a{k}") for k, c in enumerate(components)]
     out = df.groupBy(*keys).agg(F.count_distinct(partition).alias("present"), *spread)
     agree = F.lit(True)
     for k in range(len(components)):
         agree = agree & F.col(f"_a{k}")
     state = F.when(F.col("present") < 2, "unaligned").when(agree & (F.col("present") == partitions), "corroborated").when(agree, "partial").otherwise("disputed")
-    tier = F.when(agree & (F.col("present") >= 2), "corroborated").otherwise("inferred")
+    tier = F.when(agree & (F.col("present") >= 2), "cross_abi_corroborated").otherwise("inferred")
     return out.select(*keys, "present", state.alias("state"), tier.alias("tier"))
 
 
@@ -47,21 +47,49 @@ def elect_or_null(df: DataFrame, keys: list[str], candidate: str) -> DataFrame:
 
 
 def elect_package(df: DataFrame, uri: str) -> DataFrame:
-    """The application's package: one with main.dart, else the one with most files (two at least); a tie gives null."""
-    package = F.regexp_extract(uri, "^package:([^/]+)/", 1)
-    counts = df.select(package.alias("package"), F.col(uri).endswith("/main.dart").alias("main")).where("package <> ''")
-    counts = counts.groupBy("package").agg(F.count("*").alias("n"), F.max("main").alias("main")).where("main OR n >= 2")
+    """The application's package: of those with a main.dart at their top or two addresses, the one with main, then with most distinct addresses; a tie gives null.
+
+    The framework's own packages do not stand for election.
+    """
+    package = F.regexp_extract(uri, "^package:([^/]*)", 1)
+    counts = df.where(F.col(uri).startswith("package:")).select(package.alias("package"), F.col(uri).alias("uri")).distinct().where(~F.col("package").isin("flutter", "flutter_test"))
+    main = F.col("uri") == F.concat(F.lit("package:"), "package", F.lit("/main.dart"))
+    counts = counts.groupBy("package").agg(F.count("*").alias("n"), F.bool_or(main).alias("main")).where("main OR n >= 2")
     best = counts.agg(F.max(F.struct("main", "n")).alias("best"))
     tied = counts.join(F.broadcast(best), F.struct("main", "n") == F.col("best"))  # one row
     return tied.agg(F.when(F.count("*") == 1, F.min("package")).alias("package"))
 
 
+def ownership(df: DataFrame, uri: str, application: str | None = None) -> DataFrame:
+    """One row: how many distinct addresses are recognised, opaque, compact and the application's, and whether ownership is obfuscated.
+
+    It is if eight or more are opaque and these are more than twice the recognised ones, and either some are the
+    application's or eight or more, three in four of the opaque, are compact.
+    """
+    u = F.col(uri)
+    known = u.rlike("^(dart:|package:|file:|org-dartlang-)")
+    own = u.startswith(f"package:{application}/") if application else F.lit(False)
+    counts = df.where(u != "").select(uri).distinct().agg(
+        F.count_if(known).alias("recognised"), F.count_if(~known).alias("opaque"), F.count_if(~known & u.rlike(r"^[A-Za-z0-9_$]{1,8}\z")).alias("compact"), F.count_if(own).alias("application")
+    )
+    dominant = (F.col("opaque") >= 8) & (F.col("opaque") > 2 * F.col("recognised"))
+    return counts.withColumn("obfuscated", dominant & ((F.col("application") > 0) | ((F.col("compact") >= 8) & (4 * F.col("compact") >= 3 * F.col("opaque")))))
+
+
 def multiset_fingerprint(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """A digest of each key's values; order does not count, multiplicity does."""
     joined = F.array_join(F.array_sort(F.collect_list(value)), ",")
     return df.groupBy(*keys).agg(F.count(value).alias("n"), F.sha2(joined.cast("binary"), 256).alias("fingerprint"))
 
 
+def multiset_fold(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The 64-bit fold of each key's texts, bit by bit the one that other builds compare; null values count as nothing."""
+    from ..functions.kernels import fold_64
+
+    lists = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.collect_list(F.col(value).cast("string")).alias("_all"))
+    return lists.select(*keys, fold_64("_all").alias("fold"))
+
+
 def tri_state(flag: Column) -> Column:
     """true if all rows have it, false if none has it, null if some do."""
     return F.when(F.bool_and(flag), True).when(~F.bool_or(flag), False)
@@ -78,14 +106,23 @@ def propagate_agreeing(df: DataFrame, group: str, value: str, donor: Column) ->
     return df.join(given, group, "left").withColumn("propagated", F.when(donor, F.col(value)).otherwise(F.col("_given"))).drop("_given")
 
 
-def coverage(df: DataFrame, physical: list[str], order: list[str], conditions: dict[str, Column]) -> DataFrame:
-    """Counts of logical rows and of distinct physical ranges in one pass; conditions count on logical rows and on first rows."""
-    first = F.row_number().over(Window.partitionBy(*physical).orderBy(*order)) == 1
-    marked = df.withColumn("_first", first)
-    one = [F.count("*").alias("logical_rows"), F.count_if("_first").alias("physical_rows")]
-    for name, condition in conditions.items():
-        one += [F.count_if(condition).alias(name), F.count_if(condition & F.col("_first")).alias(f"{name}_physical")]
-    return marked.agg(*one)
+def coverage(df: DataFrame, physical: list[str], order: list, conditions: dict[str, Column]) -> DataFrame:
+    """Counts of logical rows and of distinct physical ranges; conditions count on logical rows and on the first row of each range.
+
+    Each range is one row after the first aggregation, which is combined before its shuffle; nothing is sorted.
+    """
+    first = F.min_by(F.struct(*[c.alias(n) for n, c in conditions.items()]), F.struct(*order))
+    ranges = df.groupBy(*physical).agg(F.count("*").alias("_n"), *[F.count_if(c).alias(n) for n, c in conditions.items()], first.alias("_first"))
+    one = [F.sum("_n").alias("logical_rows"), F.count("*").alias("physical_rows")]
+    for name in conditions:
+        one += [F.sum(name).alias(name), F.count_if(F.col("_first")[name]).alias(f"{name}_physical")]
+    return ranges.agg(*one)
+
+
+def histograms(df: DataFrame, counted: dict[str, Column]) -> DataFrame:
+    """histogram, value, n for several histograms of one table in one pass; null values are left out."""
+    values = F.array(*[F.struct(F.lit(name).alias("histogram"), c.cast("string").alias("value")) for name, c in counted.items()])
+    return df.select(F.explode(values).alias("v")).where("v.value IS NOT NULL").groupBy("v.histogram", "v.value").agg(F.count("*").alias("n"))
 
 
 def group_peers(df: DataFrame, keys: list[str], member: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Fixpoints over edge tables. Each round is checkpointed to the shared folder; only counts reach the driver."""
+"""Fixpoints over edge tables. Each round is written to the shared folder and the one before deleted; only counts reach the driver."""
 
 from __future__ import annotations
 
@@ -7,23 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """Cuts the plan behind df by a reliable checkpoint, which outlives executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        context.setCheckpointDir(base)
-    return df.checkpoint()
+from ..shared import drop, written
 
 
 def iterate_until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], object], rounds: int = 100) -> DataFrame:
     """Applies step until measure, a small value, no longer changes."""
-    state = settled(state)
+    state = written(state, "round")
     before = measure(state)
     for _ in range(rounds):
-        state = settled(step(state))
+        last, state = state, written(step(state), "round")
+        drop(last)
         now = measure(state)
         if now == before:
             return state
@@ -44,29 +37,47 @@ def transitive_closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return iterate_until_stable(paths, step, lambda df: df.count(), rounds)
 
 
-def label_propagation(edges: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
-    """node, label: an unlabelled node takes a label once all its callers have one and agree. edges: caller, callee; self-edges are ignored."""
-    calls = edges.where("caller <> callee").select("caller", "callee").distinct()
-
-    def step(known: DataFrame) -> DataFrame:
-        seen = calls.join(known.select(F.col("node").alias("caller"), "label"), "caller", "left")
-        agreed = seen.groupBy("callee").agg(F.count("*").alias("n"), F.count("label").alias("k"), F.min("label").alias("low"), F.max("label").alias("high"))
-        new = agreed.where("n = k AND low = high").select(F.col("callee").alias("node"), F.col("low").alias("label"))
-        return known.union(new.join(known.select("node"), "node", "left_anti"))
+def label_propagation(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
+    """node, label: an unlabelled node takes a label once all its callers have one and agree. edges: caller, callee; self-edges are ignored.
 
-    return iterate_until_stable(seeds.select("node", "label"), step, lambda df: df.count(), rounds)
+    A round reads the calls of the nodes labelled in the last one and no others. Each callee that is still open keeps how
+    many callers have a label, and the least and the greatest of them; it is settled when that is all its callers.
+    """
+    calls = written(edges.where("caller <> callee").select("caller", "callee").distinct(), "calls")
+    callers = written(calls.groupBy("callee").agg(F.count("*").alias("n")), "callers")
+    fresh = written(seeds.select("node", "label").distinct(), "labels")
+    known, open_ = [fresh], None
+    seeded = fresh.select(F.col("node").alias("callee"))
+    for _ in range(rounds):
+        told = calls.join(fresh.select(F.col("node").alias("caller"), "label"), "caller").select("callee", F.lit(1).cast("long").alias("k"), F.col("label").alias("low"), F.col("label").alias("high"))
+        every = told if open_ is None else told.union(open_)
+        sums = every.groupBy("callee").agg(F.sum("k").alias("k"), F.min("low").alias("low"), F.max("high").alias("high"))
+        last, open_ = open_, written(sums.join(callers, "callee").join(seeded, "callee", "left_anti"), "open")
+        fresh = written(open_.where("k = n AND low = high").select(F.col("callee").alias("node"), F.col("low").alias("label")), "labels")
+        if last is not None:
+            drop(last)
+        open_ = written(open_.where("k < n").select("callee", "k", "low", "high"), "open")
+        if fresh.isEmpty():
+            break
+        known.append(fresh)
+    else:
+        raise RuntimeError(f"labels did not settle in {rounds} rounds")
+    out = known[0]
+    for table in known[1:]:
+        out = out.union(table)
+    return out
 
 
 def bounded_bfs(edges: DataFrame, roots: DataFrame, depth: int, most: int | None = None) -> DataFrame:
     """node, depth of what is within `depth` steps; with `most`, no round starts once so many nodes are known, and the first by (depth, node) stay."""
-    known = settled(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    edges = edges.select("src", "dst").distinct()
+    fresh = known = written(roots.select("node").distinct().withColumn("depth", F.lit(0)), "reached")
+    edges = written(edges.select("src", "dst").distinct(), "edges")
     for d in range(1, depth + 1):
         if most is not None and known.count() >= most:
             break
-        reached = known.where(F.col("depth") == d - 1).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        fresh = reached.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
-        known = settled(known.union(fresh))
+        reached = fresh.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        fresh = written(reached.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)), "reached")
+        known = known.union(fresh)
     return known.orderBy("depth", "node").limit(most) if most is not None else known
 
 

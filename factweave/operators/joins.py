@@ -37,6 +37,45 @@ def overlay_map(base: DataFrame, over: DataFrame, key: str, value: str) -> DataF
     return b.join(o, key, "full").select(key, F.coalesce("_over", "_base").alias(value))
 
 
+def overlay_missing(base: DataFrame, over: DataFrame, key: str, value: str) -> DataFrame:
+    """base with the values of over for the keys that base lacks: what is known already stays. Null and empty values name nothing; of several the least stays."""
+    named = over.where(F.col(key).isNotNull() & F.col(value).isNotNull() & (F.col(value) != "")).groupBy(key).agg(F.min(value).alias(value))
+    return base.select(key, value).unionByName(named.join(base.select(key), key, "left_anti"))
+
+
+def promote_indirect(calls: DataFrame, recovered: DataFrame, libraries: DataFrame, scope) -> DataFrame:
+    """Indirect calls whose address has a recovered target get target, library and scope; the others keep nulls.
+
+    calls: caller, address, expression; recovered: caller, address, target, the last by `place` counts and dispatch labels do not;
+    libraries: target, library_uri, null where targets of one name disagree; scope(library, target) names the scope.
+    """
+    known = recovered.where(~F.col("target").startswith("dispatch ")).groupBy("caller", "address").agg(F.max_by("target", "place").alias("target"))
+    homes = libraries.groupBy("target").agg(F.when(F.count_distinct("library_uri") == 1, F.min("library_uri")).alias("library_uri"))
+    joined = calls.join(known, ["caller", "address"], "left").join(homes, "target", "left")
+    return joined.select(*calls.columns, "target", "library_uri", F.when(F.col("target").isNotNull(), scope(F.col("library_uri"), F.col("target"))).alias("scope"))
+
+
+def relabel_stubs(calls: DataFrame, stubs: DataFrame, base: int) -> DataFrame:
+    """Calls of unnamed code that is a stub take its name; those that only throw for null are left out.
+
+    calls: target and others; unnamed code is sub_ and hexadecimal digits, `base` before its offset. stubs: offset, name.
+    """
+    digits = F.regexp_extract("target", "^sub_([0-9a-fA-F]{1,16})$", 1)
+    offset = F.when(digits != "", F.conv(digits, 16, 10).cast("decimal(20,0)") - F.lit(base))
+    known = stubs.select(F.col("offset").cast("decimal(20,0)").alias("_offset"), F.col("name").alias("_stub"))
+    joined = calls.withColumn("_at", offset).join(known, F.col("_at") == F.col("_offset"), "left")
+    throws = F.coalesce(F.col("_stub").rlike("NullError|NullCastError|NullArgError"), F.lit(False))
+    return joined.where(~throws).withColumn("target", F.coalesce("_stub", "target")).select(*calls.columns)
+
+
+def field_layout(slots: DataFrame, fields: DataFrame) -> DataFrame:
+    """Slots with the field that lies exactly at their class, library and offset, if exactly one does. Null libraries are a value."""
+    keys = ["class_name", "library_uri", "offset"]
+    one = fields.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("field").alias("field"), F.min("field_type").alias("field_type")).where("_n = 1").drop("_n")
+    on = reduce(Column.__and__, [slots[k].eqNullSafe(one[k]) for k in keys])
+    return slots.join(one, on, "left").select(*[slots[c] for c in slots.columns], one["field"], one["field_type"])
+
+
 def residual_match(left: DataFrame, right: DataFrame, group: str, value: str) -> DataFrame:
     """group, left, right: what remains when values of both sides are removed, where exactly one remains on each side."""
     both = left.select(group, value, F.lit(1).alias("l"), F.lit(0).alias("r")).union(right.select(group, value, F.lit(0), F.lit(1)))
@@ -97,6 +136,20 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str,
     return binned.join(filed, "_bin").where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_bin")
 
 
+def enclosing(intervals: DataFrame, key: str, start: str, end: str, width: int) -> DataFrame:
+    """Intervals with `parent`, the key of the smallest strictly larger one that encloses them, ties to the least key; only those that have one.
+
+    Equal intervals are one row before the join, so what meets is pairs of distinct intervals that share the bin of the inner start.
+    """
+    distinct = intervals.where(F.col(end) > F.col(start)).groupBy(start, end).agg(F.min(key).alias("_k"))
+    touched = F.sequence(F.floor(F.col("_os") / width), F.floor((F.col("_oe") - 1) / width))
+    outer = distinct.select(F.col(start).alias("_os"), F.col(end).alias("_oe"), "_k").withColumn("_bin", F.explode(touched))
+    met = distinct.select(start, end, F.floor(F.col(start) / width).alias("_bin")).join(outer, "_bin")
+    met = met.where((F.col("_os") <= F.col(start)) & (F.col("_oe") >= F.col(end)) & (F.col("_oe") - F.col("_os") > F.col(end) - F.col(start)))
+    best = met.groupBy(start, end).agg(F.min(F.struct((F.col("_oe") - F.col("_os")).alias("w"), F.col("_k").alias("parent"))).alias("_best"))
+    return intervals.join(best, [start, end]).withColumn("parent", F.col("_best.parent")).drop("_best")
+
+
 def innermost(joined: DataFrame, point: list[str], order: list[Column]) -> DataFrame:
     """One row for each point, the first by order."""
     w = Window.partitionBy(*point).orderBy(*order)

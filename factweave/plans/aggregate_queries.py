@@ -13,7 +13,7 @@ from .registry import Tables, query
  SELECT CAST(count(*) AS BIGINT) AS logical_rows, CAST(count_if(f) AS BIGINT) AS physical_rows, CAST(count_if(l_returnflag = 'R') AS BIGINT) AS returned, CAST(count_if(l_returnflag = 'R' AND f) AS BIGINT) AS returned_physical,
  CAST(count_if(l_quantity > 40) AS BIGINT) AS large, CAST(count_if(l_quantity > 40 AND f) AS BIGINT) AS large_physical FROM m""")
 def coverage_rollup(t: Tables) -> DataFrame:
-    order = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", F.desc("l_returnflag"), "l_linestatus", "l_shipdate", "l_discount", "l_tax"]
+    order = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", -F.ascii("l_returnflag"), "l_linestatus", "l_shipdate", "l_discount", "l_tax"]
     return aggregates.coverage(t.lineitem, ["l_partkey", "l_suppkey"], order, {"returned": F.col("l_returnflag") == "R", "large": F.col("l_quantity") > 40})
 
 
@@ -48,8 +48,10 @@ def group_peers(t: Tables) -> DataFrame:
 
 @query("""SELECT DISTINCT c_nationkey AS source_nation, s_nationkey AS target_nation FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey""")
 def edge_rollup(t: Tables) -> DataFrame:
-    edges = t.lineitem.select("l_orderkey", "l_suppkey").distinct().join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    edges = edges.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    """Orders carry their nation to the lines; lines are reduced to pairs of nation and supplier before anything else is joined."""
+    orders = t.orders.select("o_orderkey", "o_custkey").join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    pairs = t.lineitem.select("l_orderkey", "l_suppkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("c_nationkey", "l_suppkey").distinct()
+    edges = pairs.join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     return edges.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").alias("source_nation"), F.col("s_nationkey").alias("target_nation")).distinct()
 
 
@@ -66,22 +68,22 @@ def body_fingerprint(t: Tables) -> DataFrame:
     return c.select("conv_id", F.when(F.size("body") >= 4, F.sha2(F.array_join(parts, ",").cast("binary"), 256)).alias("fingerprint"))
 
 
-_TIER = "CASE l_returnflag WHEN 'R' THEN 'inferred' WHEN 'A' THEN 'corroborated' ELSE 'exact' END"
+_TIER = "CASE l_returnflag WHEN 'R' THEN 'inferred' WHEN 'A' THEN 'cross_abi_corroborated' ELSE 'proven' END"
 
 
 def _tiers(t: Tables) -> DataFrame:
     flag = F.col("l_returnflag")
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.when(flag == "R", "inferred").when(flag == "A", "corroborated").otherwise("exact").alias("tier"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.when(flag == "R", "inferred").when(flag == "A", "cross_abi_corroborated").otherwise("proven").alias("tier"))
 
 
-@query(f"SELECT l_orderkey, CASE min(CASE {_TIER} WHEN 'inferred' THEN 1 WHEN 'corroborated' THEN 2 ELSE 3 END) WHEN 1 THEN 'inferred' WHEN 2 THEN 'corroborated' ELSE 'exact' END AS tier FROM lineitem GROUP BY 1")
+@query(f"SELECT l_orderkey, CASE min(CASE {_TIER} WHEN 'inferred' THEN 1 WHEN 'cross_abi_corroborated' THEN 2 ELSE 3 END) WHEN 1 THEN 'inferred' WHEN 2 THEN 'cross_abi_corroborated' ELSE 'proven' END AS tier FROM lineitem GROUP BY 1")
 def tier_merge(t: Tables) -> DataFrame:
     return aggregates.tier_merge(_tiers(t), ["l_orderkey"], "tier")
 
 
-@query(f"SELECT {_TIER} AS tier, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE {_TIER} IN ('corroborated', 'exact') GROUP BY 1")
+@query(f"SELECT {_TIER} AS tier, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE {_TIER} IN ('cross_abi_corroborated', 'proven') GROUP BY 1")
 def tier_floor(t: Tables) -> DataFrame:
-    return _tiers(t).where(aggregates.at_least("tier", "corroborated")).groupBy("tier").agg(F.count("*").alias("n"))
+    return _tiers(t).where(aggregates.at_least("tier", "cross_abi_corroborated")).groupBy("tier").agg(F.count("*").alias("n"))
 
 
 @query("""WITH b AS (SELECT b, bool_and(((p_partkey >> b) & 1) = p_partkey % 2) AS fits FROM part, (SELECT unnest(range(0, 13)) AS b) GROUP BY 1) SELECT CAST(CASE WHEN count_if(fits) = 1 THEN min(CASE WHEN fits THEN b END) END AS BIGINT) AS bit, CAST(count_if(fits) AS BIGINT) AS candidates FROM b""")
@@ -106,7 +108,7 @@ def size_from_lead(t: Tables) -> DataFrame:
     return ordered.size_from_next(t.lineitem, "l_orderkey")
 
 
-@query("""WITH h AS (SELECT page_id, regexp_extract(lower(url), '^https?://([^/]+)', 1) AS path, starts_with(url, 'https') AS own FROM pages) SELECT page_id, CASE WHEN row_number() OVER (PARTITION BY path ORDER BY own DESC, page_id) = 1 THEN path ELSE path || '-' || substr(sha256(CAST(page_id AS VARCHAR)), 1, 10) END AS unique_path FROM h""")
+@query("""WITH h AS (SELECT page_id, regexp_extract(lower(url), '^https?://([^/]+)', 1) AS path, starts_with(url, 'https') AS own FROM pages) SELECT page_id, CASE WHEN row_number() OVER (PARTITION BY path ORDER BY own DESC, page_id) = 1 THEN path ELSE path || '.' || substr(sha256(CAST(page_id AS VARCHAR)), 1, 10) END AS unique_path FROM h""")
 def unique_paths(t: Tables) -> DataFrame:
     h = t.pages.select("page_id", F.regexp_extract(F.lower("url"), "^https?://([^/]+)", 1).alias("path"), F.col("url").startswith("https").alias("own"))
     return ordered.unique_paths(h, "path", "page_id", F.col("own")).select("page_id", "unique_path")
@@ -136,11 +138,9 @@ def dedup_first(t: Tables) -> DataFrame:
 
 @query("SELECT n_name, s_name, CAST(row_number() OVER (ORDER BY n_name NULLS FIRST, s_acctbal NULLS FIRST, s_suppkey) AS BIGINT) AS place FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey")
 def total_sort(t: Tables) -> DataFrame:
-    """A place in the total order: within each nation by sorting, plus the rows of all nations before; no task holds all rows."""
+    """A place in the total order, by ranges of the order itself."""
     rows = t.nation.join(t.supplier, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_name", "s_name", "s_acctbal", "s_suppkey")
-    within = F.row_number().over(Window.partitionBy("n_name").orderBy(F.asc_nulls_first("s_acctbal"), "s_suppkey"))
-    sizes = rows.groupBy(F.col("n_name").alias("k")).agg(F.count("*").alias("n")).select("k", F.coalesce(F.sum("n").over(Window.orderBy(F.asc_nulls_first("k")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.withColumn("own", within).join(sizes, F.col("n_name").eqNullSafe(F.col("k"))).select("n_name", "s_name", (F.col("own") + F.col("before")).alias("place"))
+    return ordered.global_place(rows, [F.asc_nulls_first("n_name"), F.asc_nulls_first("s_acctbal"), F.asc_nulls_first("s_suppkey")], "place").select("n_name", "s_name", "place")
 
 
 @query("SELECT lang, doc_id, CAST(place AS BIGINT) AS place FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents) WHERE place <= 3")
@@ -151,8 +151,9 @@ def sample_per_group(t: Tables) -> DataFrame:
 @query("""WITH r AS (SELECT l_suppkey, list_distinct(list(l_partkey) FILTER (WHERE l_returnflag = 'R')) AS r, list_distinct(list(l_partkey) FILTER (WHERE l_returnflag = 'A')) AS a FROM lineitem GROUP BY 1)
  SELECT l_suppkey, array_to_string(list_sort(list_distinct(list_concat(coalesce(r, []), coalesce(a, [])))), '|') AS parts FROM r""")
 def array_union_sorted(t: Tables) -> DataFrame:
-    sets = t.lineitem.groupBy("l_suppkey").agg(*[F.collect_set(F.when(F.col("l_returnflag") == f, F.col("l_partkey"))).alias(f) for f in "RA"])
-    return sets.select("l_suppkey", F.array_join(F.array_sort(F.array_union("R", "A")), "|").alias("parts"))
+    pairs = t.lineitem.where(F.col("l_returnflag").isin("R", "A")).select("l_suppkey", "l_partkey").distinct()  # equal pairs go before the lists are made
+    lists = pairs.groupBy("l_suppkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("all"))
+    return t.lineitem.select("l_suppkey").distinct().join(lists, "l_suppkey", "left").select("l_suppkey", F.coalesce(F.array_join("all", "|"), F.lit("")).alias("parts"))
 
 
 @query("""SELECT l_linestatus, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts, max(l_extendedprice) AS most FROM lineitem GROUP BY 1""")

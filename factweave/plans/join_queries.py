@@ -61,13 +61,22 @@ def greedy_pair(t: Tables) -> DataFrame:
 _SCORE = "(CASE WHEN c_custkey % 10 = s_suppkey % 10 THEN 8 ELSE 0 END + 2 + CASE WHEN (c_acctbal < 0) = (s_acctbal < 0) THEN 1 ELSE 0 END)"
 
 
-@query(f"""SELECT c_custkey, s_suppkey, CAST({_SCORE} AS BIGINT) AS score FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE {_SCORE} >= 7""")
+def _scored(c: DataFrame, s: DataFrame, on) -> DataFrame:
+    one = lambda flag, n: F.when(flag, n).otherwise(0)
+    score = one(F.col("c_custkey") % 10 == F.col("s_suppkey") % 10, 8) + 2 + one((F.col("c_acctbal") < 0) == (F.col("s_acctbal") < 0), 1)
+    return c.join(s, on).select("c_custkey", "s_suppkey", score.cast("long").alias("score"))
+
+
+@query(f"""SELECT c_custkey, s_suppkey, CAST({_SCORE} AS BIGINT) AS score FROM customer JOIN supplier ON c_nationkey = s_nationkey""")
 def match_score(t: Tables) -> DataFrame:
+    """The score of all pairs of a nation."""
+    return _scored(t.customer, t.supplier, F.col("c_nationkey") == F.col("s_nationkey"))
+
+
+@query(f"""SELECT c_custkey, s_suppkey, CAST({_SCORE} AS BIGINT) AS score FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE {_SCORE} >= 7""")
+def match_score_strong(t: Tables) -> DataFrame:
     """Strong pairs, of score 7 or more. Only a common digit reaches that, so it is a key of the join and weak pairs are never made."""
-    c, s = t.customer.withColumn("digit", F.col("c_custkey") % 10), t.supplier.withColumn("digit", F.col("s_suppkey") % 10)
-    pairs = c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (c["digit"] == s["digit"]))
-    score = F.lit(10) + F.when((F.col("c_acctbal") < 0) == (F.col("s_acctbal") < 0), 1).otherwise(0)
-    return pairs.select("c_custkey", "s_suppkey", score.cast("long").alias("score"))
+    return _scored(t.customer, t.supplier, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_custkey") % 10 == F.col("s_suppkey") % 10))
 
 
 @query()
@@ -101,17 +110,13 @@ def innermost_interval(t: Tables) -> DataFrame:
     return joins.innermost(joins.range_join(points, i, "point", "s", "e", 10), ["point"], [F.col("e") - F.col("s"), F.desc("p_partkey")]).select("point", "p_partkey")
 
 
-@query("""WITH i AS (SELECT p_partkey, p_brand, p_size AS s, p_size + p_partkey % 10 + 1 AS e FROM part)
- SELECT p_partkey, parent FROM (SELECT a.p_partkey, b.p_partkey AS parent, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.e - b.s, b.p_partkey) AS n
- FROM i a JOIN i b ON a.p_brand = b.p_brand AND b.s <= a.s AND b.e >= a.e AND b.e - b.s > a.e - a.s) WHERE n = 1""")
+@query("""WITH i AS (SELECT p_partkey, p_size AS s, p_size + p_partkey % 10 + 1 AS e FROM part), d AS (SELECT s, e, min(p_partkey) AS k FROM i GROUP BY 1, 2),
+ m AS (SELECT a.s, a.e, arg_min(b.k, (b.e - b.s) * 1000000000 + b.k) AS parent FROM d a JOIN d b ON b.s <= a.s AND b.e >= a.e AND b.e - b.s > a.e - a.s GROUP BY 1, 2)
+ SELECT p_partkey, parent FROM i JOIN m ON i.s = m.s AND i.e = m.e""")
 def enclosing_interval(t: Tables) -> DataFrame:
-    """The smallest strictly larger interval that encloses one, within a brand. An interval is filed under the bins it touches; its encloser touches the bin of its start."""
-    i = t.part.select("p_partkey", "p_brand", F.col("p_size").cast("long").alias("s"), (F.col("p_size") + F.col("p_partkey") % 10 + 1).alias("e"))
-    outer = i.select(F.col("p_brand"), F.col("p_partkey").alias("parent"), F.col("s").alias("os"), F.col("e").alias("oe")).withColumn("bin", F.explode(F.sequence(F.floor(F.col("os") / 4), F.floor((F.col("oe") - 1) / 4))))
-    inner = i.withColumn("bin", F.floor(F.col("s") / 4))
-    met = inner.join(outer, ["p_brand", "bin"]).where("os <= s AND oe >= e AND oe - os > e - s")
-    best = met.groupBy("p_partkey").agg(F.min(F.struct((F.col("oe") - F.col("os")).alias("w"), "parent")).alias("best"))
-    return best.select("p_partkey", F.col("best.parent").alias("parent"))
+    """The smallest strictly larger interval that encloses one, over all parts. Equal intervals are one; each is filed under the bins it touches, and its encloser touches the bin of its start."""
+    i = t.part.select("p_partkey", F.col("p_size").cast("long").alias("s"), (F.col("p_size") + F.col("p_partkey") % 10 + 1).alias("e"))
+    return joins.enclosing(i, "p_partkey", "s", "e", 4).select("p_partkey", "parent")
 
 
 @query("""WITH u AS (SELECT p_name, min(p_partkey) AS k FROM part WHERE p_partkey % 2 = 0 GROUP BY 1 HAVING count(*) = 1)
@@ -155,7 +160,7 @@ def cross_partition_compare(t: Tables) -> DataFrame:
 @query("""WITH p AS (SELECT l_partkey, l_returnflag, min(l_quantity) AS a, max(l_quantity) AS b, count(*) AS c FROM lineitem GROUP BY 1, 2),
  k AS (SELECT l_partkey, count(*) AS present, count(DISTINCT a) = 1 AND count(DISTINCT b) = 1 AND count(DISTINCT c) = 1 AS agree FROM p GROUP BY 1)
  SELECT l_partkey, CAST(present AS BIGINT) AS present, CASE WHEN present < 2 THEN 'unaligned' WHEN agree AND present = 3 THEN 'corroborated' WHEN agree THEN 'partial' ELSE 'disputed' END AS state,
- CASE WHEN agree AND present >= 2 THEN 'corroborated' ELSE 'inferred' END AS tier FROM k""")
+ CASE WHEN agree AND present >= 2 THEN 'cross_abi_corroborated' ELSE 'inferred' END AS tier FROM k""")
 def consensus(t: Tables) -> DataFrame:
     parts = t.lineitem.groupBy("l_partkey", "l_returnflag").agg(F.min("l_quantity").alias("a"), F.max("l_quantity").alias("b"), F.count("*").alias("c"))
     return aggregates.consensus(parts, ["l_partkey"], "l_returnflag", ["a", "b", "c"], 3)
@@ -232,11 +237,11 @@ def entity_merge(t: Tables) -> DataFrame:
 
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.s = b.s AND a.e = b.e THEN 'exact' WHEN a.s = b.s THEN 'same_start_different_end' WHEN b.s >= a.s AND b.e <= a.e THEN 'oracle_contained' WHEN a.s >= b.s AND a.e <= b.e THEN 'static_contained' WHEN a.s < b.e AND b.s < a.e THEN 'overlap' ELSE 'disjoint' END AS relation
- FROM (SELECT p_partkey, p_brand, p_name, p_size AS s, p_size + p_partkey % 10 + 1 AS e FROM part) a JOIN (SELECT p_partkey, p_brand, p_name, p_size AS s, p_size + p_partkey % 10 + 1 AS e FROM part) b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND a.p_partkey < b.p_partkey""")
+ FROM (SELECT p_partkey, p_brand, p_size AS s, p_size + p_partkey % 10 + 1 AS e FROM part) a JOIN (SELECT p_partkey, p_brand, p_size AS s, p_size + p_partkey % 10 + 1 AS e FROM part) b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey""")
 def range_relation(t: Tables) -> DataFrame:
-    i = t.part.select("p_partkey", "p_brand", "p_name", F.col("p_size").alias("s"), (F.col("p_size") + F.col("p_partkey") % 10 + 1).alias("e"))
+    i = t.part.select("p_partkey", "p_brand", F.col("p_size").alias("s"), (F.col("p_size") + F.col("p_partkey") % 10 + 1).alias("e"))
     a, b = i.alias("a"), i.alias("b")
-    pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
+    pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
     return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), joins.range_relation(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e")).alias("relation"))
 
 

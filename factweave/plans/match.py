@@ -11,7 +11,7 @@ from ..operators.joins import unique_rows
 #: Libraries of the framework, names that say nothing, constants that no build changes.
 FRAMEWORK = ["dart:", "package:flutter/", "package:flutter_test/"]
 SYNTHETIC, CLOSURE = "sub_", "<anonymous closure>"
-STABLE = "^(\".*|true|false|null|-?[0-9]+(\\.[0-9]+)?)$"
+STABLE = r"(?s)^(\".*|true|false|null|Type\(.*|Class\(.*)\z"
 
 
 def body_fingerprint() -> Column:
@@ -65,5 +65,6 @@ def match_report(target: DataFrame, reference: DataFrame) -> DataFrame:
 
 def toolchain_conflicts(target: DataFrame, reference: DataFrame, fields: tuple[str, ...] = ("snapshot_hash", "dart_commit", "target_arch")) -> DataFrame:
     """Fields of two one-row documents that are present in both and differ."""
-    pair = target.select(*[F.col(f).alias(f"t_{f}") for f in fields]).join(F.broadcast(reference.select(*[F.col(f).alias(f"r_{f}") for f in fields])))  # one row each
+    facts = [df.agg(*[F.when(F.count("*") == 1, F.min(f)).otherwise(F.raise_error(F.lit("one document is one row"))).alias(f"{side}_{f}") for f in fields]) for side, df in (("t", target), ("r", reference))]
+    pair = facts[0].join(F.broadcast(facts[1]))  # an aggregate is one row
     return pair.select(F.array_compact(F.array(*[F.when(F.col(f"t_{f}") != F.col(f"r_{f}"), F.lit(f)) for f in fields])).alias("conflicts"))

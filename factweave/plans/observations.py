@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import is_opaque_identity
 from ..operators.aggregates import consensus
 from ..operators.ordered import consecutive_dedup
 
-#: Prefixes of identities that name nothing.
-OPAQUE = ["sub_", "closure_", "stub_", "anonymous_"]
-
 
 def multiset(values: Column) -> Column:
     """A digest in which order does not count and multiplicity does; null for no values."""
@@ -41,6 +39,11 @@ def reach_consensus(observations: DataFrame, partitions: int) -> DataFrame:
     return joined.withColumn("tier", F.when(F.col("backed"), F.col("tier")).otherwise("inferred")).withColumn("state", F.when(~F.col("backed") & (F.col("state") == "corroborated"), "unsupported").otherwise(F.col("state")))
 
 
+def named_identities(values: Column) -> Column:
+    """Identities that another build can share: those that are more than an address or a reference."""
+    return F.filter(values, lambda v: v.isNotNull() & ~is_opaque_identity(v))
+
+
 def call_sequence(calls: DataFrame, keys: list[str], order: list[str], callee: str) -> DataFrame:
     """Callees of each key in order, repeats in a row dropped."""
     return consecutive_dedup(calls, keys, order, callee).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(callee).alias("c")))), lambda x: x["c"]).alias("callees"))

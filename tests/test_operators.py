@@ -68,9 +68,9 @@ def test_asof(spark):
     assert rows(joins.asof_join(p, m, ["k"], "t", ["t"], "v").select("k", "t", "v")) == [("a", 1, None), ("a", 5, "y"), ("b", 5, None)]
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 64])
-def test_runs_across_buckets(spark, buckets, monkeypatch):
-    monkeypatch.setattr(ordered, "BUCKETS", buckets)
+@pytest.mark.parametrize("size", [1, 3, 1 << 20])
+def test_runs_across_ranges(spark, size, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", size)
     values = [None, None, "a", "a", "b", None, "b", "b"]
     df = spark.createDataFrame(list(enumerate(values)), "k long, v string")
     assert rows(ordered.rle_runs(df, ["k"], "v")) == sorted([(0, 2, None), (2, 2, "a"), (4, 1, "b"), (5, 1, None), (6, 2, "b")], key=str)
@@ -96,19 +96,22 @@ def test_election_refuses_ties(spark):
     uris = lambda *u: spark.createDataFrame([(x,) for x in u], "uri string")
     assert aggregates.elect_package(uris("package:a/main.dart", "package:b/x.dart", "package:b/y.dart"), "uri").first().package == "a"
     assert aggregates.elect_package(uris("package:b/x.dart"), "uri").first().package is None
+    assert aggregates.elect_package(uris("package:a/x.dart", "package:a/x.dart"), "uri").first().package is None  # one address, however often
+    assert aggregates.elect_package(uris("package:a/src/main.dart", "package:b/x.dart", "package:b/y.dart"), "uri").first().package == "b"
+    assert aggregates.elect_package(uris("package:flutter/main.dart", "package:flutter_test/a.dart", "package:flutter_test/b.dart"), "uri").first().package is None
     assert aggregates.elect_package(uris("package:a/x.dart", "package:a/y.dart", "package:b/x.dart", "package:b/y.dart"), "uri").first().package is None
 
 
 def test_consensus(spark):
     df = spark.createDataFrame([("k", "a", 1), ("k", "b", 1), ("k", "c", 1), ("d", "a", 1), ("d", "b", 2), ("s", "a", 1), ("p", "a", 3), ("p", "c", 3)], "k string, abi string, v long")
     got = {r.k: (r.state, r.tier) for r in aggregates.consensus(df, ["k"], "abi", ["v"], 3).collect()}
-    assert got == {"k": ("corroborated", "corroborated"), "d": ("disputed", "inferred"), "s": ("unaligned", "inferred"), "p": ("partial", "corroborated")}
+    assert got == {"k": ("corroborated", "cross_abi_corroborated"), "d": ("disputed", "inferred"), "s": ("unaligned", "inferred"), "p": ("partial", "cross_abi_corroborated")}
 
 
 def test_merging_never_raises_a_tier(spark):
-    df = spark.createDataFrame([(1, "exact"), (1, "inferred"), (2, "exact")], "k int, tier string")
-    assert rows(aggregates.tier_merge(df, ["k"], "tier")) == [(1, "inferred"), (2, "exact")]
-    assert df.where(aggregates.at_least("tier", "corroborated")).count() == 2
+    df = spark.createDataFrame([(1, "proven"), (1, "inferred"), (2, "proven"), (3, "proven"), (3, "speculative")], "k int, tier string")
+    assert rows(aggregates.tier_merge(df, ["k"], "tier")) == [(1, "inferred"), (2, "proven"), (3, "speculative")]
+    assert df.where(aggregates.at_least("tier", "cross_abi_corroborated")).count() == 3
 
 
 def test_tri_state_and_bits(spark):
@@ -193,8 +196,8 @@ def test_double_bits(spark):
 @pytest.mark.parametrize("function, value, want", [
     (X.hex_parse, "0xff", 255), (X.hex_parse, "zz", None), (X.hex_parse, "ffffffffffffffff", (1 << 64) - 1), (X.strip_key, "_a@12.b", "_a.b"), (X.strip_key, "::", ""), (X.canonical_type, " List < int > ??", "List<int>"),
     (X.type_root, "Map<a>?", "Map"), (X.package_of, "package:x/y.dart", "x"), (X.package_of, "dart:core", None), (X.ident_clean, "", "_"), (X.ident_clean, "1a", "_1a"), (X.ident_clean, "if", "_if"), (X.ident_clean, "a-b$", "a_b$"),
-    (X.last_segment, "a.b.c", "c"), (X.is_identifier, "_x@9", True), (X.is_identifier, "9x", False), (X.is_human_string, "https://x.y", True), (X.is_human_string, "dart:core x", False), (X.escape_text, "a'\n$\\\x01", "a\\'\\n\\$\\\\?"),
-    (X.extract_uri, "see package:a/b.dart!", "package:a/b.dart"), (X.output_path, "dart:core", "sdk/core.dart"), (X.text_score, "aaaa", 0), (X.abbreviate, "x" * 161, "x" * 160 + "…"),
+    (X.last_segment, "a.b.c", "c"), (X.is_identifier, "_x@9", True), (X.is_identifier, "9x", False), (X.is_human_string, "https://x.y", True), (X.is_human_string, "dart:core x", False), (X.is_human_string, "file: a b", True), (X.escape_text, "a'\n$\\\x01", "a\\'\\n\\$\\\\?"),
+    (X.extract_uri, "see package:a/b.dart!", "package:a/b.dart"), (X.output_path, "dart:core", "dart/core.dart"), (X.text_score, "aaaa", None), (X.abbreviate, "x" * 161, "x" * 160 + "…"),
 ])
 def test_text(spark, function, value, want):
     assert one(spark, function, value) == want
@@ -213,11 +216,12 @@ def test_bytes(spark):
 def test_kernels(spark):
     assert kernels.fnv1a(b"") == 0xCBF29CE484222325 and kernels.fnv1a(b"a") == 0xAF63DC4C8601EC8C
     assert kernels.fold_hashed([b"a", b"b"]) == kernels.fold_hashed([b"b", b"a"]) != kernels.fold_hashed([b"a", b"b", b"b"])
+    assert kernels.scramble(0) == 0 and kernels.fold_hashed([]) == 0xCBF29CE484222325
     assert kernels.read_varint(b"\xe5\x8e\x26") == (624485, 3) and kernels.read_signed_varint(b"\x7f") == (-1, 1)
     secret = b"a secret message in plain words"
-    assert kernels.best_xor(bytes(b ^ 90 for b in secret)) == (90, secret)
-    assert ("hello world text", "hex", "high") in kernels.recover(b"hello world text".hex().encode())
-    assert any(t == "hello gzip text" and p == "gzip" for t, p, _ in kernels.recover(kernels.pack_gzip("hello gzip text")))
+    assert kernels.best_xor(bytes(b ^ 90 for b in secret)) == (90, secret.decode())
+    assert ("hello world text", "hex -> utf8", "high") in kernels.recover(b"hello world text".hex().encode())
+    assert ("hello gzip text", "gzip -> utf8", "high") in kernels.recover(kernels.pack_gzip("hello gzip text"), typed=True)
     df = spark.createDataFrame([(bytearray(b"\xe5\x8e\x26\x01"),), (bytearray(b"\x80"),), (None,)], "b binary")
     assert [r.v for r in df.select(kernels.varints("b").alias("v")).collect()] == [[624485, 1], None, None]
     assert df.select(kernels.fnv1a_64("b").alias("h")).first().h == kernels.fnv1a(b"\xe5\x8e\x26\x01")
@@ -265,4 +269,221 @@ def test_observations(spark):
         return (abi, None, None, member, 0, None, None, list(constants), list(callees), [])
     data = [row(a, "agree", c) for a, c in (("x", [1, 2]), ("y", [2, 1]), ("z", [1, 2]))] + [row(a, "more", c) for a, c in (("x", [1]), ("y", [1, 1]), ("z", [1]))] + [row("x", "alone", [1])] + [row(a, "empty", []) for a in "xyz"]
     got = {r.member: (r.state, r.tier) for r in observations.reach_consensus(spark.createDataFrame(data, schema), 3).collect()}
-    assert got == {"agree": ("corroborated", "corroborated"), "more": ("disputed", "inferred"), "alone": ("unaligned", "inferred"), "empty": ("unsupported", "inferred")}
+    assert got == {"agree": ("corroborated", "cross_abi_corroborated"), "more": ("disputed", "inferred"), "alone": ("unaligned", "inferred"), "empty": ("unsupported", "inferred")}
+
+
+def test_hashes_bit_by_bit():
+    import random
+
+    rng = random.Random(1)
+    values = [bytes(rng.randbytes(rng.randint(0, 30))) for _ in range(200)]
+    assert kernels.fnv1a_many(values).tolist() == [kernels.fnv1a(v) for v in values]
+    assert kernels.fnv1a_many([]).tolist() == []
+
+    def plain_scramble(x):
+        x = x * 0x9E3779B97F4A7C15 % 2**64
+        x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+        return x ^ x >> 32
+
+    def plain_fold(items):
+        state = 0xCBF29CE484222325
+        for h in sorted(map(kernels.fnv1a, items)):
+            for k in range(8):
+                state = (state ^ (h >> 8 * k & 255)) * 0x100000001B3 % 2**64
+        return state ^ plain_scramble(len(items))
+
+    for n in (0, 1, 2, 7):
+        assert kernels.fold_hashed(values[:n]) == plain_fold(values[:n])
+
+
+def test_snapshot_numbers(spark):
+    assert kernels.read_unsigned(b"\x80") == (0, 1) and kernels.read_unsigned(b"\x05\x81") == (133, 2)
+    assert kernels.read_tagged32(b"\xc0") == (0, 1) and kernels.read_tagged32(b"\xbf") == ((1 << 32) - 1, 1) and kernels.read_tagged64(b"\xbf") == (-1, 1)
+    assert kernels.read_tagged64(b"\x05\xc1") == (133, 2) and kernels.read_reference(b"\x81") == (1, 1) and kernels.read_reference(b"\x01\x81") == (129, 2)
+    df = spark.createDataFrame([(bytearray(b"\x80\x05\x81"),), (bytearray(b"\x05"),), (bytearray(b"\x01" * 12),), (None,)], "b binary")
+    assert [r.v for r in df.select(kernels.numbers_of(kernels.read_unsigned)("b").alias("v")).collect()] == [[0, 133], None, None, None]
+
+
+@pytest.mark.parametrize("data, typed, want", [
+    (b"aHR0cHM6Ly9leGFtcGxlLmludmFsaWQvYXBp", False, ("https://example.invalid/api", "base64 -> utf8", "high")),
+    (bytes(b ^ 0x5A for b in b"service endpoint disabled"), True, ("service endpoint disabled", "xor(key=0x5a) -> utf8", "medium")),
+    ("typed data recovery message".encode("utf-16-le"), True, ("typed data recovery message", "utf16le", "high")),
+    (b"hex recovery message".hex().encode(), False, ("hex recovery message", "hex -> utf8", "high")),
+    (__import__("zlib").compress(b"zlib recovery message"), True, ("zlib recovery message", "zlib -> utf8", "high")),
+    (kernels.pack_gzip("compressed recovery message"), True, ("compressed recovery message", "gzip -> utf8", "high")),
+])
+def test_hidden_texts(data, typed, want):
+    assert want in kernels.recover(data, typed)
+
+
+def test_what_is_no_hidden_text():
+    assert kernels.recover(bytes(range(256)), typed=True) == []
+    assert kernels.recover(b"ordinary service error message") == []
+    assert kernels.recover(b"ordinary typed data message", typed=True) == [("ordinary typed data message", "utf8", "high")]
+    assert kernels.from_base64(b"YWJjZA==") == b"abcd"
+    assert [kernels.from_base64(x) for x in (b"invalid=", b"didGainFocus", b"version_name", b"YWJjZB==")] == [None] * 4
+
+
+def test_text_scores_agree(spark):
+    texts = ["https://example.invalid/api", "ordinary text", "aaaa bbbb", "abcd", "abcde", "a b c d e f", "{json: 1}", "lib/src/a.dart", "user@host.org", "x\x01yzabc", "üben macht Spaß", "\ufffd text here", "word " * 40, "abc" * 30, "12345678", "tokens 12 34", "the ✓ sign is no text", "日本語の文字です", "a\tb\nc defg", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.s for r in df.select(X.text_score("t").alias("s")).collect()] == [kernels.score(t) for t in texts]
+    assert kernels.score("https://example.invalid/api") == 20 + 2 + 5 + 18 + 10 and kernels.score("ordinary text") == 12 + 2 + 2 + 5 and kernels.score("abcd") is None
+
+
+@pytest.mark.parametrize("path, package, root, want", [
+    ("/home/me/app/lib/main.dart", "app", None, "package:app/main.dart"), ("C:\\src\\app\\lib\\a\\b.dart", "app", None, "package:app/a/b.dart"), ("/b/lib/x.dart", "app", "/b/lib", "package:app/x.dart"),
+    ("/f/packages/flutter/lib/src/w.dart", "app", None, "package:flutter/src/w.dart"), ("/x/sdk/lib/core/list.dart", None, None, "dart:core"), ("/x/dart-sdk/lib/io/file.dart", None, None, "dart:io"),
+    ("/c/hosted/pub.dev/my-pkg-1.2.3/lib/src/a.dart", None, None, "package:my-pkg/src/a.dart"), ("/c/pub.dev/pkg/lib/a.dart", None, None, "package:pkg/a.dart"), ("/c/pub.dev/pkg-1/bin/a.dart", None, None, None),
+    ("/app/lib/app/lib/z.dart", "app", None, "package:app/z.dart"), ("/elsewhere/z.dart", "app", None, None), ("/a/sdk/lib/", None, None, None),
+])
+def test_library_address_of_a_path(spark, path, package, root, want):
+    assert one(spark, lambda c: X.path_to_uri(c, package, root), path) == want
+
+
+def test_roots_of_paths(spark):
+    assert one(spark, X.lib_root, "/a/my_app/lib/src/lib/x.dart") == "/a/my_app/lib/src/lib" and one(spark, X.lib_root, "/a/x.dart") is None
+    assert [one(spark, X.lib_root_package, v) for v in ("/a/my_app/lib", "/a/My/lib", "/a/9a/lib")] == ["my_app", None, None]
+
+
+@pytest.mark.parametrize("uri, application, want", [
+    ("package:app/src/a b.dart", "app", "src/a_b.dart"), ("package:other/x", "app", "packages/other/x.dart"), ("package:other/../x.y", None, "packages/other/x.y"), ("dart:core", "app", "dart/core.dart"), ("dart:_internal/list.dart", None, "dart/_internal/list.dart"),
+])
+def test_output_paths(spark, uri, application, want):
+    assert one(spark, lambda c: X.output_path(c, application), uri) == want
+
+
+def test_output_path_of_other_addresses(spark):
+    import hashlib
+
+    for uri in ("package:bare", "zQ", "file:///x.dart"):
+        assert one(spark, X.output_path, uri) == f"recovered_{hashlib.sha256(uri.encode()).hexdigest()[:12]}.dart"
+
+
+@pytest.mark.parametrize("function, value, want", [
+    (X.extract_uri, "junk package:app/main.dartZ", "package:app/main.dart"), (X.extract_uri, "dart:core/duration.dart", "dart:core/duration.dart"), (X.extract_uri, "package:a b/x.dart", None), (X.extract_uri, "https://x/y.dart", None), (X.extract_uri, "package:app/main", None),
+    (X.sanitize_path, "./a/../b c", "a/b_c.dart"), (X.sanitize_path, "a/.hidden", "a/.hidden.dart"), (X.sanitize_path, "a/x.y", "a/x.y"), (X.sanitize_path, "", ""),
+    (X.clean_symbol, "<name>@12", "name"), (X.lower_camel, "__FooBar", "fooBar"), (X.lower_camel, "", "value"), (X.lower_camel, "_1", "_1"), (X.lower_camel, "Abc", "abc"),
+    (X.looks_like_class, "__Foo", True), (X.looks_like_class, "foo", False), (X.is_enum_member, "a$1", True), (X.is_enum_member, "1a", False), (X.is_enum_member, "$a", False), (X.is_opaque_identity, "0x12", True), (X.is_opaque_identity, "Name", False),
+    (X.is_meaningful_target, "AllocateObject", False), (X.is_meaningful_target, "foo", True), (X.is_runtime_helper, "stub call", True), (X.is_runtime_helper, "_vm_stub_x", True), (X.is_runtime_helper, "x stub", False), (X.is_internal_target, "dart:core", True),
+    (X.negate_condition, "a == b", "a != b"), (X.negate_condition, "!(x)", "x"), (X.negate_condition, "!(a) && (b)", "!(!(a) && (b))"), (X.negate_condition, "a <= b", "a > b"), (X.negate_condition, "a < b == c", "a < b != c"), (X.negate_condition, "flag", "!(flag)"),
+    (X.strip_parentheses, "(a + (b))", "a + (b)"), (X.strip_parentheses, "(a) + (b)", "(a) + (b)"), (X.strip_parentheses, "a", "a"),
+    (X.is_identifier, "<a.b>@1", True), (X.name_kind, "x=", "setter"), (X.name_kind, "x==", "regular"), (X.name_kind, "a.<anonymous closure>", "closure"),
+])
+def test_text_rules(spark, function, value, want):
+    assert one(spark, function, value) == want
+
+
+def test_debug_names(spark):
+    got = [tuple(one(spark, X.split_name, v)) for v in ("new Foo.named", "new Foo", "Foo.bar", "foo.bar", "_Foo.x.y", "Foo.v=")]
+    assert got == [("Foo", "named", "constructor"), ("Foo", "constructor", "constructor"), ("Foo", "bar", "regular"), ("::", "foo.bar", "regular"), ("_Foo", "x.y", "regular"), ("Foo", "v=", "setter")]
+
+
+def test_index_expressions(spark):
+    df = spark.createDataFrame([(v,) for v in ("list[i + 1]", "a[b][c]", "a[(b[c])]", "List<[x]", "x", "a['k']", "[x]", None)], "v string")
+    got = [r.x and tuple(r.x) for r in df.select(X.split_index("v").alias("x")).collect()]
+    assert got == [("list", "i + 1"), ("a[b]", "c"), ("a", "(b[c])"), None, None, None, None, None]
+
+
+def test_import_prefix_makes_room(spark):
+    keep = "import 'x' as aot;\naot.call();"
+    assert one(spark, X.rename_prefix, keep) == keep
+    assert one(spark, X.rename_prefix, "import 'x' as aot;\naot.call(); int aot = 1;") == "import 'x' as aot_;\naot_.call(); int aot = 1;"
+    assert one(spark, X.rename_prefix, "as aot; aot.f(aot_); aot(); $aot.x") == "as aot__; aot__.f(aot_); aot(); $aot.x"
+
+
+def test_restored_names(spark):
+    names = {"a": "Controller", "b": "build"}
+    assert one(spark, lambda c: X.token_map(c, names), "a") == "Controller"
+    assert one(spark, lambda c: X.token_map(c, names), "a.b.<anonymous closure>") == "Controller.build.<anonymous closure>"
+    assert one(spark, lambda c: X.token_map(c, names), "ab a_ $a (b)") == "ab a_ $a (build)"
+
+
+def elements(*values):
+    return [("integer", v, None) if isinstance(v, int) else ("null", None, None) if v is None else ("string", None, v) for v in values]
+
+
+@pytest.mark.parametrize("values, want", [
+    ((1, 2, 2, 2, None), (1, 2, 2, 2, [])), ((0, 4, 4, 2, "a", 3, "z", 2, None), (0, 4, 4, 2, [("a", 3), ("z", 2)])), ((0, 2, 2, 2), None), ((0, 3, 3, 2, "a", 0, None), None), ((0, 3, 3, 2, "a", 3, None), None), ((0, 4, 4, 2, "a", 3, "b", 3, None), None),
+    ((0, 3, 3, 2, "", 2, None), None), ((0, 2, 2, 2, 7), None), ((-1, 2, 2, 2, None), None), ((0, 1, 1, 2, None), None), ((), None), ((0, 0, 0, 0, None), (0, 0, 0, 0, [])),
+])
+def test_argument_descriptors(spark, values, want):
+    df = spark.createDataFrame([(elements(*values),)], f"e array<struct<{X.ELEMENT.replace(' ', ':')}>>".replace(",:", ","))
+    got = df.select(X.decode_arguments(F.col("e")).alias("x")).first().x
+    assert (got and (*got[:4], [tuple(n) for n in got.named])) == want
+    if want:
+        back = df.select(X.parse_arguments_label(X.arguments_label(X.decode_arguments(F.col("e")))).alias("x")).first().x
+        assert (back.type_args, back["count"], back.size, back.positional, [tuple(n) for n in back.named]) == (want[0], want[1], want[1], want[3], want[4])
+
+
+def test_argument_labels(spark):
+    parse = lambda v: one(spark, X.parse_arguments_label, v)
+    got = parse('dynamicCall("a, b", typeArgs=0, count=2, positional=1, named=["x"@1])')
+    assert (got.positional, [tuple(n) for n in got.named]) == (1, [("x", 1)])
+    assert [parse(v) for v in ("other(typeArgs=0, count=1, positional=1)", "argsDescriptor(typeArgs=0, count=1)", 'argsDescriptor(typeArgs=0, count=2, positional=1, named=[x@1])')] == [None] * 3
+
+
+def test_ownership(spark):
+    short = [(f"x{k}",) for k in range(12)]
+    flag = lambda rows, app=None: aggregates.ownership(spark.createDataFrame(rows, "uri string"), "uri", app).first()
+    assert flag(short + short).obfuscated and flag(short).compact == 12
+    assert not flag(short[:7]).obfuscated and not flag(short + [(f"dart:{k}",) for k in range(6)]).obfuscated
+    long = [(f"a-long-name-{k}",) for k in range(12)]
+    assert not flag(long).obfuscated and not flag(long + [("package:app/a.dart",)]).obfuscated and flag(long + [("package:app/a.dart",)], "app").obfuscated
+
+
+def test_scopes(spark):
+    df = spark.createDataFrame([("package:app/a",), ("package:flutter/a",), ("package:b/a",), ("package:app",), ("dart:core",), (None,)], "u string")
+    strict = lambda scope, app=None: [r.x for r in df.select(X.in_scope("u", scope, app).alias("x")).collect()]
+    library = lambda scope, app=None: [r.x for r in df.select(X.library_in_scope("u", scope, app).alias("x")).collect()]
+    assert strict("all") == [True] * 6 and strict("packages") == [True, False, True, True, False, False] and strict("app", "app") == [True] + [False] * 5 and strict("app") == [False] * 6
+    assert library("packages") == [True, False, True, True, False, False] and library("app", "app") == [True, False, False, True, False, False] and library("app") == [False] * 6
+    scopes = [r.x for r in df.select(X.target_scope("u", "app", F.lit("stub x")).alias("x")).collect()]
+    assert scopes == ["application", "flutter_sdk", "package", "package", "dart_sdk", "runtime"]
+
+
+def test_kinds_and_static_bits(spark):
+    df = spark.createDataFrame([(0, None), (5, None), (8, None), (32 + 3, None), (64 + 3, None), (17, None)], "tag long, x string").withColumn("kind", X.function_kind("tag"))
+    assert [r.kind for r in df.collect()] == ["regular", "constructor", "implicit_static_getter", "getter", "getter", None]
+    assert [r.s for r in df.select(X.is_static("tag", "kind", 6).alias("s")).collect()] == [False, False, True, False, True, False]
+    assert [r.s for r in df.select(X.is_static("tag", "kind", None).alias("s")).collect()] == [None, False, True, None, None, None]
+
+
+def test_paths_stay_unique(spark):
+    rows_ = [("a/x", k, k == 3) for k in range(6)] + [("A/X", 9, False), ("b", 10, False)]
+    df = spark.createDataFrame(rows_, "path string, id long, own boolean")
+    got = {r.id: r.unique_path for r in ordered.unique_paths(df, "path", "id", F.col("own"), (0, 1, 2, 64)).collect()}
+    assert got[3] == "a/x" and got[10] == "b" and len({v.lower() for v in got.values()}) == 8 and got[0] == "a/x."
+    assert len(got[1]) in (5, 6)
+
+
+def test_overlays_and_promotions(spark):
+    base, over = spark.createDataFrame([(1, "a")], "k long, v string"), spark.createDataFrame([(1, "z"), (2, "b"), (3, ""), (4, None)], "k long, v string")
+    assert rows(joins.overlay_missing(base, over, "k", "v")) == [(1, "a"), (2, "b")]
+    calls = spark.createDataFrame([("f", "0x1", "x()"), ("f", "0x2", "y()"), ("g", "0x1", "z()")], "caller string, address string, expression string")
+    recovered = spark.createDataFrame([("f", "0x1", "A.m", 1), ("f", "0x1", "A.n", 2), ("f", "0x2", "dispatch 7", 1), ("g", "0x1", "B.m", 1)], "caller string, address string, target string, place long")
+    homes = spark.createDataFrame([("A.n", "package:app/a.dart"), ("B.m", "dart:core"), ("B.m", "dart:io")], "target string, library_uri string")
+    got = joins.promote_indirect(calls, recovered, homes, lambda u, t: X.target_scope(u, "app", t))
+    assert rows(got.drop("expression")) == sorted([("f", "0x1", "A.n", "package:app/a.dart", "application"), ("f", "0x2", None, None, None), ("g", "0x1", "B.m", None, "unknown")], key=str)
+
+
+def test_stub_targets(spark):
+    calls = spark.createDataFrame([(1, "sub_110"), (2, "sub_120"), (3, "sub_130"), (4, "name"), (5, "sub_zz"), (6, None)], "id long, target string")
+    stubs = spark.createDataFrame([(16, "NullErrorStub"), (32, "Allocate")], "offset long, name string")
+    assert rows(joins.relabel_stubs(calls, stubs, 256)) == sorted([(2, "Allocate"), (3, "sub_130"), (4, "name"), (5, "sub_zz"), (6, None)], key=str)
+
+
+def test_exact_fields(spark):
+    slots = spark.createDataFrame([("A", None, 8), ("A", "l", 8), ("B", "l", 16)], "class_name string, library_uri string, offset long")
+    fields = spark.createDataFrame([("A", None, 8, "x", "int"), ("B", "l", 16, "y", None), ("B", "l", 16, "z", None)], "class_name string, library_uri string, offset long, field string, field_type string")
+    assert rows(joins.field_layout(slots, fields)) == sorted([("A", None, 8, "x", "int"), ("A", "l", 8, None, None), ("B", "l", 16, None, None)], key=str)
+
+
+@pytest.mark.parametrize("value, step, want", [(0, 8, 0), (1, 8, 8), (8, 8, 8), (17, 16, 32)])
+def test_alignment(spark, value, step, want):
+    assert spark.range(1).select(X.round_up(F.lit(value).cast("long"), step).alias("x")).first().x == want
+
+
+def test_latin1(spark):
+    df = spark.createDataFrame([(bytearray(b"caf\xe9"),), (None,)], "b binary")
+    assert [r.x for r in df.select(X.latin1("b").alias("x")).collect()] == ["café", None]
