@@ -100,6 +100,29 @@ def constraint_solve(df: DataFrame, keys: list[str], supplied: str, flag: Column
     return df.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(supplied)), "|").alias("supplied"), F.min(supplied).cast("long").alias("least"), F.max(supplied).cast("long").alias("most"), tri_state(flag).alias("needs"), F.count("*").alias("calls"))
 
 
+#: Who settles a signature, the stronger first.
+AUTHORITIES = ["vm_oracle", "retained_runtime_signature"]
+
+
+def solve_signatures(calls: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """What is known of each signature: settled by the strongest authority, else bounded by the calls that were seen.
+
+    calls: key, count, positional, type_args, named, all null for a call without a descriptor; known: key, authority, fixed.
+    Calls give the distinct counts, at most how many positional ones are required, at least how many are taken, the names, the
+    distinct numbers of type arguments, and whether all calls, none, or some (null) pass a descriptor.
+    """
+    names = calls.select(key, F.explode("named").alias("_name")).groupBy(key).agg(F.array_sort(F.collect_set("_name")).alias("named"))
+    sums = calls.groupBy(key).agg(
+        F.array_sort(F.collect_set("count")).alias("counts"), F.min("positional").alias("positional_at_most"), F.max("count").alias("capacity_at_least"),
+        F.array_sort(F.collect_set("type_args")).alias("type_args"), tri_state(F.col("count").isNotNull()).alias("needs"), F.count("*").alias("calls"),
+    )
+    rank = F.array_position(F.array(*map(F.lit, AUTHORITIES)), F.col("authority"))
+    settled = known.groupBy(key).agg(F.min_by(F.struct("authority", "fixed"), rank).alias("_best")).select(key, "_best.authority", "_best.fixed")
+    joined = sums.join(names, key, "left").join(settled, key, "full")
+    tier = F.when(F.col("authority").isNotNull(), "proven").when(F.col("calls").isNotNull(), "inferred")
+    return joined.select(key, "authority", "fixed", "counts", "positional_at_most", "capacity_at_least", F.coalesce("named", F.array().cast("array<string>")).alias("named"), "type_args", "needs", "calls", tier.alias("tier"))
+
+
 def propagate_agreeing(df: DataFrame, group: str, value: str, donor: Column) -> DataFrame:
     """Rows that are no donors get the value that all donors of their group agree on."""
     given = df.where(donor).groupBy(group).agg(F.min(value).alias("_low"), F.max(value).alias("_high")).where("_low = _high").select(group, F.col("_low").alias("_given"))

@@ -98,8 +98,8 @@ def elf_sections(data: bytes) -> list[tuple[str, int, int, int]]:
     return [(data[strings + n : data.index(b"\0", strings + n)].decode("latin-1"), a, o, s) for n, a, o, s in rows]
 
 
-def elf_symbols(data: bytes) -> list[tuple[str, int, int]]:
-    """(name, address, size) of the static and dynamic symbols of a 64- or 32-bit image."""
+def elf_symbols_detailed(data: bytes) -> list[tuple[str, int, int, int, bool]]:
+    """(name, address, size, kind, defined) of the named static and dynamic symbols of a 64- or 32-bit image."""
     wide, order = data[4] == 2, "<" if data[5] == 1 else ">"
     sections = {n: (o, s) for n, _, o, s in elf_sections(data)}
     out = []
@@ -109,14 +109,19 @@ def elf_symbols(data: bytes) -> list[tuple[str, int, int]]:
             step = 24 if wide else 16
             for k in range(at, at + size, step):
                 if wide:
-                    name, _, _, _, value, length = struct.unpack_from(order + "IBBHQQ", data, k)
+                    name, info, _, section, value, length = struct.unpack_from(order + "IBBHQQ", data, k)
                 else:
-                    name, value, length = struct.unpack_from(order + "III", data, k)
+                    name, value, length, info, _, section = struct.unpack_from(order + "IIIBBH", data, k)
                 if name:
-                    out.append((data[names + name : data.index(b"\0", names + name)].decode("latin-1"), value, length))
+                    out.append((data[names + name : data.index(b"\0", names + name)].decode("latin-1"), value, length, info & 15, section != 0))
     return out
 
 
+def elf_symbols(data: bytes) -> list[tuple[str, int, int]]:
+    """(name, address, size) of the static and dynamic symbols of a 64- or 32-bit image."""
+    return [x[:3] for x in elf_symbols_detailed(data)]
+
+
 def elf_regions(listed: DataFrame) -> DataFrame:
     """path, member, region, address, size, sha256 of the sections of each payload's content."""
 

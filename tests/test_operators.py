@@ -148,6 +148,55 @@ def test_scored_assignment_reuses_the_best(spark):
     assert got == {1: (10, False), 2: (10, True), 3: (11, False)} or got == {1: (10, False), 2: (11, False), 3: (11, True)}
 
 
+def test_match_scores(spark):
+    schema = "id long, names array<string>, library_uri string, owner string, kind string, parameter_types array<string>, return_type string, raw_name string, name string, c_library string, c_owner string, c_kind string, c_types array<string>, c_return string"
+    cases = [
+        (1, ["a", None], "l", "O", "getter", ["int"], "x", "a", "a", "l", "O", "getter", ["int"], "x"), (2, ["b", None], None, None, None, [], None, "zz", "T.b", None, None, None, [], None), (3, ["c", "d"], "l", "O", None, ["int", None], None, None, "e", "m", "P", None, ["int", None], None),
+        (4, ["f", None], "l", None, "getter", ["int"], "x", None, "f", "l", None, "setter", ["num"], "y"), (5, ["g", None], None, None, None, ["a"], None, None, "xg", None, None, None, ["a", "b"], None),
+    ]
+    df = spark.createDataFrame(cases, schema)
+    f = {k: F.col(k) for k in ("names", "library_uri", "owner", "kind", "parameter_types", "return_type")}
+    c = {"raw_name": F.col("raw_name"), "name": F.col("name"), "library_uri": F.col("c_library"), "owner": F.col("c_owner"), "kind": F.col("c_kind"), "parameter_types": F.col("c_types"), "return_type": F.col("c_return")}
+    assert {r.id: r.s for r in df.select("id", resolve.match_score(f, c).alias("s")).collect()} == {1: 8 + 2 + 1 + 1 + 6 + 2, 2: 7, 3: 6, 4: 7 + 2 + 1, 5: 0}
+
+
+def test_attachment(spark):
+    assigned = spark.createDataFrame([("o1", 1, 10, 9, [10, 11]), ("o1", 2, 11, 3, [10, 11]), ("o2", 3, 12, 1, [12])], "offset string, row long, candidate long, score long, tied array<long>")
+    candidates = spark.createDataFrame([("o1", 10, "p"), ("o1", 11, "q"), ("o2", 12, None)], "offset string, candidate long, parent string")
+    out = resolve.attach(assigned, candidates, "offset")
+    assert {r.row: (r.strong, r.full, r.other_parents) for r in out.collect()} == {1: (True, True, ["q"]), 2: (False, False, ["p"]), 3: (False, True, [])}
+    counted = out.withColumn("is_root_main", F.col("row") == 1)
+    assert resolve.check_attached(counted, 5, True) == {"matched": 3, "strong": 1, "offsets": 2, "unmatched": 2}
+    for rows_, root in ((counted.where(F.lit(False)), False), (counted.withColumn("is_root_main", F.lit(False)), True)):
+        with pytest.raises(ValueError):
+            resolve.check_attached(rows_, 5, root)
+
+
+def test_consuming_pairs(spark):
+    debug = spark.createDataFrame([("a", 1, "getter"), ("a", 2, "regular"), ("a", 3, "regular"), ("b", 1, "regular")], "k string, n long, kind string")
+    snapshot = spark.createDataFrame([("a", 10, "regular"), ("a", 11, "getter"), ("c", 12, "regular")], "k string, n long, kind string")
+    got = {(r.k, r.n): r.taken for r in resolve.consuming_pair(debug, snapshot, "k", "n", "kind").collect()}
+    assert got == {("a", 1): 11, ("a", 2): 10, ("a", 3): None, ("b", 1): None}
+    other = spark.createDataFrame([("a", 10, "setter"), ("a", 11, "regular")], "k string, n long, kind string")
+    assert [r.taken for r in resolve.consuming_pair(debug, other, "k", "n", "kind").where("k = 'a'").orderBy("n").collect()] == [10, 11, None]
+
+
+def test_same_declarations(spark):
+    names = ["kind", "library_uri", "owner", "name", "function_kind", "vm_object_id", "snapshot_reference", "fixed", "optional", "named", "types", "place"]
+    schema = ", ".join(f"{s}_{n} {t}" for s in "ab" for n, t in zip(names, ["string"] * 5 + ["long", "long", "long", "long", "boolean", "string", "string"], strict=True))
+    base = ("function", "l", "O", "m", "regular", 7, -1, 1, 0, False, "int", "f:1")
+    change = lambda row, **k: tuple(k.get(n, v) for n, v in zip(names, row, strict=True))
+    snap = change(base, vm_object_id=None, snapshot_reference=5)
+    cases = [
+        (base, base, True), (base, change(base, vm_object_id=8), False), (base, snap, True), (base, change(snap, types="num"), False), (base, change(snap, place="f:2"), False), (base, change(snap, place=None, types=None), True),
+        (change(base, snapshot_reference=3), snap, False), (change(base, name="anonymous closure"), change(snap, name="anonymous closure", types=None), False), (change(base, function_kind="getter"), snap, False), (change(base, fixed=None), snap, True), (snap, change(snap, snapshot_reference=6), False),
+        (change(base, kind="class", function_kind=None), change(snap, kind="class"), True), (change(base, owner=None), change(snap, owner=None), True),
+    ]
+    df = spark.createDataFrame([(*a, *b) for a, b, _ in cases], schema)
+    side = lambda s: {n: F.col(f"{s}_{n}") for n in names}
+    assert [r.x for r in df.select(resolve.same_declaration(side("a"), side("b")).alias("x")).collect()] == [w for *_, w in cases]
+
+
 def test_hypotheses(spark):
     df = spark.createDataFrame([("g", 1, 0, 3, "a"), ("g", 2, 0, 3, "b"), ("g", 3, 1, 9, "c"), ("h", 1, 0, 2, "a"), ("h", 2, 0, 1, "b")], "g string, h long, c long, e long, v string")
     assert rows(resolve.hypothesis_vote(df, "g", "h", "c", "e", "v")) == [("g", 2, None), ("h", 1, "a")]
@@ -487,3 +536,18 @@ def test_alignment(spark, value, step, want):
 def test_latin1(spark):
     df = spark.createDataFrame([(bytearray(b"caf\xe9"),), (None,)], "b binary")
     assert [r.x for r in df.select(X.latin1("b").alias("x")).collect()] == ["café", None]
+
+
+def test_coverage_and_histograms(spark):
+    df = spark.createDataFrame([("0x1", 4, 2, "a", True), ("0x1", 4, 1, "b", False), ("0x2", 4, 3, None, True)], "address string, size long, n long, kind string, ok boolean")
+    row = aggregates.coverage(df, ["address", "size"], ["n"], {"ok": F.col("ok"), "named": F.col("kind").isNotNull()}).first().asDict()
+    assert row == {"logical_rows": 3, "physical_rows": 2, "ok": 2, "ok_physical": 1, "named": 2, "named_physical": 1}
+    assert rows(aggregates.histograms(df, {"kind": F.col("kind"), "size": F.col("size")})) == [("kind", "a", 1), ("kind", "b", 1), ("size", "4", 3)]
+
+
+def test_solved_signatures(spark):
+    calls = spark.createDataFrame([("k", 2, 1, 0, ["x"]), ("k", 3, 2, 1, ["y", "x"]), ("k", None, None, None, None), ("m", None, None, None, None), ("n", 1, 1, 0, [])], "k string, count long, positional long, type_args long, named array<string>")
+    known = spark.createDataFrame([("m", "retained_runtime_signature", 2), ("n", "retained_runtime_signature", 1), ("n", "vm_oracle", 3), ("z", "vm_oracle", 0)], "k string, authority string, fixed long")
+    got = {r.k: (r.authority, r.fixed, r.counts, r.positional_at_most, r.capacity_at_least, r.named, r.type_args, r.needs, r.calls, r.tier) for r in aggregates.solve_signatures(calls, known, "k").collect()}
+    assert got["k"] == (None, None, [2, 3], 1, 3, ["x", "y"], [0, 1], None, 3, "inferred")
+    assert got["m"][:2] == ("retained_runtime_signature", 2) and got["n"][:2] == ("vm_oracle", 3) and got["z"][:2] == ("vm_oracle", 0) and got["z"][-1] == "proven" and got["m"][-1] == "proven"

@@ -134,3 +134,104 @@ def test_stream(spark, tmp_path):
     query = trace_stream.deduplicated(source).writeStream.outputMode("append").format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.event_id for r in spark.table("once").collect()) == [1, 2]
+
+
+def test_oracle_documents(spark, tmp_path):
+    from factweave.sources import oracle
+
+    metadata = {"dart_version": '3.4 on "linux_arm64"', "dart_commit": "abcdef0123", "snapshot_hash": "h", "root_library": 1, "word_size": 8, "compressed_word_size": 8, "analyzer_version": 5}
+    objects = [
+        {"id": 1, "type": "Library", "url": "package:app/main.dart", "imports": [2, 2, 99]}, {"id": 2, "type": "Library", "url": "dart:core"}, {"id": 3, "type": "Class", "name": "A", "user_visible_name": "Aa", "library": 1}, {"id": 4, "type": "Class", "name": "::", "library": 1},
+        {"id": 10, "type": "Function", "name": "m", "raw_name": "m@1", "owner_class": 3, "code": 20, "kind": "getter", "parent_function": 11, "result_type": 30, "parameters": [{"name": "this", "type": 30, "is_implicit": True}, {"name": "x", "type": 31}, {"name": "y", "type": 98}]},
+        {"id": 11, "type": "Function", "name": "main", "owner_class": 4, "code": 21}, {"id": 12, "type": "Function", "name": "lost", "code": 23},
+        {"id": 20, "type": "Code", "offset": 64, "size": 16, "section": oracle.ISOLATE}, {"id": 21, "type": "Code", "offset": 8, "size": 4, "section": "_kDartVmSnapshotInstructions"}, {"id": 22, "type": "Code", "offset": 96, "size": 4, "section": oracle.ISOLATE, "owner": 11},
+        {"id": 23, "type": "Code", "offset": -1, "size": 4, "section": oracle.ISOLATE, "is_stub": True, "name": "no place"}, {"id": 24, "type": "Code", "offset": 128, "size": 4, "section": oracle.ISOLATE, "is_stub": True, "name": "AllocateStub"},
+        {"id": 30, "type": "Type", "name": "int ?"}, {"id": 31, "type": "Type", "user_visible_name": "List < int >"}, {"type": "Odd"}, {"id": 40},
+    ]
+    calls = {"targets": [{"pool_index": 1, "owner_name": "new"}, {"pool_index": 2, "owner_name": "kept?"}, {"pool_index": 3, "owner_name": ""}]}
+    (tmp_path / "o.json").write_text(json.dumps({"metadata": metadata, "objects": objects, "static_calls": calls}))
+    document = oracle.read_document(spark, str(tmp_path / "o.json"), "h", "arm64-v8a")
+    found = oracle.objects(document)
+    assert {r.uri: (r.package, r.output_path, r.imports) for r in oracle.libraries(found).collect()} == {"package:app/main.dart": ("app", "packages/app/main.dart", ["dart:core"]), "dart:core": (None, "dart/core.dart", [])}
+    got = {r.name: r for r in oracle.functions(found).collect()}
+    assert (got["m"].owner, got["m"].library_uri, got["m"].parent_name, got["m"].code_offset, got["m"].code_link, got["m"].parameter_types, got["m"].return_type) == ("Aa", "package:app/main.dart", "main", 64, "function.code", ["List<int>", None], "int")
+    assert (got["main"].owner, got["main"].code_offset, got["main"].code_link, got["main"].parameter_types) == (None, 96, "code.owner", [])
+    assert (got["lost"].code_offset, got["lost"].code_size, got["lost"].library_uri) == (None, 4, None)
+    assert [tuple(r) for r in oracle.stubs(found).collect()] == [(128, "AllocateStub")]
+    labels = spark.createDataFrame([(2, "old")], "pool_index long, label string")
+    assert sorted(map(tuple, oracle.pool_labels(document, labels).collect())) == [(1, "new"), (2, "old")]
+    assert {r.type: r.n for r in oracle.kinds(found).collect()} == {"Library": 2, "Class": 2, "Function": 3, "Code": 5, "Type": 2, "Odd": 1, "Unknown": 1}
+    for change, abi, compressed in (({"analyzer_version": 1}, "arm64-v8a", False), ({"snapshot_hash": "x"}, "arm64-v8a", False), ({"dart_commit": "zz"}, "arm64-v8a", False), ({}, "armeabi-v7a", False), ({}, "x86_64", False), ({}, "arm64-v8a", True)):
+        (tmp_path / "o.json").write_text(json.dumps({"metadata": metadata | change, "objects": []}))
+        with pytest.raises(Exception, match="differs|older|revision"):
+            oracle.read_document(spark, str(tmp_path / "o.json"), "h", abi, compressed).collect()
+
+
+def test_listings(spark, tmp_path):
+    from factweave.sources import sinks
+
+    schema = "place long, name string, owner string, address string, size long, instructions array<struct<address:string,bytes:string,mnemonic:string,operands:string,object_pool_index:long,object_pool_value:string>>, control_flow array<struct<`from`:string,`to`:string,kind:string>>"
+    one = [("0x1", "aabb", "mov", "x0, x1", None, None), ("0x5", "cc", "ldr", "x2", 7, "str")]
+    rows = [(2, "b", "O", "0x9", 4, [], []), (1, "a", None, "0x1", 8, one, [("0x1", "0x5", "Jump")]), (3, "alias", "O", "0x1", 8, one, [])]
+    df = spark.createDataFrame(rows, schema)
+    want = ["\n# top_level.a at 0x1 (8 bytes)\n0x1  " + "aabb".ljust(18) + " " + "mov".ljust(8) + " x0, x1\n0x5  " + "cc".ljust(18) + " " + "ldr".ljust(8) + " x2  # pool[7] = str\n# CFG: 0x1->0x5/Jump", "\n# O.b at 0x9 (4 bytes)"]
+    assert [r.text for r in sinks.assembly(df).orderBy("place").collect()] == want
+    sinks.write_assembly(df, str(tmp_path / "asm"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "asm").glob("part-*")))
+    assert text == "\n".join(want) + "\n"
+    index = sinks.function_index(df).where("name = 'a'").first()
+    assert (index.offset, index.inlined_function_count, index.owner, index.kind) == (1, 0, None, None)
+
+
+def test_assets(spark, tmp_path):
+    import hashlib
+
+    from factweave.sources import sinks
+
+    schema = "path string, declared_size long, content binary"
+    good = spark.createDataFrame([("a/b.txt", 3, bytearray(b"abc")), ("c.bin", 0, bytearray(b""))], schema)
+    assert sorted(map(tuple, sinks.copy_assets(good, str(tmp_path / "out")).collect())) == [("a/b.txt", 3, hashlib.sha256(b"abc").hexdigest()), ("c.bin", 0, hashlib.sha256(b"").hexdigest())]
+    assert (tmp_path / "out/a/b.txt").read_bytes() == b"abc"
+    for rows in ([("x", 4, bytearray(b"abc"))], [("../x", 3, bytearray(b"abc"))], [("x", 1, bytearray(b"a")), ("x", 1, bytearray(b"b"))]):
+        with pytest.raises(Exception, match="declared|unsafe|twice"):
+            sinks.copy_assets(spark.createDataFrame(rows, schema), str(tmp_path / "bad")).collect()
+
+
+def test_manifest_binding_and_summaries(spark, tmp_path):
+    from factweave.sources import sinks
+
+    target = str(tmp_path / "m.json")
+    coverage = spark.createDataFrame([(3, 2)], "functions long, ranges long")
+    warnings = spark.createDataFrame([("W", "x\u202ey")], "code string, message string")
+    sinks.manifest(spark, target, "m/v1", {"abi": "arm64"}, coverage, warnings)
+    text = (tmp_path / "m.json").read_text()
+    assert json.loads(text) == {"schema": "m/v1", "abi": "arm64", "coverage": {"functions": 3, "ranges": 2}, "warnings": [{"code": "W", "message": "x\u202ey"}]} and "\\u202e" in text
+    with pytest.raises(FileExistsError):
+        sinks.manifest(spark, target, "m/v1", {}, coverage)
+    with pytest.raises(ValueError):
+        sinks.manifest(spark, str(tmp_path / "n.json"), "m/v1", {}, coverage.union(coverage))
+    facts = {"dart_commit": "abc", "target_arch": "arm64", "word_size": 8, "compressed_word_size": 4, "analyzer_version": 5}
+    bound = sinks.binding(spark, b"doc", b"exe", {"sha256": "s"}, facts, str(tmp_path / "b.json"))
+    assert json.loads((tmp_path / "b.json").read_text()) == bound and bound["document"]["size"] == 3
+    sinks.verify_binding(bound, b"doc", {"sha256": "s"})
+    for document, subject in ((b"dok", {"sha256": "s"}), (b"doc", {"sha256": "t"})):
+        with pytest.raises(ValueError):
+            sinks.verify_binding(bound, document, subject)
+    with pytest.raises(FileExistsError):
+        sinks.binding(spark, b"doc", b"exe", {}, facts, str(tmp_path / "b.json"))
+    sinks.binding(spark, b"new", b"exe", {}, facts, str(tmp_path / "b.json"), replace=True)
+    with pytest.raises(ValueError):
+        sinks.binding(spark, b"doc", b"exe", {}, facts | {"dart_commit": None}, str(tmp_path / "c.json"))
+    assert sinks.summary(coverage) == "functions  ranges\n3          2" and json.loads(sinks.summary(coverage, as_json=True)) == {"functions": 3, "ranges": 2}
+    assert sinks.readme("T", {"functions": 1200}, ["Note."]) == "# T\n\n- functions: 1,200\n\nNote.\n"
+
+
+def test_deferred_units(spark):
+    from factweave.sources import sinks
+
+    symbol = lambda name, info, section, value: struct.pack("<IBBHQQ", name, info, 0, section, value, 8)
+    strings = b"\0_kDartSnapshotData\0main\0"
+    symbols = symbol(0, 0, 0, 0) + symbol(1, 1, 1, 64) + symbol(20, 2, 1, 128) + symbol(20, 2, 0, 128)
+    data = elf64([(".text", 4096, b"x" * 12), (".symtab", 0, symbols), (".strtab", 0, strings), (".note.gnu.build-id", 0, b"\0" * 16 + b"\xab\xcd")])
+    row = sinks.deferred_units(spark.createDataFrame([("u", bytearray(data))], "path string, content binary")).first()
+    assert (row.size, row.build_id, row.text_symbols, row.snapshot_symbols, row.instruction_section_bytes) == (len(data), "abcd", 1, ["_kDartSnapshotData"], 12)
