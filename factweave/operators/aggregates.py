@@ -154,6 +154,12 @@ def group_peers(df: DataFrame, keys: list[str], member: str) -> DataFrame:
     return sets.select(*keys, F.explode("_all").alias(member), "_all").select(*keys, member, F.array_join(F.array_remove("_all", F.col(member)), "|").alias("peers"))
 
 
+def peer_classes(df: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """Each key with its distinct members in order and their number: the same as group_peers says, one row for a key instead of all pairs as text."""
+    pairs = df.select(*keys, member).distinct()
+    return pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(member)).alias("members"), F.count("*").alias("n")).where("n > 1")
+
+
 def calibrate_bit(df: DataFrame, packed: str, expected: Column, low: int, high: int) -> DataFrame:
     """The one bit in low..high-1 that equals what is expected in every row; null if none or several do. One pass."""
     fits = [F.bool_and(F.coalesce(F.getbit(F.col(packed).cast("long"), F.lit(b)) == expected.cast("int"), F.lit(False))).alias(f"b{b}") for b in range(low, high)]

@@ -54,7 +54,7 @@ def trace_receivers(t: Tables) -> DataFrame:
 def asof_excluding(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     place = F.struct("ts", "event_id")
-    e = t.events.select("event_id", "user_id", "ts", "event_type")
+    e = t.events.select("event_id", "user_id", "ts", "event_type").where(F.col("event_type").isin("click", "purchase", "error"))
     e = e.withColumn("click", F.last(F.when(F.col("event_type") == "click", place), ignorenulls=True).over(w)).withColumn("purchase", F.last(F.when(F.col("event_type") == "purchase", place), ignorenulls=True).over(w))
     kept = (F.col("event_type") == "error") & F.col("click").isNotNull() & (F.col("purchase").isNull() | (F.col("purchase") < F.col("click")))
     return e.where(kept).select("event_id", "user_id", F.col("click.event_id").alias("click_id"))
@@ -77,7 +77,7 @@ def name_then_span(t: Tables) -> DataFrame:
     e = t.events.select("event_id", "user_id", "ts", "event_type", "props")
     named = e.where("event_type = 'signup'").groupBy("user_id", "props").agg(F.min("event_id").alias("by_name"))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    spanned = e.withColumn("by_span", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w)).where("event_type = 'view'")
+    spanned = e.where(F.col("event_type").isin("signup", "view")).withColumn("by_span", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w)).where("event_type = 'view'")
     return spanned.join(named, ["user_id", "props"], "left").select("event_id", F.coalesce("by_name", "by_span").alias("parent_id"))
 
 
@@ -115,15 +115,16 @@ def consecutive_dedup(t: Tables) -> DataFrame:
     return ordered.consecutive_dedup(t.events.select("event_id", "user_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "user_id", "event_type")
 
 
-@query(f"""WITH x AS (SELECT event_type AS raw, user_id AS restored, row_number() OVER (PARTITION BY event_type, user_id % 7 ORDER BY ts, event_id) AS n, user_id % 7 AS g FROM events)
- SELECT raw, g AS slot, restored FROM x WHERE n = 1""")
+@query("""SELECT raw, restored FROM (SELECT event_type || i AS raw, CAST(user_id + i AS BIGINT) AS restored, row_number() OVER (PARTITION BY event_type || i ORDER BY ts, event_id) AS n FROM (SELECT *, unnest(range(0, event_id % 3 + 1)) AS i FROM events WHERE event_id % 7 <> 0)) WHERE n = 1""")
 def pairs_from_array(t: Tables) -> DataFrame:
-    """Flat arrays of alternating key and value are paired by place; the first pair of a key wins."""
-    e = t.events.select("event_type", (F.col("user_id") % 7).alias("slot"), "ts", "event_id", F.array(F.col("event_type"), F.col("user_id").cast("string")).alias("flat"))
-    placed = e.select("slot", "ts", "event_id", F.posexplode("flat").alias("pos", "v"))
-    pairs = placed.groupBy("event_id", "ts", "slot", F.expr("pos div 2").alias("pair")).agg(F.min_by("v", "pos").alias("raw"), F.max_by("v", "pos").alias("restored"))
-    first = ordered.first_rows(pairs, ["raw", "slot"], ["ts", "event_id", "pair"])
-    return first.select("raw", "slot", F.col("restored").cast("long").alias("restored"))
+    """Flat arrays of alternating key and value are paired by place; arrays of odd length are none; the first pair of a key wins."""
+    items = F.sequence(F.lit(0), (2 * (F.col("event_id") % 3) + 1).cast("int"))
+    flat = F.transform(items, lambda i: F.when(i % 2 == 0, F.concat("event_type", F.floor(i / 2).cast("string"))).otherwise((F.col("user_id") + F.floor(i / 2)).cast("string")))
+    odd = F.when(F.col("event_id") % 7 == 0, F.array(F.lit("left over"))).otherwise(F.array().cast("array<string>"))
+    e = t.events.select("ts", "event_id", F.concat(flat, odd).alias("flat")).where(F.size("flat") % 2 == 0)
+    pairs = e.select("ts", "event_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr("CAST(size(flat) div 2 AS INT) - 1")), lambda i: F.struct(F.get("flat", 2 * i).alias("raw"), F.get("flat", 2 * i + 1).alias("restored")))).alias("pair", "p"))
+    first = pairs.groupBy(F.col("p.raw").alias("raw")).agg(F.min_by("p.restored", F.struct("ts", "event_id", "pair")).alias("restored"))
+    return first.select("raw", F.col("restored").cast("long").alias("restored"))
 
 
 @query(f"""SELECT event_id, 'warning' AS record, '{{"user":' || CAST(user_id AS VARCHAR) || ',"hits":' || CAST({_H} AS VARCHAR) || '}}' AS payload FROM events WHERE event_type = 'error'""")

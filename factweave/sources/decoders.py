@@ -99,15 +99,30 @@ def signed_varints(x: pd.Series) -> pd.Series:
     return x.map(decode)
 
 
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("pc", T.LongType())])))
+def descriptor_words(x: pd.Series) -> pd.Series:
+    """Pairs of a word and a distance, the distances summed up; bytes behind the last whole pair are left."""
+
+    def decode(data):
+        out, at, pc, data = [], 0, 0, bytes(data)
+        try:
+            while at < len(data):
+                word, at = read_signed_varint(data, at)
+                delta, at = read_signed_varint(data, at)
+                pc += delta
+                out.append({"word": word, "pc": pc})
+        except IndexError:
+            pass
+        return out
+
+    return x.map(lambda v: None if v is None else decode(v))
+
+
 def descriptors(streams: DataFrame, key: str, content: str) -> DataFrame:
-    """key, place, pc, kind, try_index, yield_index: numbers are decoded in Python, pairs, running sums and bits are SQL."""
-    numbers = streams.select(key, signed_varints(content).alias("n"))
-    pairs = numbers.select(key, "n", F.explode(F.when(F.size("n") >= 2, F.sequence(F.lit(0), F.expr("CAST(size(n) div 2 AS INT) - 1")))).alias("place"))
-    word = F.get("n", F.col("place") * 2).bitwiseAND(F.lit(0xFFFFFFFF))
-    deltas = F.transform(F.sequence(F.lit(0), F.col("place")), lambda k: F.get("n", 2 * k + 1))
-    pc = F.aggregate(deltas, F.lit(0).cast("long"), lambda a, d: a + d)
-    kinds = F.array(*map(F.lit, DESCRIPTOR_KINDS))
-    return pairs.select(key, "place", pc.alias("pc"), F.get(kinds, word.bitwiseAND(7).cast("int")).alias("kind"), (F.shiftright(word, 3).bitwiseAND(1023) - 1).alias("try_index"), (F.shiftright(word, 13) - 1).alias("yield_index"))
+    """key, place, pc, kind, try_index, yield_index: numbers and their running sum are decoded in Python, bits are SQL."""
+    pairs = streams.select(key, F.posexplode(descriptor_words(content)).alias("place", "d")).select(key, "place", "d.pc", F.col("d.word").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word"))
+    kinds, word = F.array(*map(F.lit, DESCRIPTOR_KINDS)), F.col("word")
+    return pairs.select(key, "place", "pc", F.get(kinds, word.bitwiseAND(7).cast("int")).alias("kind"), (F.shiftright(word, 3).bitwiseAND(1023) - 1).alias("try_index"), (F.shiftright(word, 13) - 1).alias("yield_index"))
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:

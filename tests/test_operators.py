@@ -551,3 +551,13 @@ def test_solved_signatures(spark):
     got = {r.k: (r.authority, r.fixed, r.counts, r.positional_at_most, r.capacity_at_least, r.named, r.type_args, r.needs, r.calls, r.tier) for r in aggregates.solve_signatures(calls, known, "k").collect()}
     assert got["k"] == (None, None, [2, 3], 1, 3, ["x", "y"], [0, 1], None, 3, "inferred")
     assert got["m"][:2] == ("retained_runtime_signature", 2) and got["n"][:2] == ("vm_oracle", 3) and got["z"][:2] == ("vm_oracle", 0) and got["z"][-1] == "proven" and got["m"][-1] == "proven"
+
+
+@pytest.mark.parametrize("size", [1, 3, 1 << 20])
+def test_places_of_hot_keys_across_ranges(spark, size, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", size)
+    df = spark.createDataFrame([("hot", k) for k in range(9)] + [(None, 3), (None, 1), ("a", 5)], "k string, n long")
+    got = {(r.k, r.n): r.place for r in ordered.place_in_group(df, ["k"], ["n"], "place").collect()}
+    assert got == {("hot", k): k + 1 for k in range(9)} | {(None, 1): 1, (None, 3): 2, ("a", 5): 1}
+    names = {r.n: r.unique_name for r in ordered.collision_suffix(df.where("k = 'hot'"), "k", ["n"]).collect()}
+    assert names == {0: "hot"} | {k: f"hot_{k + 1}" for k in range(1, 9)}
