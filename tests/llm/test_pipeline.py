@@ -171,3 +171,88 @@ def test_repeated_passages_and_repeated_keys(spark):
     one, two = ([f"{x}{rng.random()}" for _ in range(300)] for x in "xy")
     rows = [(1, " ".join(one)), (1, " ".join(two)), (2, edited(rng, one, 2)), (3, edited(rng, two, 2))]
     assert {c for _, c in groups_found(spark, rows)} == {1}
+
+
+def plain_language(model, texts):
+    """Whether each text has a language that explains it with a score of 0.5 or more, by sums over all cuts of its words."""
+    import re
+
+    import numpy as np
+
+    numbers, longest = {p: n + 2 for n, p in enumerate(model.pieces)}, max(map(len, model.pieces))
+    known = {}
+
+    def logs(word):
+        if word not in known:
+            ahead = [np.zeros(len(model.langs))]
+            for end in range(1, len(word) + 1):
+                ways = [(start, numbers.get(word[start:end], 1 if end - start == 1 else None)) for start in range(max(0, end - longest), end)]
+                ahead.append(np.logaddexp.reduce([ahead[start] + np.log(model.chances[piece]) for start, piece in ways if piece is not None]))
+            known[word] = ahead[-1]
+        return known[word]
+
+    out = []
+    for text in texts:
+        words = ["".join(c for c in w if c.isalpha()) for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+        rows = [logs("▁" + w) for w in words if w]
+        total = np.sum(rows, axis=0) if rows else None
+        out.append(total is not None and 1 / np.exp(total - total.max()).sum() >= 0.5)
+    return out
+
+
+def plain_lines_kept(rows):
+    import re
+
+    key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+    holders = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= 40:
+                holders[key(line)].add(i)
+    gone = lambda i, line: len(holders.get(key(line), ())) >= 5 and i != max(holders[key(line)])
+    return [(i, t if t is None else "\n".join(x for x in t.split("\n") if not gone(i, x))) for i, t in rows]
+
+
+def test_run_against_plain_python(spark):
+    import re
+
+    from conftest import SF
+    from test_filters import plain_match
+    from tokenizers import Tokenizer
+
+    from factweave.llm import langid
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    about = {r.doc_id: (r.lang, r.source) for r in docs.collect()}
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    kept = plain_language(langid.fit(docs, vocab.path("piece_bpe_32k.model")), [t for _, t in rows])
+    rows = plain_lines_kept([r for r, k in zip(rows, kept, strict=True) if k])
+    group = dict(exact_groups(rows))
+    rows = [(i, t) for i, t in rows if group[i] == i]
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    words = lambda t: set(re.findall(r"\w+", (t or "").lower()))
+    item_words = [(x, words(x)) for x in items]
+    rows = [(i, t) for i, t in rows if not any(len(w & words(t)) >= 3 and plain_match(x, t) for x, w in item_words)]
+    library = Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
+    want = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert {i: r.token_ids for i, r in got.items()} == want and 100 < len(want) < docs.count()
+    assert all((r.lang, r.source) == about[i] and r.round_trip and r.n_tokens == len(want[i]) for i, r in got.items())
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.8 to 0.87 at all lengths: what least hashes lose before the sets are compared."""
+    rng = random.Random(13)
+    rows, asked = [], []
+    for n in [60, 120, 250, 500, 1000] * 60:
+        base = [f"w{rng.random()}" for _ in range(n)]
+        own = list(base)
+        edits = max(1, round(n * rng.uniform(0.014, 0.0225)))
+        for at in rng.sample(range(n // 10), min(edits, n // 10)):
+            own[at * 10 + 5] = f"new{rng.random()}"
+        if 0.8 <= similarity(shingles(" ".join(base)), shingles(" ".join(own))) < 0.87:
+            asked.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(own))]
+    found = dict(groups_found(spark, rows))
+    met = sum(found[a] == found[b] for a, b in asked)
+    assert len(asked) > 100 and met >= 0.99 * len(asked)
