@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.kernels import read_signed_varint, read_varint
+from ..functions.kernels import read_signed_varint, read_tagged64, read_unsigned, read_varint
 
 #: Fixed values of the dispatch stream: slots of the recent values, longest repeat, and what a fresh index is shifted by.
 RECENT, LONGEST_REPEAT, FRESH = 64, 63, 64
 #: Kinds of descriptors by their low three bits.
 DESCRIPTOR_KINDS = ["deopt", "ic_call", "unoptimized_static_call", "runtime_call", "osr_entry", "rewind", "other", "unknown"]
-NODE_LIMIT = 1_000_000
+NODE_LIMIT, MOST_ENTRIES = 1_000_000, 20_000_000
 
 
 def decode_dispatch(values: Iterator[int], length: int) -> list[int | None] | None:
@@ -50,6 +50,92 @@ def decode_dispatch(values: Iterator[int], length: int) -> list[int | None] | No
     return table if len(table) == length and next(values, None) is None else None
 
 
+def find_dispatch(data: bytes, begin: int, end: int, first_reference: int) -> list[int | None]:
+    """The table at the end of a stream: the last place from which a length, the first reference and exactly so many entries reach the end.
+
+    Empty if there is no such place. A length that the bytes left could not fill is passed over without being decoded.
+    """
+    if not 0 <= begin < end <= len(data) or first_reference <= 0:
+        return []
+    data = data[:end]
+    for start in range(end - 1, begin - 1, -1):
+        try:
+            length, at = read_unsigned(data, start)
+            reference, at = read_unsigned(data, at)
+        except (IndexError, ValueError):
+            continue
+        if reference != first_reference or not 0 < length <= min(MOST_ENTRIES, (end - at) * LONGEST_REPEAT + 1):
+            continue
+        table = decode_dispatch(_tagged(data, at), length)
+        if table is not None:
+            return table
+    return []
+
+
+def _tagged(data: bytes, at: int) -> Iterator[int]:
+    """Tagged numbers to the end; a cut one is a value that no table holds."""
+    while at < len(data):
+        try:
+            value, at = read_tagged64(data, at)
+        except (IndexError, ValueError):
+            value, at = -1 << 40, len(data)
+        yield value
+
+
+#: The first bytes of a snapshot, places of its hash and features, kinds by number.
+SNAPSHOT_MAGIC, HASH_AT, FEATURES_AT, MOST_FEATURES = bytes.fromhex("f5f5dcdc"), 0x14, 0x34, 1024
+SNAPSHOT_KINDS = ["full", "full_core", "full_jit", "full_aot"]
+
+
+def snapshot_header(data: bytes) -> dict:
+    """length, kind, snapshot_hash and features of a snapshot; anything malformed is an error."""
+    if len(data) <= FEATURES_AT or data[:4] != SNAPSHOT_MAGIC:
+        raise ValueError("no snapshot header")
+    length, kind = struct.unpack_from("<Qq", data, 4)
+    digest = data[HASH_AT : HASH_AT + 32]
+    if any(c not in b"0123456789abcdef" for c in digest):
+        raise ValueError("malformed snapshot hash")
+    features, mark, _ = data[FEATURES_AT : FEATURES_AT + MOST_FEATURES].partition(b"\0")
+    if not mark:
+        raise ValueError("snapshot features do not end")
+    name = SNAPSHOT_KINDS[kind] if 0 <= kind < len(SNAPSHOT_KINDS) else f"unknown({kind})"
+    return {"length": length, "kind": name, "snapshot_hash": digest.decode(), "features": features.decode(errors="replace").split()}
+
+
+def code_image(data: bytes, width: int) -> tuple[int, bytes]:
+    """Offset and bytes of the code in an image of instructions with words of 4 or 8 bytes."""
+    if width not in (4, 8):
+        raise ValueError(f"no machine has words of {width} bytes")
+    word = lambda at: int.from_bytes(data[at : at + width], "little") if at + width <= len(data) else _cut(at)
+    size, section = word(0), word(width)
+    if size > len(data):
+        raise ValueError(f"image declares {size} bytes but has {len(data)}")
+    begin = section + 5 * width
+    end = min(begin + word(section + width), size)
+    if begin > end:
+        raise ValueError("code lies outside the image")
+    return begin, data[begin:end]
+
+
+def _cut(at: int):
+    raise ValueError(f"image word at {at} is cut")
+
+
+@pandas_udf(T.StructType([T.StructField("length", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("snapshot_hash", T.StringType()), T.StructField("features", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())]))
+def snapshot_headers(x: pd.Series) -> pd.DataFrame:
+    """Headers of binaries; malformed ones have what is wrong in `error` and nothing else."""
+
+    def one(raw):
+        try:
+            return {**snapshot_header(bytes(raw)), "error": None}
+        except ValueError as e:
+            return {"error": str(e)}
+
+    fields = ["length", "kind", "snapshot_hash", "features", "error"]
+    rows = [{} if v is None else one(v) for v in x]
+    return pd.DataFrame({f: pd.Series([r.get(f) for r in rows], dtype="Int64" if f == "length" else object) for f in fields})
+
+
 def source_map(data: bytes) -> list[tuple[int, str, int, int, int | None]]:
     """(pc, operation, argument, depth, line): a stack of lines, one for each function that is inlined, with running pc."""
     names = ["change_position", "advance_pc", "push_function", "pop_function", "null_check"]

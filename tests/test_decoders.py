@@ -71,3 +71,63 @@ def test_signed_numbers_roundtrip():
         v = rng.randint(-(1 << 40), 1 << 40)
         assert decoders.read_signed_varint(signed(v)) == (v, len(signed(v)))
         assert decoders.read_varint(unsigned(abs(v))) == (abs(v), len(unsigned(abs(v))))
+
+
+def unsigned_number(v):
+    out = b""
+    while v > 0x7F:
+        out += bytes([v & 0x7F])
+        v >>= 7
+    return out + bytes([v + 128])
+
+
+def tagged_number(v):
+    out = b""
+    while not -64 <= v < 64:
+        out += bytes([v & 0x7F])
+        v >>= 7
+    return out + bytes([v + 192])
+
+
+def test_tagged_numbers_come_back():
+    from factweave.functions import kernels
+
+    for v in (0, 1, -1, 63, 64, -64, -65, 1 << 40, -(1 << 40)):
+        assert kernels.read_tagged64(tagged_number(v)) == (v, len(tagged_number(v)))
+    for v in (0, 127, 128, 1 << 50):
+        assert kernels.read_unsigned(unsigned_number(v)) == (v, len(unsigned_number(v)))
+
+
+def test_dispatch_is_found_from_the_end():
+    entries = b"".join(map(tagged_number, (70, 0, 3, -1, 80)))
+    table = [6, None, None, None, None, 6, 16]
+    data = b"\x81\x82\x83 noise" + unsigned_number(len(table)) + unsigned_number(9) + entries
+    assert decoders.find_dispatch(data, 2, len(data), 9) == table
+    assert decoders.find_dispatch(data + b"\xc1", 2, len(data) + 1, 9) == [] == decoders.find_dispatch(data, 2, len(data), 8)
+    assert decoders.find_dispatch(data, 5, 5, 9) == [] == decoders.find_dispatch(data, 0, len(data), 0)
+
+
+def test_snapshot_headers_and_images(spark):
+    import struct
+
+    import pytest
+
+    good = bytes.fromhex("f5f5dcdc") + struct.pack("<Qq", 99, 3) + b"0123456789abcdef" * 2 + b"product arm64 \0rest"
+    assert decoders.snapshot_header(good) == {"length": 99, "kind": "full_aot", "snapshot_hash": "0123456789abcdef" * 2, "features": ["product", "arm64"]}
+    for bad in (good[:40], b"x" + good[1:], good.replace(b"abcdef", b"ABCDEF"), good[:0x34] + b"f" * 2000):
+        with pytest.raises(ValueError):
+            decoders.snapshot_header(bad)
+    df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"x")), (3, None)], "id long, b binary")
+    rows = {r.id: r.h for r in df.select("id", decoders.snapshot_headers("b").alias("h")).collect()}
+    assert rows[1].features == ["product", "arm64"] and rows[1].length == 99 and rows[2].error and rows[2].length is None and rows[3].error is None
+    for width, form in ((8, "<Q"), (4, "<I")):
+        word = lambda v: struct.pack(form, v)  # noqa: B023, E731
+        head = word(0) + word(16) + bytes(16 - 2 * width) + word(0) + word(5) + bytes(3 * width) + b"code!after"
+        data = word(len(head)) + head[width:]
+        assert decoders.code_image(data, width) == (16 + 5 * width, b"code!")
+        with pytest.raises(ValueError):
+            decoders.code_image(word(len(head) + 1) + head[width:], width)
+    with pytest.raises(ValueError):
+        decoders.code_image(b"", 8)
+    with pytest.raises(ValueError):
+        decoders.code_image(data, 2)

@@ -561,3 +561,35 @@ def test_places_of_hot_keys_across_ranges(spark, size, monkeypatch):
     assert got == {("hot", k): k + 1 for k in range(9)} | {(None, 1): 1, (None, 3): 2, ("a", 5): 1}
     names = {r.n: r.unique_name for r in ordered.collision_suffix(df.where("k = 'hot'"), "k", ["n"]).collect()}
     assert names == {0: "hot"} | {k: f"hot_{k + 1}" for k in range(1, 9)}
+
+
+def test_body_bindings(spark):
+    from factweave.operators import bodies
+
+    static = spark.createDataFrame([(16, 0, 8), (16, 1, 8), (32, 2, 4)], "body long, object long, size long")
+    oracle = spark.createDataFrame([(100, 16, 8), (101, 16, 12), (102, 32, None), (103, 99, 4), (104, None, 4)], "object long, offset long, size long")
+    found = bodies.body_bindings(static, oracle)
+    got = {(r.source, r.object): (r.body, r.relation, r.conflict) for r in found.collect()}
+    assert got == {("static", 0): (16, "exact", False), ("static", 1): (16, "exact", False), ("static", 2): (32, "exact", False), ("oracle", 100): (16, "exact", False), ("oracle", 101): (16, "same_start_different_end", True), ("oracle", 102): (32, "unknown", False)}
+    assert bodies.binding_report(found, oracle).first().asDict() == {"bodies": 2, "occurrences": 7, "bindings": 6, "unbound_oracle": 3, "shared": 2, "conflicts": 1, "disjoint": 0}
+
+
+def test_labels_of_aliases_and_selectors(spark):
+    from factweave.operators import bodies
+
+    df = spark.createDataFrame([(1, "a", "l1", 2), (1, "a", "l2", 5), (1, "a", None, 9), (2, "a", "l", 1), (2, "b", "l", 1), (3, "c", None, 1), (4, "d", "y", 3), (4, "d", "x", 3)], "k long, label string, library string, p int")
+    assert rows(bodies.alias_labels(df, "k", "label", "library", F.col("p"))) == sorted([(1, "a", "l2"), (3, "c", None), (4, "d", "x")], key=str)
+    calls = spark.createDataFrame([(1, "A.m"), (1, "B.m"), (2, "A.m"), (2, "A.m"), (3, "A.m"), (3, "B.n"), (4, "sub_1"), (4, "sub_1"), (5, "x.sub_1"), (5, "y.sub_1")], "k long, t string")
+    assert rows(bodies.proven_selectors(calls, "k", "t")) == [(1, "m")]
+    one_row = spark.createDataFrame([(3, None, ["b", "a", None, "b"])], "n int, m int, t array<string>")
+    assert one_row.select(bodies.control_flow_fingerprint(F.col("n"), F.col("m"), F.lit(1), F.lit(2), F.col("t")).alias("f")).first().f == "3;0;1;2;a,b"
+
+
+def test_nested_strings(spark):
+    from factweave.operators import bodies
+
+    nodes = spark.createDataFrame([(1, "array", None, [2, 3, 4, -1]), (2, "string", "two", []), (3, "instance", None, [5, 1]), (4, "class", None, [6]), (5, "record", None, [7, 8]), (6, "string", "hidden", []), (7, "string", "bad\x01", []), (8, "string", "eight", []), (9, "string", "root", [])], "node long, kind string, text string, refs array<long>")
+    roots = spark.createDataFrame([(1,), (3,), (9,), (77,)], "root long")
+    assert {r.root: r.texts for r in bodies.nested_strings(roots, nodes).collect()} == {1: ["eight", "two"], 3: ["eight", "two"], 9: ["root"]}
+    assert {r.root: r.texts for r in bodies.nested_strings(roots, nodes, depth=1).collect()} == {1: ["two"], 9: ["root"]}
+    assert {r.root: r.texts for r in bodies.nested_strings(roots, nodes, most_nodes=3, most_strings=1).collect()} == {1: ["two"], 9: ["root"]}
