@@ -593,3 +593,25 @@ def test_nested_strings(spark):
     assert {r.root: r.texts for r in bodies.nested_strings(roots, nodes).collect()} == {1: ["eight", "two"], 3: ["eight", "two"], 9: ["root"]}
     assert {r.root: r.texts for r in bodies.nested_strings(roots, nodes, depth=1).collect()} == {1: ["two"], 9: ["root"]}
     assert {r.root: r.texts for r in bodies.nested_strings(roots, nodes, most_nodes=3, most_strings=1).collect()} == {1: ["two"], 9: ["root"]}
+
+
+def test_constants_as_source(spark):
+    from factweave.functions import constants
+
+    def node(n, kind, number=None, real=None, text=None, member=None, arguments=None, refs=None, keys=None, types=None):
+        return ("g", n, kind, number, real, text, member, arguments, refs, keys, types)
+
+    nodes = [
+        node(1, "list", arguments="<int>", refs=[2, 3, 1]), node(2, "int", 7), node(3, "null"), node(4, "map", refs=[]), node(5, "map", arguments="<String, List<int>>", refs=[6, 1]), node(6, "string", text="a'$"), node(7, "record", 0, refs=[2]), node(8, "record", 5, refs=[2]),
+        node(9, "enum", text="Color@12", member="red"), node(10, "instance", text="P@3", refs=[2, 42, 99], keys=["x", "y", "z"], types=[None, "unboxed:int", None]), node(11, "closure", text="main.<anonymous closure>"), node(12, "closure"), node(13, "type", text="int?"), node(14, "type", text="List<int>"),
+        node(15, "double", real=1.0), node(16, "bool", 1), node(17, "list", refs=[2] * 30), node(18, "set", refs=[18]), *[node(20 + k, "list", refs=[21 + k]) for k in range(6)],
+    ]
+    want = {
+        1: "const <int>[7, null, aot.snapshotRef(1)]", 4: "const <dynamic, dynamic>{}", 5: "const <String, List<int>>{'a\\'\\$': const <int>[7, null, aot.snapshotRef(1)]}", 7: "(7,)", 8: "aot.snapshotRef(8)", 9: "Color.red", 10: "aot.constObject('P', <String, Object?>{'x': 7, 'y': 42, 'z': aot.snapshotRef(99)})",
+        11: "aot.constClosure('main.<anonymous closure>')", 12: "aot.snapshotRef(12)", 13: "int", 14: "aot.constType('List<int>')", 15: "1.0", 16: "true", 17: "const [" + "7, " * 24 + "/* 6 more */]", 18: "const {aot.snapshotRef(18)}", 20: "const [const [const [const [aot.snapshotRef(24)]]]]", 77: None,
+    }
+    df = spark.createDataFrame(nodes, f"graph string, {constants.NODE}")
+    roots = spark.createDataFrame([("g", k) for k in want], "graph string, root long")
+    assert {r.root: r.text for r in constants.render_constants(df, roots, "graph").collect()} == want
+    assert [constants.type_prefix(a, n) for a, n in (("<String, List<String>>", 2), ("<String, List<String>", 2), ("<a,b>", 1), (None, 1))] == ["<String, List<String>>", "", "", ""]
+    assert constants.unboxed_text(0x3FF8000000000000, None) == "1.5" and constants.unboxed_text(0x3FF8000000000000, "double?") == "1.5" and constants.unboxed_text(-(1 << 62), None) == "-2.0" and constants.unboxed_text(0x7FF8000000000001, None) == "aot.unboxedBits(0x7ff8000000000001)"
