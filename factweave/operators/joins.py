@@ -84,6 +84,11 @@ def residual_match(left: DataFrame, right: DataFrame, group: str, value: str) ->
     return out.where("nl = 1 AND nr = 1").drop("nl", "nr")
 
 
+def only_pair(left: DataFrame, right: DataFrame, group: str, value: str, kind: Column) -> DataFrame:
+    """group, left_value, right_value where exactly one row of the kind stands on each side; names that both sides share pair by themselves and do not count."""
+    return residual_match(left.where(kind), right.where(kind), group, value)
+
+
 def exists_flag(df: DataFrame, other: DataFrame, keys: list[str], name: str = "found") -> DataFrame:
     """df with whether other has its key; null keys are values."""
     known = other.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("_found", F.lit(True))

@@ -67,6 +67,13 @@ def payloads(listed: DataFrame, library: str = "libapp.so") -> DataFrame:
     return found.withColumn("module", F.coalesce(F.nullif(F.regexp_extract("member", "^([^/]+)/lib/", 1), F.lit("")), F.lit("base")))
 
 
+def required_payloads(found: DataFrame, files: DataFrame) -> DataFrame:
+    """The payloads, failing at run time where an archive has none. files: path of all archives."""
+    counts = files.select("path").distinct().join(found.groupBy("path").agg(F.count("*").alias("_n")), "path", "left")
+    missing = F.when(F.col("_n").isNull(), F.raise_error(F.concat(F.lit("archive without a payload: "), "path")).cast("boolean")).otherwise(F.lit(True))
+    return found.join(counts.where(missing).select("path"), "path")
+
+
 def select_payload(found: DataFrame, module: str = "base", abi: str | None = None) -> DataFrame:
     """The asked payload of each archive, else the first machine by preference."""
     own = found.where(F.col("module") == module)
@@ -122,6 +129,56 @@ def elf_symbols(data: bytes) -> list[tuple[str, int, int]]:
     return [x[:3] for x in elf_symbols_detailed(data)]
 
 
+#: Machine numbers of the images that payloads are made for.
+MACHINES = {40: "armeabi-v7a", 183: "arm64-v8a", 62: "x86_64"}
+
+
+def elf_identity(data: bytes) -> tuple[str | None, str | None]:
+    """Machine and build id of an image; null where it has none."""
+    order = "<" if data[5] == 1 else ">"
+    note = next((data[o : o + s] for n, _, o, s in elf_sections(data) if n == ".note.gnu.build-id"), b"")
+    return MACHINES.get(struct.unpack_from(order + "H", data, 0x12)[0]), note[16:].hex() or None
+
+
+def named_regions(listed: DataFrame, names: list[str]) -> DataFrame:
+    """path, member, region, address, size, sha256 of the symbols asked for, as far as their bytes lie in one section. listed: path, member, content."""
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, member, raw in zip(frame["path"], frame["member"], frame["content"], strict=True):
+                data = bytes(raw)
+                sections = elf_sections(data)
+                for name, address, size in sorted(set(elf_symbols(data))):
+                    home = next(((a, o) for _, a, o, s in sections if name in names and a and a <= address and address + size <= a + s), None)
+                    if home:
+                        begin = home[1] + address - home[0]
+                        rows.append((path, member, name, address, size, hashlib.sha256(data[begin : begin + size]).hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "member", "region", "address", "size", "sha256"])
+
+    return listed.select("path", "member", "content").mapInPandas(scan, "path string, member string, region string, address long, size long, sha256 string")
+
+
+def symbol_file(files: DataFrame, abi: str, build_id: str) -> str:
+    """The first path, by name, of an image of the machine with the build id; files that are no image are passed over. files: path, content."""
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, raw in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    rows.append((path, *elf_identity(bytes(raw))))
+                except (ValueError, IndexError, struct.error):
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "abi", "build_id"])
+
+    found = files.select("path", "content").mapInPandas(scan, "path string, abi string, build_id string")
+    best = found.where((F.col("abi") == abi) & (F.col("build_id") == build_id)).agg(F.min("path")).first()[0]
+    if best is None:
+        raise ValueError(f"no {abi} image has the build id {build_id}")
+    return best
+
+
 def elf_regions(listed: DataFrame) -> DataFrame:
     """path, member, region, address, size, sha256 of the sections of each payload's content."""
 

@@ -22,6 +22,21 @@ def read_trace(spark: SparkSession, path: str, accepted: str, snapshot: str | No
     return gate(spark.read.schema(TRACE).option("multiLine", True).option("mode", "FAILFAST").json(path), accepted, snapshot)
 
 
+#: Bytes of a name map that is read.
+MOST_MAP_BYTES = 256 << 20
+
+
+def read_name_map(spark: SparkSession, path: str) -> DataFrame:
+    """raw -> restored of a file up to MOST_MAP_BYTES; a larger one, and one without a pair, fails."""
+    size = spark.read.format("binaryFile").load(path).select("length").agg(F.max("length")).first()[0] or 0
+    if size > MOST_MAP_BYTES:
+        raise ValueError(f"name map has {size} bytes, more than {MOST_MAP_BYTES}")
+    found = name_map(spark.read.option("wholetext", True).text(path))
+    if found.isEmpty():
+        raise ValueError("name map holds no pair")
+    return found
+
+
 def name_map(lines: DataFrame, column: str = "value") -> DataFrame:
     """raw -> restored from a flat JSON array of alternating names; the first mapping of a name wins, an odd length fails."""
     flat = lines.select(F.monotonically_increasing_id().alias("doc"), F.from_json(column, "array<string>").alias("a"))

@@ -235,3 +235,34 @@ def test_deferred_units(spark):
     data = elf64([(".text", 4096, b"x" * 12), (".symtab", 0, symbols), (".strtab", 0, strings), (".note.gnu.build-id", 0, b"\0" * 16 + b"\xab\xcd")])
     row = sinks.deferred_units(spark.createDataFrame([("u", bytearray(data))], "path string, content binary")).first()
     assert (row.size, row.build_id, row.text_symbols, row.snapshot_symbols, row.instruction_section_bytes) == (len(data), "abcd", 1, ["_kDartSnapshotData"], 12)
+
+
+def test_payloads_regions_and_symbol_files(spark, tmp_path):
+    import hashlib
+
+    found = spark.createDataFrame([("a.apk", "base")], "path string, module string")
+    files = spark.createDataFrame([("a.apk",), ("b.apk",)], "path string")
+    assert archive.required_payloads(found, files.limit(1)).count() == 1
+    with pytest.raises(Exception, match="without a payload"):
+        archive.required_payloads(found, files).collect()
+    symbol = struct.pack("<IBBHQQ", 1, 1, 0, 1, 4100, 6) + struct.pack("<IBBHQQ", 1, 1, 0, 1, 9000, 6)
+    data = elf64([(".rodata", 4096, b"0123456789abcdef"), (".symtab", 0, symbol), (".strtab", 0, b"\0_kData\0"), (".note.gnu.build-id", 0, b"\0" * 16 + b"\xab\xcd")])
+    listed = spark.createDataFrame([("p", "m", bytearray(data))], "path string, member string, content binary")
+    assert [tuple(r) for r in archive.named_regions(listed, ["_kData"]).collect()] == [("p", "m", "_kData", 4100, 6, hashlib.sha256(b"456789").hexdigest())]
+    assert archive.named_regions(listed, ["other"]).count() == 0
+    images = spark.createDataFrame([("z.so", bytearray(data)), ("b.so", bytearray(data)), ("a.txt", bytearray(b"text")), ("c.so", bytearray(data[:70]))], "path string, content binary")
+    assert archive.symbol_file(images, "arm64-v8a", "abcd") == "b.so"
+    for abi, build in (("x86_64", "abcd"), ("arm64-v8a", "ffff")):
+        with pytest.raises(ValueError):
+            archive.symbol_file(images, abi, build)
+
+
+def test_name_maps_from_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "m.json").write_text('["a", "x", "b", "y", "a", "z"]')
+    assert sorted(map(tuple, documents.read_name_map(spark, str(tmp_path / "m.json")).collect())) == [("a", "x"), ("b", "y")]
+    (tmp_path / "e.json").write_text("[]")
+    with pytest.raises(ValueError, match="no pair"):
+        documents.read_name_map(spark, str(tmp_path / "e.json"))
+    monkeypatch.setattr(documents, "MOST_MAP_BYTES", 5)
+    with pytest.raises(ValueError, match="more than"):
+        documents.read_name_map(spark, str(tmp_path / "m.json"))
