@@ -10,17 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import drop, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is set, one beside the warehouse if all executors see that."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        own_disk = ":" not in warehouse.split("/", 1)[0] or warehouse.startswith("file:")
-        if own_disk and not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = warehouse.rstrip("/") + "/_checkpoints"
-    return base.rstrip("/")
+__all__ = ["clear", "drop", "free_name", "fresh_path", "shared_dir", "stage"]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -44,15 +36,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop(table: DataFrame) -> None:
-    """Delete the files of a table that `stage` returned, once nothing reads it any more."""
-    spark = table.sparkSession
-    jvm = spark._jvm
-    for path in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def clear(spark: SparkSession) -> None:
     """Delete everything that this subpackage has written to the shared folder. For the end of a job: results that still read it are lost."""
     jvm = spark._jvm

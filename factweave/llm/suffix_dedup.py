@@ -44,7 +44,7 @@ BLOCK, RUN_BYTES = 1 << 20, 32 << 20
 #: Occurrences of an anchor's string from which its windows are counted instead of its suffixes sorted.
 CROWDED = 8192
 #: Bytes of contexts and windows that one part holds before front-coding, about.
-PART_BYTES = 64 << 20
+PART_BYTES = 32 << 20
 REPEATED_BITS, CROWDED_BITS = 1 << 26, 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WRAP = 1 << 64
