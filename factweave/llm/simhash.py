@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap_of, in_bitmap
 from .chunks import texts_of
 from .components import connected_components
 from .staging import free_name, stage
@@ -135,6 +136,8 @@ RANGES, ROWS, EMPTY = 128, 4, 0xFFFFFFFF
 LOOSE = 0.75
 #: Members and bytes of shingles on the side of a tile that has all members, and on the one that has those outside the largest component, about.
 TILE, TILE_BYTES, FEW, FEW_BYTES = 1024, 16 << 20, 1024, 16 << 20
+#: Bits of the bitmaps of blocks that several sets share, and of the keys of texts that are read once more.
+BLOCK_BITS, KEY_BITS = 1 << 26, 1 << 24
 _STARTS = np.arange(RANGES, dtype=np.uint64) << np.uint64(57)
 
 
@@ -169,11 +172,12 @@ def least_hashes(kept: np.ndarray) -> np.ndarray:
 
 
 def sketch(text: str, shingle: int) -> tuple[bytes, int, int, list[int]]:
-    """Least hashes by range, two numbers for the set of shingles, and one for each block that is not empty."""
+    """One byte of each range's least hash (0: none), two numbers for the set of shingles, and one for each block that is not empty."""
     kept = shingle_set(text, shingle)
     least = least_hashes(kept)
     raw = least.tobytes()
-    return raw, *_name_of(kept), [_block(raw, k) for k in np.flatnonzero((least != EMPTY).reshape(-1, ROWS).any(axis=1)).tolist()]
+    short = np.where(least == EMPTY, 0, least % 255 + 1).astype(np.uint8)
+    return short.tobytes(), *_name_of(kept), [_block(raw, k) for k in np.flatnonzero((least != EMPTY).reshape(-1, ROWS).any(axis=1)).tolist()]
 
 
 def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -186,26 +190,45 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     return docs.select(F.col(key), F.col(text)).mapInArrow(add, f"id {dict(docs.dtypes)[key]}, least binary, w1 bigint, w2 bigint, blocks array<bigint>")
 
 
+def _blocks_met(heads: DataFrame) -> DataFrame:
+    """block, node, n of the blocks that n > 1 sets share. Only counts and what passes the bitmap of shared blocks move."""
+    counts = stage(heads.select(F.explode("blocks").alias("block")).groupBy("block").agg(F.count("*").alias("n")).where("n > 1"), "block-counts")
+    shared = heads.sparkSession.sparkContext.broadcast(bitmap_of(counts.select(F.col("block").alias("hash")), BLOCK_BITS))  # fixed size
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            blocks = lists.flatten().to_numpy()
+            keep = in_bitmap(shared.value, blocks)
+            nodes = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(blocks[keep])], names=["node", "block"])
+
+    return stage(heads.select("node", "blocks").mapInArrow(file, "node bigint, block bigint").join(counts, "block"), "blocks-met")
+
+
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """node and shingles, the distinct shingles' hashes in order, of the classes asked for; read from the texts once more."""
+    asked = stage(classes.select("node", "w1", "w2", "least_id").join(nodes, "node"), "asked")
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(asked.select(F.xxhash64("least_id").alias("hash")), KEY_BITS))  # fixed size
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in texts_of(batch.column(0)):
+            texts = batch.column(0).filter(pa.array(in_bitmap(wanted.value, batch.column(1).to_numpy())))
+            for x in texts_of(texts):
                 kept = shingle_set(x, shingle)
                 w1, w2 = _name_of(kept)
                 yield pa.RecordBatch.from_arrays([pa.array([w1]), pa.array([w2]), pa.array([kept.view(np.int64)], pa.list_(pa.int64()))], names=["w1", "w2", "shingles"])
 
-    asked = stage(classes.join(nodes, "node"), "asked")
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(asked.select(F.col("least_id").alias("id")).distinct(), "id", "left_semi").select("text")
+    texts = docs.select(F.col(text), F.xxhash64(F.col(key)))  # texts stay where they are
     # A key may stand for several texts: the set itself says which class it belongs to.
-    return texts.mapInArrow(cut, "w1 bigint, w2 bigint, shingles array<bigint>").join(asked, ["w1", "w2"]).dropDuplicates(["node"]).select("node", "shingles")
+    found = texts.mapInArrow(cut, "w1 bigint, w2 bigint, shingles array<bigint>").dropDuplicates(["w1", "w2"])
+    return found.join(asked.select("w1", "w2", "node"), ["w1", "w2"]).select("node", "shingles")
 
 
-def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarities of sets as their least hashes suggest them."""
-    same = ((a == b) & (a != EMPTY)).sum(axis=-1)
-    return same / np.maximum(((a != EMPTY) | (b != EMPTY)).sum(axis=-1), 1)
+def _estimates(a: np.ndarray, b: np.ndarray, empty: int) -> np.ndarray:
+    """Similarities of sets as their least hashes suggest them. With one byte of each hash they are larger by one in 256 of what differs."""
+    same = ((a == b) & (a != empty)).sum(axis=-1)
+    return same / np.maximum(((a != empty) | (b != empty)).sum(axis=-1), 1)
 
 
 def _likely(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
@@ -214,8 +237,8 @@ def _likely(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, RANGES) for c in ("a_least", "b_least"))
-                yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(_estimates(a, b) >= least))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES) for c in ("a_least", "b_least"))
+                yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(_estimates(a, b, 0) >= least))
 
     pairs = pairs.join(heads.select(F.col("node").alias("u"), F.col("least").alias("a_least")), "u")
     pairs = pairs.join(heads.select(F.col("node").alias("v"), F.col("least").alias("b_least")), "v")
@@ -250,7 +273,7 @@ def _tile_links(similarity: float):
         for a in np.flatnonzero(across).tolist():
             open_ = side[(component[side] != component[a]) & (~outside[side].astype(bool) | (node[side] < node[a]))]
             shared = (least[a] == least[open_]).reshape(-1, RANGES // ROWS, ROWS).all(axis=2) & full[a]
-            guess = _estimates(least[a], least[open_])
+            guess = _estimates(least[a], least[open_], EMPTY)
             good = np.flatnonzero((shared.argmax(axis=1) == this) & (guess >= LOOSE * similarity))
             found += zip((-guess[good]).tolist(), [a] * len(good), open_[good].tolist(), strict=True)
         parent: dict = {}
@@ -329,26 +352,25 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     docs = docs.where(F.col(key).isNotNull())
     marked = stage(sketches(docs, key, text, shingle), "sketches")
     # Documents with one set of shingles are a class; one sketch stands for it, under a number of the class's own.
-    classes = stage(marked.groupBy("w1", "w2").agg(F.min("id").alias("least_id")).withColumn("node", F.monotonically_increasing_id()), "sketch-classes")
-    heads = stage(marked.join(classes, ["w1", "w2"]).where("id = least_id").dropDuplicates(["node"]).select("node", "least", "blocks"), "sketch-heads")
-
-    filed = heads.select("node", F.explode("blocks").alias("block"))
-    met = filed.groupBy("block").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
-    met = stage(filed.join(met, "block"), "blocks-met")
+    classes = marked.groupBy("w1", "w2").agg(F.min("id").alias("least_id"), F.min_by(F.struct("least", "blocks"), "id").alias("head"))
+    classes = stage(classes.select("w1", "w2", "least_id", F.monotonically_increasing_id().alias("node"), "head.least", "head.blocks"), "sketch-classes")
+    heads = classes.select("node", "least", "blocks")
+    met = _blocks_met(heads)
     few, many = met.where(F.col("n") <= pairwise), met.where(F.col("n") > pairwise)
     pairs = few.select("block", F.col("node").alias("v")).join(few.select("block", F.col("node").alias("u")), "block").where("u > v").select("u", "v")
     # Crowded blocks: first with two members only, which joins most of a group of near copies. The rest follows in _crowd_links.
-    pairs = pairs.union(many.select(F.col("node").alias("u"), F.col("low").alias("v"))).union(many.select(F.col("high").alias("u"), F.col("node").alias("v")))
+    ends = many.join(many.groupBy("block").agg(F.min("node").alias("low"), F.max("node").alias("high")), "block")
+    pairs = pairs.union(ends.select(F.col("node").alias("u"), F.col("low").alias("v"))).union(ends.select(F.col("high").alias("u"), F.col("node").alias("v")))
     pairs = stage(_likely(stage(pairs.where("u <> v").distinct(), "pairs"), heads, LOOSE * similarity), "likely-pairs")
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).union(many.select("node")).distinct()
     sets = stage(_sets(docs, classes, asked, key, text, shingle), "shingle-sets")
     edges = stage(_exact(pairs, sets, similarity), "near")
     found = connected_components(edges) if many.isEmpty() else _crowd_components(many, edges, heads, sets, similarity)
     found = stage(found, "sketch-components")
-    joined = classes.join(found, "node").select("w1", "w2", "least_id", "component")
-    least = joined.groupBy("component").agg(F.min("least_id").alias("least"))
-    linked = joined.join(least, "component").select("w1", "w2", "least")
-    named = stage(classes.join(linked, ["w1", "w2"], "left").select("w1", "w2", F.coalesce("least", "least_id").alias("component")), "sketch-names")
+    names = classes.select("w1", "w2", "least_id", "node")
+    joined = names.join(found, "node").select("w1", "w2", "least_id", "component")
+    linked = joined.join(joined.groupBy("component").agg(F.min("least_id").alias("least_key")), "component").select("w1", "w2", "least_key")
+    named = stage(names.join(linked, ["w1", "w2"], "left").select("w1", "w2", F.coalesce("least_key", "least_id").alias("component")), "sketch-names")
     return marked.select("id", "w1", "w2").join(named, ["w1", "w2"]).select("id", "component")
 
 
