@@ -452,7 +452,6 @@ def test_no_gate_stops_what_a_rule_matches():
             assert re.fullmatch(expression, text), (expression, text)
             assert f" {keyword}" in f" {text} ", (label, keyword, text)
             assert gate.search(text) and gate.search(text.replace(" ", " \n-")), (label, text)
-            assert any(x in text for x in licenses.ANCHORS), (label, text)
 
 
 def test_names_and_bodies_that_gates_or_rules_missed(spark):
