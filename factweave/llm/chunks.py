@@ -22,14 +22,22 @@ def kept(key: tuple, make: Callable):
     A process keeps one thing at a time, so that operators that follow each other do not add up.
     """
     if key not in _KEPT:
-        _KEPT.clear()
+        keep_nothing()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
 def keep_nothing() -> None:
-    """For operators that hold tables for one task only: what another operator has left goes first."""
+    """For operators that hold tables for one task only: what another operator has left goes first, back to the system where that can be asked for."""
+    import ctypes
+    import gc
+
     _KEPT.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 class PieceNumbers(dict):

@@ -45,9 +45,9 @@ DRIFT = 2
 #: Readings of a text: sentence openers as words, as names, and all tokens as they stand.
 PLAIN, NAMED, LITERAL = 0, 1, 2
 BITMAP_BITS = 1 << 24
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bytes of text that are read at once.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 SEGMENT_CHARS = 1 << 20
 
 #: Words that are units when they follow a number.

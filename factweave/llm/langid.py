@@ -35,7 +35,7 @@ from .token_counts import _ANY_WHITE, segments
 UNKNOWN_LANG = "und"
 #: Places of a long word that are looked up at once, and decades that a chance may fall without a logarithm.
 STEP, DECADES = 1 << 14, 250
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 SEGMENT_CHARS = 1 << 20
 _WORDS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)

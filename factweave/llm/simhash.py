@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmaps import bitmap_of, in_bitmap
-from .chunks import texts_of
+from .chunks import keep_nothing, texts_of
 from .components import connected_components
 from .staging import free_name, stage
 
@@ -135,7 +135,7 @@ RANGES, ROWS, EMPTY = 128, 4, 0xFFFFFFFF
 #: Share of the similarity asked for that the estimate from least hashes has to reach before the sets themselves are compared.
 LOOSE = 0.75
 #: Members and bytes of shingles on the side of a tile that has all members, and on the one that has those outside the largest component, about.
-TILE, TILE_BYTES, FEW, FEW_BYTES = 1024, 16 << 20, 1024, 16 << 20
+TILE, TILE_BYTES, FEW, FEW_BYTES = 1024, 8 << 20, 1024, 8 << 20
 #: Bits of the bitmaps of blocks that several sets share, and of the keys of texts that are read once more.
 BLOCK_BITS, KEY_BITS = 1 << 26, 1 << 24
 _STARTS = np.arange(RANGES, dtype=np.uint64) << np.uint64(57)
@@ -182,6 +182,7 @@ def sketch(text: str, shingle: int) -> tuple[bytes, int, int, list[int]]:
 
 def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for batch in batches:
             columns = list(zip(*[sketch(x, shingle) for x in texts_of(batch.column(1))], strict=True)) or [()] * 4
             rest = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
@@ -212,6 +213,7 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, key: str, text:
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(asked.select(F.xxhash64("least_id").alias("hash")), KEY_BITS))  # fixed size
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for batch in batches:
             texts = batch.column(0).filter(pa.array(in_bitmap(wanted.value, batch.column(1).to_numpy())))
             for x in texts_of(texts):
