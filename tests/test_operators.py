@@ -55,6 +55,27 @@ def test_range_relation(spark, b, want):
     assert df.select(joins.range_relation(*map(F.col, df.columns))).first()[0] == want
 
 
+@pytest.mark.parametrize("size", [3, 40, 4096])
+def test_range_relations_in_tiles(spark, tmp_path, monkeypatch, size):
+    """A brand that nearly all parts share, a key that parts share, nulls: as the SQL has it, and in more than one task."""
+    import __spark_entry__ as entry
+
+    duckdb = pytest.importorskip("duckdb")
+    data = [(k if k != 9 else 8, None if k == 40 else "small" if k % 30 == 7 else "large", None if k % 11 == 5 else k * 7 % 13) for k in range(200)] + [(None, "large", 3)]
+    spark.createDataFrame(data, "p_partkey long, p_brand string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(joins, "TILE_ROWS", size, raising=False)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 500, raising=False)
+    got = entry.queries()["range_relation"](spark, str(tmp_path))
+    want = duckdb.sql(entry.oracle_sql()["range_relation"].replace("FROM part", f"FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")).fetchall()
+    assert rows(got) == sorted(want, key=str) and len(want) > 10_000
+    assert size > len(data) or got.rdd.getNumPartitions() > 1
+
+
+def test_range_relations_of_nothing(spark):
+    df = spark.createDataFrame([("g", None, 1, 2), (None, 1, 1, 2)], "g string, k long, s long, e long")
+    assert joins.range_relations(df, "g", "k", "s", "e").count() == joins.range_relations(df.limit(0), "g", "k", "s", "e").count() == 0
+
+
 @pytest.mark.parametrize("width", [1, 7, 1000])
 def test_range_join_matches_theta_join(spark, width):
     p = spark.createDataFrame([(k,) for k in range(-5, 40)], "p long")
