@@ -10,9 +10,10 @@ classes are filed once more under each fingerprint at distance one or zero: two
 exactly if they share such a neighbour, no more than 65 classes can share one, and each of them is linked to the least.
 That keeps every connection, and the work is in proportion to the number of classes.
 
-`similar_documents` asks for a similarity of shingle sets instead. At 0.8, fingerprints differ in about ten of 64 bits, and
-no split into blocks has one that all such pairs share and that still tells documents apart. So there the blocks are cut
-from the space of hashes, not from the fingerprint: the least hash of each of 128 ranges, four of which are a block. A pair of
+`similar_documents` asks for a similarity of shingle sets on top. It forms SimHash groups in the same way, from the fingerprints of the
+distinct shingles, and compares each member's set with that of its group's first. At a similarity of 0.8, fingerprints differ in about
+ten of 64 bits, and no split into blocks has one that all such pairs share and that still tells documents apart. So more blocks are cut
+from the space of hashes: the least hash of each of 128 ranges, four of which are a block. A pair of
 similarity 0.8 shares no block with probability (1 - 0.8^4)^32, less than one in ten million. Pairs whose least hashes agree in
 enough ranges are then compared by their distinct shingles, which alone decide. In blocks that very many sets share, members are first linked to a
 few of their block; then all that is outside a block's largest component is compared with all of the block, in tiles.
@@ -25,7 +26,7 @@ shingles, tie: they are one class under its least key. Long texts are cut into s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -67,8 +68,13 @@ def shingle_hashes(text: str, shingle: int = 3) -> Iterator[np.ndarray]:
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(parts: Iterable[np.ndarray]) -> int:
+    """The fingerprint of hashes that come in parts."""
     counts, size = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, shingle):
+    for hashes in parts:
         counts += _bit_counts(hashes)
         size += len(hashes)
     return int(np.packbits(counts * 2 > size, bitorder="little").view(np.uint64)[0]) if size else 0
@@ -118,13 +124,18 @@ def links(classes: DataFrame, most_bits: int = 2, pairwise: int = PAIRWISE) -> D
     return near.union(stars.where("u <> v").select("u", "v")).distinct()
 
 
+def linked_classes(classes: DataFrame, most_bits: int = 2) -> DataFrame:
+    """classes, distinct fp and `least`, with component, which fingerprints share that links join."""
+    found = connected_components(links(classes.select("fp"), most_bits))
+    joined = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    return stage(joined, "class-components")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, most_bits: int = 2) -> DataFrame:
     """key, fp and component, the least key reachable over links, of every row."""
     marked = stage(fingerprints(docs, key, text, shingle), "fingerprints")
     classes = stage(marked.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    found = connected_components(links(classes.select("fp"), most_bits))
-    joined = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    joined = stage(joined, "class-components")
+    joined = linked_classes(classes, most_bits)
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stage(joined.join(least, "component").select("fp", "component_id"), "class-names")
     return marked.join(named, "fp").select(F.col("id").alias(key), "fp", "component_id")
@@ -171,24 +182,37 @@ def least_hashes(kept: np.ndarray) -> np.ndarray:
     return least
 
 
-def sketch(text: str, shingle: int) -> tuple[bytes, int, int, list[int]]:
-    """One byte of each range's least hash (0: none), two numbers for the set of shingles, and one for each block that is not empty."""
+def sketch(text: str, shingle: int) -> tuple[bytes, int, int, list[int], int]:
+    """One byte of each range's least hash (0: none), two numbers for the set of shingles, one for each block that is not empty, and the set's fingerprint."""
     kept = shingle_set(text, shingle)
     least = least_hashes(kept)
     raw = least.tobytes()
     short = np.where(least == EMPTY, 0, least % 255 + 1).astype(np.uint8)
-    return short.tobytes(), *_name_of(kept), [_block(raw, k) for k in np.flatnonzero((least != EMPTY).reshape(-1, ROWS).any(axis=1)).tolist()]
+    blocks = [_block(raw, k) for k in np.flatnonzero((least != EMPTY).reshape(-1, ROWS).any(axis=1)).tolist()]
+    parts = (kept[k : k + STEP] for k in range(0, len(kept), STEP))
+    return short.tobytes(), *_name_of(kept), blocks, int(np.uint64(fingerprint_of(parts)).view(np.int64))
 
 
 def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_nothing()
         for batch in batches:
-            columns = list(zip(*[sketch(x, shingle) for x in texts_of(batch.column(1))], strict=True)) or [()] * 4
-            rest = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *rest], names=["id", "least", "w1", "w2", "blocks"])
+            columns = list(zip(*[sketch(x, shingle) for x in texts_of(batch.column(1))], strict=True)) or [()] * 5
+            rest = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *rest], names=["id", "least", "w1", "w2", "blocks", "fp"])
+
+    return docs.select(F.col(key), F.col(text)).mapInArrow(add, f"id {dict(docs.dtypes)[key]}, least binary, w1 bigint, w2 bigint, blocks array<bigint>, fp bigint")
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(add, f"id {dict(docs.dtypes)[key]}, least binary, w1 bigint, w2 bigint, blocks array<bigint>")
+
+def _simhash_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs u, v of each node and the least of its SimHash group: fingerprints that links of two bits or fewer join.
+
+    prints: node, fp. One pair for each node, however large the group is.
+    """
+    linked = linked_classes(stage(prints.groupBy("fp").agg(F.min("node").alias("least")), "set-fingerprints"))
+    first = linked.groupBy("component").agg(F.min("least").alias("v"))
+    named = stage(linked.join(first, "component").select("fp", "v"), "simhash-groups")
+    return prints.join(named, "fp").where("node > v").select(F.col("node").alias("u"), "v")
 
 
 def _blocks_met(heads: DataFrame) -> DataFrame:
@@ -354,8 +378,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     docs = docs.where(F.col(key).isNotNull())
     marked = stage(sketches(docs, key, text, shingle), "sketches")
     # Documents with one set of shingles are a class; one sketch stands for it, under a number of the class's own.
-    classes = marked.groupBy("w1", "w2").agg(F.min("id").alias("least_id"), F.min_by(F.struct("least", "blocks"), "id").alias("head"))
-    classes = stage(classes.select("w1", "w2", "least_id", F.monotonically_increasing_id().alias("node"), "head.least", "head.blocks"), "sketch-classes")
+    classes = marked.groupBy("w1", "w2").agg(F.min("id").alias("least_id"), F.min_by(F.struct("least", "blocks", "fp"), "id").alias("head"))
+    classes = stage(classes.select("w1", "w2", "least_id", F.monotonically_increasing_id().alias("node"), "head.least", "head.blocks", "head.fp"), "sketch-classes")
+    # SimHash groups first. Their members go to the sets without an estimate: their fingerprints are verified.
+    grouped = _simhash_pairs(classes.select("node", "fp"))
     heads = classes.select("node", "least", "blocks")
     met = _blocks_met(heads)
     few, many = met.where(F.col("n") <= pairwise), met.where(F.col("n") > pairwise)
@@ -363,7 +389,9 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # Crowded blocks: first with two members only, which joins most of a group of near copies. The rest follows in _crowd_links.
     ends = many.join(many.groupBy("block").agg(F.min("node").alias("low"), F.max("node").alias("high")), "block")
     pairs = pairs.union(ends.select(F.col("node").alias("u"), F.col("low").alias("v"))).union(ends.select(F.col("high").alias("u"), F.col("node").alias("v")))
-    pairs = stage(_likely(stage(pairs.where("u <> v").distinct(), "pairs"), heads, LOOSE * similarity), "likely-pairs")
+    # What lies further apart than two bits meets by least hashes.
+    likely = _likely(stage(pairs.where("u <> v").distinct(), "pairs"), heads, LOOSE * similarity)
+    pairs = stage(likely.union(grouped).distinct(), "likely-pairs")
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).union(many.select("node")).distinct()
     sets = stage(_sets(docs, classes, asked, key, text, shingle), "shingle-sets")
     edges = stage(_exact(pairs, sets, similarity), "near")

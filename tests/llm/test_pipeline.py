@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factweave.llm import bpe, simhash, vocab
@@ -127,6 +128,38 @@ def edited(rng, base, edits):
     return " ".join(own)
 
 
+def test_simhash_groups_alone(spark, monkeypatch):
+    """Without blocks of least hashes, the stage still joins near copies whose fingerprints differ in two bits or fewer, and drops them."""
+    from xxhash import xxh64_intdigest
+
+    rng = random.Random(21)
+    rows = []
+    for _ in range(40):
+        base = [f"w{rng.random()}" for _ in range(1500)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, edited(rng, base, 1))]
+
+    def plain(text):
+        hashes = [xxh64_intdigest(b" ".join(x), 42) for x in shingles(text)]
+        return sum((2 * sum(h >> k & 1 for h in hashes) > len(hashes)) << k for k in range(64))
+
+    prints = [plain(t) for _, t in rows]
+    near = [k for k in range(0, len(rows), 2) if (prints[k] ^ prints[k + 1]).bit_count() <= 2]
+    assert 10 < len(near) < 40
+    monkeypatch.setattr(simhash, "_blocks_met", lambda heads: heads.sparkSession.createDataFrame([], "block long, node long, n long"))
+    assert groups_found(spark, rows) == [(k, k - 1 if k - 1 in near else k) for k, _ in rows]
+    kept = simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [k for k, _ in rows if k - 1 not in near]
+
+
+def test_simhash_groups_are_held_against_their_sets(spark, monkeypatch):
+    """One fingerprint for all texts: they are one SimHash group, and only similar sets join."""
+    rng = random.Random(22)
+    rows = [(k, " ".join(f"w{rng.random()}" for _ in range(60))) for k in range(6)]
+    rows += [(6, rows[0][1] + " more"), (7, rows[3][1] + " more")]
+    monkeypatch.setattr(simhash, "linked_classes", lambda classes, most_bits=2: classes.select("fp", "least", F.lit(0).cast("long").alias("component")))
+    assert groups_found(spark, rows) == exact_groups(rows)
+
+
 def test_crowd_near_only_to_its_base(spark):
     rng = random.Random(3)
     base = [f"w{rng.random()}" for _ in range(400)]
