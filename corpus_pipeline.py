@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm import bpe, decontamination, langid, line_dedup, simhash, vocab
-from factweave.llm.staging import stage
+from factweave.llm.staging import small_batches, stage
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Ties go to the language that sorts first and do not matter here; a long text is scored whole, in segments; rows that repeat stay or go alike.
     """
+    small_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs, vocab.path("piece_bpe_32k.model")))
 
 
@@ -37,16 +38,19 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of a group the least key stays, with all its rows where rows share it; texts without a word are one group; rows without a key stay.
     Long texts are cut into shingles in steps.
     """
+    small_batches(spark)
     return simhash.drop_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of the benchmark, also with other numbers and names. A null or empty text holds none; one item is enough."""
+    small_batches(spark)
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids, and whether decoding the ids gives the text again; a null text has no ids."""
+    small_batches(spark)
     encoded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), vocab.path("byte_bpe_50k.json"))
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return encoded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))

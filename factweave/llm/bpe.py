@@ -254,6 +254,8 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text") -> Da
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                 decoded = pa.array([own.decode(x) for x in found], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids, decoded], names=[*batch.schema.names, name, back])
+        own = whole = batch = found = ids = decoded = None
+        keep_nothing()
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     return docs.mapInArrow(encode, f"{schema}, `{name}` array<int>, `{back}` string")

@@ -28,12 +28,16 @@ def kept(key: tuple, make: Callable):
 
 
 def keep_nothing() -> None:
-    """For operators that hold tables for one task only: what another operator has left goes first, back to the system where that can be asked for."""
+    """For operators that hold tables for one task only: what another operator has left goes first, back to the system where that can be asked for.
+
+    Also for their end: an idle worker would hold on to the freed memory while others need it.
+    """
     import ctypes
     import gc
 
     _KEPT.clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):

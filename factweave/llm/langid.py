@@ -333,6 +333,8 @@ def keep_identified(docs: DataFrame, model: SegmentModel, text: str = "text", le
         for batch in batches:
             langs, scores = own.predict(texts_of(batch.column(at)))
             yield batch.filter(pa.array([x != UNKNOWN_LANG and s >= least_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+        own = batch = None
+        keep_nothing()
 
     return docs.mapInArrow(run, docs.schema)
 

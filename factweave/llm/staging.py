@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import drop, shared_dir
 
-__all__ = ["clear", "drop", "free_name", "fresh_path", "shared_dir", "stage"]
+__all__ = ["clear", "drop", "free_name", "fresh_path", "shared_dir", "small_batches", "stage"]
+
+#: Bytes of the Arrow batches that small_batches() asks for.
+BATCH_BYTES = 4 << 20
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -36,6 +39,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in batches of BATCH_BYTES, or less if it is set so. Every row comes, in order.
+
+    A batch is held several times: as Arrow on both sides, in the buffer between them, and once more for what comes back. Spark's
+    64 MB for it, in each task at once, are more than all tables of a worker. The limit is read when a table runs, so it is not put back.
+    """
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete everything that this subpackage has written to the shared folder. For the end of a job: results that still read it are lost."""
     jvm = spark._jvm

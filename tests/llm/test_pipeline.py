@@ -3,12 +3,13 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factweave.llm import bpe, simhash, vocab
-from factweave.llm.staging import stage
+from factweave.llm.staging import BATCH_BYTES, small_batches, stage
 
 
 def shingles(text):
@@ -88,6 +89,35 @@ def test_stages(spark):
     assert len(rows) == len(texts) and all(r.round_trip and r.token_ids == own.encode(texts[r.doc_id]).tolist() and r.n_tokens == len(r.token_ids) for r in rows)
 
 
+def batches_of(docs):
+    """Rows and bytes of each batch that Python is handed."""
+
+    def measure(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    return docs.mapInArrow(measure, "rows bigint, bytes bigint").collect()
+
+
+@pytest.mark.parametrize("name", ["identify_languages", "dedup_documents", "decontaminate", "encode"])
+def test_stages_with_workers_take_small_batches(spark, docs, no_docs, name):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    wide = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("text"))
+    held = spark.conf.get(limit)
+    try:
+        spark.conf.unset(limit)
+        getattr(corpus_pipeline, name)(spark, docs if name == "identify_languages" else no_docs, "/root/testdata/sf0.001")
+        found = batches_of(wide)
+        assert sum(x.rows for x in found) == 4000
+        assert max(x.bytes for x in found) < 1.2 * BATCH_BYTES
+
+        spark.conf.set(limit, "1m")
+        small_batches(spark)
+        assert max(x.bytes for x in batches_of(wide)) < 1.2 * (1 << 20)
+    finally:
+        spark.conf.set(limit, held)
+
+
 def test_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs):
     from conftest import SF
 
