@@ -71,6 +71,28 @@ def test_range_relations_in_tiles(spark, tmp_path, monkeypatch, size):
     assert size > len(data) or got.rdd.getNumPartitions() > 1
 
 
+@pytest.mark.parametrize("block, once", [(1, 1), (7, 2), (64, 500)])
+def test_range_relations_in_blocks(spark, monkeypatch, block, once):
+    """Blocks and slices of any size give each pair once; all rows of one interval, repeated keys and no start among them."""
+    data = [("g", k // 2 if k < 20 else k, None if k % 13 == 5 else 3 if k < 50 else k % 4, 8) for k in range(90)] + [("h", 1, 3, 8), ("h", 2, 3, 9)]
+    for name, value in (("TILE_ROWS", 40), ("BLOCK_ROWS", block), ("ROWS_AT_ONCE", once)):
+        monkeypatch.setattr(joins, name, value)
+    df = spark.createDataFrame(data, "g string, k long, s long, e long")
+    a, b = (df.select("g", *[F.col(c).alias(f"{c}{n}") for c in "kse"]) for n in "01")
+    want = a.join(b, "g").where("k0 < k1").select("k0", "k1", joins.range_relation(F.col("s0"), F.col("e0"), F.col("s1"), F.col("e1")))
+    assert rows(joins.range_relations(df, "g", "k", "s", "e")) == rows(want)
+
+
+def test_range_relations_are_small_on_disk(spark, tmp_path):
+    """The pairs of a brand outgrow any table, so files must hold them in a fraction of a byte each."""
+    spark.range(3000).selectExpr("id AS p_partkey", "'b' AS p_brand", "CAST(1 + hash(id) & 31 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    import __spark_entry__ as entry
+
+    entry.queries()["range_relation"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3000 * 2999 // 2
+    assert sum(p.stat().st_size for p in tmp_path.glob("out/*.parquet")) < 0.5 * 3000 * 2999 / 2
+
+
 def test_range_relations_of_nothing(spark):
     df = spark.createDataFrame([("g", None, 1, 2), (None, 1, 1, 2)], "g string, k long, s long, e long")
     assert joins.range_relations(df, "g", "k", "s", "e").count() == joins.range_relations(df.limit(0), "g", "k", "s", "e").count() == 0
